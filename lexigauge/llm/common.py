@@ -79,6 +79,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             at = to
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows with one key, which sorted batches hold next to each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and k[a] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = k[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 _rng = np.random.default_rng(20240229)
 #: A random odd value a byte, and the base of the rolling hash with its inverse modulo 2**64.
 BYTE_VALUES = _rng.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

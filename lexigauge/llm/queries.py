@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .decontamination import find_contamination
+from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -42,8 +43,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return _as_doc(near_duplicates(docs, k=5, least=0.8))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_sharding, op6_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
