@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .decontamination import find_contamination
+from .embedding_duplicates import linked_vectors
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -48,8 +49,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_doc(near_duplicates(docs, k=5, least=0.8))
 
 
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return linked_vectors(vectors, least=0.93).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash)}
+    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:
