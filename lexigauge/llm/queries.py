@@ -12,6 +12,7 @@ from .embedding_duplicates import linked_vectors
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
@@ -24,6 +25,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_doc(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return remove_repeats(docs, window=200).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return _as_doc(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512))
@@ -55,7 +61,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash, op10_embedding_links)}
+    return {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:
