@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import PIECES, plain
+from .token_counts import LATIN_PIECES, plain
 
 #: Pieces whose ids a worker keeps at once.
-CACHE = 700_000
+CACHE = 1_500_000
 
 
 class SumOfSquares:
@@ -72,12 +72,10 @@ def encoder(path: str, end_id: int):
     """A function from texts to the bytes of their ids (little-endian, 32 bits), with end_id after each."""
     import os
 
-    import regex
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    pieces = regex.compile(PIECES)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     known: dict[str, bytes] = {}
     end = np.array([end_id], "<u4").tobytes()
@@ -85,7 +83,7 @@ def encoder(path: str, end_id: int):
     def encode(texts: list[str]) -> list[bytes]:
         # pieces are encoded one by one, each once, as no merge crosses them; texts with special strings or rare scripts are encoded whole
         odd = [any(s in t for s in special) or not plain(t) for t in texts]
-        split = [None if o else pieces.findall(t) for t, o in zip(texts, odd, strict=True)]
+        split = [None if o else LATIN_PIECES.findall(t) for t, o in zip(texts, odd, strict=True)]
         new = list({p for s in split if s for p in s}.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()

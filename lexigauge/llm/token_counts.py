@@ -4,29 +4,30 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from . import common
 
-#: White space as the vocabulary's own library has it (the Unicode property White_Space). Fixed values.
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: Pieces that merges don't cross: the published pattern of this vocabulary. Fixed values.
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Beyond these, letters and digits differ between Unicode versions; the library then cuts the pieces. Fixed value.
+#: Beyond these, letters and digits differ between Unicode versions; the library then cuts a text into its pieces. Fixed value.
 COMMON = re.compile("[^\\x00-\\u024f]")
+_LATIN = [chr(c) for c in range(0x250)]
+_LETTERS, _DIGITS = ("".join(c for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN")
+_LATIN_SPACE = r"\t-\r \x85\xa0"
+#: Pieces that merges don't cross, by the published pattern of this vocabulary, in texts without such characters; letters come first, as nothing else can begin with one.
+LATIN_PIECES = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_DIGITS}]+| ?[^{_LATIN_SPACE}{_LETTERS}{_DIGITS}]+|[{_LATIN_SPACE}]+(?![^{_LATIN_SPACE}])|[{_LATIN_SPACE}]+")
 #: Words whose counts a worker keeps at once.
 CACHE = 1_000_000
 
 
 def plain(text: str) -> bool:
-    """Whether PIECES cuts the text as the library does, whatever their Unicode versions."""
+    """Whether LATIN_PIECES cuts the text as the library does."""
     return text.isascii() or not COMMON.search(text)
 
 
@@ -100,14 +101,14 @@ class _Known(dict):
 def counter(path: str):
     """A function from a text to its number of tokens; a special string in a text is one token."""
     merger = PairMerger(path)
-    known, pieces, cut = _Known(merger), regex.compile(PIECES), ByteLevel(add_prefix_space=False)
-    special = regex.compile("|".join(map(regex.escape, sorted(merger.special, key=len, reverse=True)))) if merger.special else None
+    known, cut = _Known(merger), ByteLevel(add_prefix_space=False)
+    special = re.compile("|".join(map(re.escape, sorted(merger.special, key=len, reverse=True)))) if merger.special else None
 
     def count(text: str | None) -> int:
         if not text:
             return 0
         parts = special.split(text) if special else [text]
-        cuts = (pieces.findall(p) if plain(p) else [p[a:b] for _, (a, b) in cut.pre_tokenize_str(p)] for p in parts)
+        cuts = (LATIN_PIECES.findall(p) if plain(p) else [p[a:b] for _, (a, b) in cut.pre_tokenize_str(p)] for p in parts)
         return len(parts) - 1 + sum(sum(map(known.__getitem__, c)) for c in cuts)
 
     return count
