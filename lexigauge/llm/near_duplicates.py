@@ -124,6 +124,16 @@ def signatures(docs: DataFrame, weights, k: int, bands: int, per_band: int) -> D
     return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text_key binary, samples binary, bands array<long>")
 
 
+def similar(a: tuple, b: tuple, least: float) -> bool:
+    """Whether the weighted Jaccard similarity of two shingle sets is `least` or more."""
+    all_, small = float(a[1].sum()) + float(b[1].sum()), min(float(a[1].sum()), float(b[1].sum()))
+    if small < least * (all_ - small) - 1e-9:
+        return False
+    _, p, q = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = float(np.minimum(a[1][p], b[1][q]).sum())
+    return both >= least * (all_ - both) - 1e-9
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) -> DataFrame:
     """(a, b): the pairs (g, x, y) whose weighted Jaccard similarity is `least` or more.
 
@@ -150,10 +160,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) ->
                 if role[i] == 0:
                     held[x[i]] = own
                     continue
-                (ha, wa), (hb, wb) = held[x[i]], held[y[i]]
-                _, p, q = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                both = float(np.minimum(wa[p], wb[q]).sum())
-                if both >= least * (float(wa.sum()) + float(wb.sum()) - both) - 1e-9:
+                if similar(held[x[i]], held[y[i]], least):
                     found.append(i)
             kind = batch.column("id").type
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], kind), pa.array([y[i] for i in found], kind)], names=["a", "b"])
@@ -162,12 +169,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) ->
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _apart(rows: DataFrame, bands: int, enough: int, tile: int) -> DataFrame:
-    """(g, x, y): pairs of one bucket in different components that agree in `enough` samples.
+def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float, bands: int, enough: int, tile: int) -> DataFrame:
+    """(a, b): links between texts of one bucket that are in different components, enough of them to join those.
 
     rows: (band, key, id, n, hub, component, samples, bands). A bucket of more than `tile`
-    texts is dealt out as pairs of tiles, so no task holds more than two tiles. A pair comes
-    from the first band that it shares only, and not if one of the two is the bucket's hub.
+    texts is dealt out as pairs of tiles, so no task holds more than two tiles. Pairs that
+    agree in `enough` samples are verified by their shingles, those that agree most first,
+    unless links found before join them; a pair counts in the first band that it shares only,
+    and not if one of the two is the bucket's hub. Pairs stay inside the task.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = F.ceil(F.col("n") / tile).cast("int")
@@ -175,31 +184,63 @@ def _apart(rows: DataFrame, bands: int, enough: int, tile: int) -> DataFrame:
     rows = rows.select(F.xxhash64("band", "key", F.least("t", "o"), F.greatest("t", "o")).alias("g"), "band", (F.col("t") > F.col("o")).alias("late"), (F.col("t") == F.col("o")).alias("same"), (F.col("id") == F.col("hub")).alias("is_hub"), "id", "component", "samples", "bands")
     kind = rows.schema["id"].dataType.simpleString()
 
+    def candidates(group):
+        comp = np.array(group.column("component").to_pylist())
+        none = np.empty(0, np.int64)
+        if (comp == comp[0]).all():
+            return none, none, comp
+        same, late, hub = (np.array(group.column(c).to_pylist(), bool) for c in ("same", "late", "is_hub"))
+        s = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(len(comp), -1)
+        keys = np.array(group.column("bands").to_pylist(), np.int64)
+        band = group.column("band")[0].as_py()
+        left = np.flatnonzero((same | ~late) & ~hub)
+        right = left if same.all() else np.flatnonzero(late & ~hub)
+        xs, ys, agree = [none], [none], [none]
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
+            alike = (s[i][:, None, :] == s[right][None, :, :]).sum(-1)
+            ok = (alike >= enough) & (comp[i][:, None] != comp[right][None, :])
+            if right is left:
+                ok &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
+            p, q = np.nonzero(ok)
+            first = (keys[i[p]] == keys[right[q]]).argmax(1) == band if len(p) else np.zeros(0, bool)
+            p, q = p[first], q[first]
+            xs.append(i[p])
+            ys.append(right[q])
+            agree.append(alike[p, q])
+        order = np.argsort(-np.concatenate(agree), kind="stable")
+        return np.concatenate(xs)[order], np.concatenate(ys)[order], comp
+
     def run(batches):
+        w = weights.value
         for group in common.runs(batches, "g"):
-            ids, comp = (np.array(group.column(c).to_pylist()) for c in ("id", "component"))
-            if (comp == comp[0]).all():
+            x, y, comp = candidates(group)
+            if not len(x):
                 continue
-            same, late, hub = (np.array(group.column(c).to_pylist(), bool) for c in ("same", "late", "is_hub"))
-            s = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
-            keys = np.array(group.column("bands").to_pylist(), np.int64)
-            band = group.column("band")[0].as_py()
-            left = np.flatnonzero((same | ~late) & ~hub)
-            right = left if same.all() else np.flatnonzero(late & ~hub)
-            xs, ys = [], []
-            for at in range(0, len(left), 64):
-                i = left[at : at + 64]
-                ok = ((s[i][:, None, :] == s[right][None, :, :]).sum(-1) >= enough) & (comp[i][:, None] != comp[right][None, :])
-                if right is left:
-                    ok &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
-                p, q = np.nonzero(ok)
-                first = (keys[i[p]] == keys[right[q]]).argmax(1) == band if len(p) else np.zeros(0, bool)
-                xs += ids[i[p[first]]].tolist()
-                ys += ids[right[q[first]]].tolist()
-            if xs:
-                yield pa.RecordBatch.from_arrays([pa.array([group.column("g")[0].as_py()] * len(xs), pa.int64()), pa.array(xs, group.column("id").type), pa.array(ys, group.column("id").type)], names=["g", "x", "y"])
-
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"g long, x {kind}, y {kind}")
+            used = np.unique(np.concatenate([x, y]))
+            sets = {}
+            for batch in common.slices(iter(group.select(["text"]).take(pa.array(used)).to_batches()), "text"):
+                for own in shingles(*common.text_buffers(batch.column("text")), w, k):
+                    sets[int(used[len(sets)])] = own
+            root: dict = {}
+
+            def top(c, root=root):
+                while (up := root.get(c, c)) != c:
+                    c = up
+                return c
+
+            found = []
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = top(comp[i]), top(comp[j])
+                if p != q and similar(sets[i], sets[j], least):
+                    root[p] = q
+                    found.append((i, j))
+            if found:
+                ids = group.column("id").to_pylist()
+                t = group.column("id").type
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], t), pa.array([ids[j] for _, j in found], t)], names=["a", "b"])
+
+    return rows.join(docs.select("id", "text"), "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 16, per_band: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
@@ -245,8 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     placed = placed.join(mixed, ["band", "key"], "left_semi").join(once.select("id", "samples", "bands"), "id")
     samples = bands * per_band
     enough = int(samples * least - 2.7 * (samples * least * (1 - least)) ** 0.5)
-    apart = common.cut(_apart(placed, bands, enough, tile))
-    more = common.cut(_verify(apart, docs, weights, k, least))
+    more = common.cut(_join_apart(placed, docs, weights, k, least, bands, enough, tile))
     if more.limit(1).count():
         comp = common.components(links.unionByName(more))
     out = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
