@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,8 +90,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int):
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items array<string>, spans array<struct<start,end>>, kept_text) of each document.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_hit, items array<string>, spans array<struct<start,end>>, kept_text, and the columns in carry) of each document.
 
     A window is n consecutive words of an item, or all words of a shorter item; a word of a
     document inside any occurrence of a window is hit. Words are compared lower-cased (A-Z).
@@ -143,13 +141,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
                     kept[r] = b"".join([*out, raw[at:]]).decode()
                 texts = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), texts],
-                names=["id", "n_words", "n_hit", "items", "spans", "kept_text"],
+                [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), texts, *([batch.column("carried")] if carry else [])],
+                names=["id", "n_words", "n_hit", "items", "spans", "kept_text", *["carried"] * bool(carry)],
             )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, kept_text string")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    carried = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
+    out = rows.mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, kept_text string" + carried)
+    return out.select("id", "n_words", "n_hit", "items", "spans", "kept_text", *[F.col("carried")[c].alias(c) for c in carry])

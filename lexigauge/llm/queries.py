@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from . import common
 from .decontamination import find_contamination
 from .embedding_duplicates import linked_vectors
+from .language_id import identify
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 
 def _as_doc(df: DataFrame) -> DataFrame:
@@ -25,6 +28,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_doc(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = score_toxicity(docs, labels, common.fold("doc_id", 4) != 2, bound=8000, cut=0.3)
+    return out.select(F.col("id").alias("doc_id"), (common.fold("id", 4) == 2).alias("held_out"), "score", "predicted", "flagged")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return remove_repeats(docs, window=200).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,18 +59,31 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    out = identify(docs, common.fold("id", 4) != 2, public_tokenizers.path("byte_bpe_50k.tiktoken"), bound=1000)
+    return out.select(F.col("id").alias("doc_id"), (common.fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return _as_doc(near_duplicates(docs, k=5, least=0.8))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = fit_quality(docs, labels, common.fold("doc_id", 5) != 0)
+    out = score_quality(docs, model, cut=0.3)
+    return out.select(F.col("id").alias("doc_id"), (common.fold("id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
     return linked_vectors(vectors, least=0.93).withColumnRenamed("id", "vec_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op8_minhash, op10_embedding_links)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -370,7 +370,7 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
                 found = _merge_bucket(own, shape)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in ("key", "key2", "lo", "hi")], names=["key", "key2", "lo", "hi"])
 
-    runs = docs.join(hits, ["key", "key2"]).select("id", "text", "key", "key2", "few", "many").mapInArrow(contexts, "bucket int, kind int, blob binary")
+    runs = docs.join(hits, ["key", "key2"]).select("text", "key", "key2", "few", "many").mapInArrow(contexts, "bucket int, kind int, blob binary")
     found = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(spans, "key long, key2 int, lo int, hi int")
     return found.groupBy("key", "key2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -380,12 +380,13 @@ def _batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, removed array<struct<start,end>>, n_removed, n_spans, kept binary) of each document.
+def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(id, n_bytes, removed array<struct<start,end>>, n_removed, n_spans, kept binary, and the columns in carry) of each document.
 
     Each byte covered by a string of `window` bytes that also starts anywhere else, in this
-    or another document, is removed; all copies go. Texts are UTF-8 bytes, so kept may begin
-    or end inside a character.
+    or another document, is removed; all copies go. Texts are UTF-8 bytes, so a cut may lie
+    inside a character; with as_text, kept is a string without the parts of such characters,
+    and null where the text is.
 
     Suffixes are sorted from anchors only: positions chosen by the bytes around them so that
     each window holds one, and only where the ANCHOR bytes there occur twice at least. Tasks
@@ -402,7 +403,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
         raise ValueError(f"window must be over {ANCHOR}")
     common.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"), F.hash(text).alias("key2"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), text).alias("key"), F.hash(text).alias("key2"), *([F.struct(*carry).alias("carried")] if carry else []))
     spans = repeated_windows(docs, window, hot)
 
     def remove(batches):
@@ -424,12 +425,17 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
                 removed.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
                 n_removed.append(int(gone.sum()))
                 kept.append(raw[~gone].tobytes())
+            if as_text:
+                there = batch.column("text").is_valid().to_pylist()
+                kept = [x.decode("utf-8", "ignore") if ok else None for x, ok in zip(kept, there, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "removed", "n_removed", "n_spans", "kept"],
+                [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), *([batch.column("carried")] if carry else [])],
+                names=["id", "n_bytes", "removed", "n_removed", "n_spans", "kept", *["carried"] * bool(carry)],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.join(spans, ["key", "key2"], "left").select("id", "text", "spans")
-    return rows.mapInArrow(remove, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, n_removed long, n_spans long, kept binary")
+    rows = docs.join(spans, ["key", "key2"], "left").select("id", "text", "spans", *["carried"] * bool(carry))
+    carried = f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""
+    out = rows.mapInArrow(remove, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + carried)
+    return out.select("id", "n_bytes", "removed", "n_removed", "n_spans", "kept", *[F.col("carried")[c].alias(c) for c in carry])
 
