@@ -1,0 +1 @@
+"""Estimators: plans that aggregate in Spark and solve what is small in numpy."""
