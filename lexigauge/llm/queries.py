@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, oracles
 from .decontamination import find_contamination
 from .embedding_duplicates import linked_vectors
 from .language_id import identify
@@ -87,4 +87,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries train models, count tokens, pack or sort suffixes; their tests compare them with brute force or held-out labels."""
+    return {"op5_sharding": oracles.SHARDING, "op6_decontamination": oracles.DECONTAMINATION, "op8_minhash": oracles.NEAR_DUPLICATES, "op10_embedding_links": oracles.EMBEDDING_LINKS}
