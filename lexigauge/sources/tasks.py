@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def parse(text: str) -> dict:
@@ -34,14 +33,29 @@ def _scalar(x: str):
     return {"true": True, "false": False, "null": None}.get(x.lower(), x)
 
 
+def _config_files(spark: SparkSession, folder: str):
+    """(path, text) of task files in any store; names may begin with an underscore, which Spark's readers skip."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    found = fs.listFiles(root, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if re.search(r"(\.ya?ml|_yaml)$", path.getName()):
+            stream = fs.open(path)
+            try:
+                yield path.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+
+
 def registry(spark: SparkSession, folder: str) -> DataFrame:
     """(name, parent, dataset, split, metric, scorer, weight_by_size): a row for each task and for each member of each group.
 
     A file's own settings win over those that it includes. Task files are small and few
     against data, so they are resolved in the driver.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    texts = {r["path"]: parse(r["value"]) for r in files.where(F.col("path").rlike(r"(\.ya?ml|_yaml)$")).toLocalIterator()}
+    texts = {path: parse(text) for path, text in _config_files(spark, folder)}
 
     def resolved(path: str, seen: tuple = ()) -> dict:
         own = texts[path]
