@@ -29,7 +29,8 @@ def with_words_and_surprisal(reads: DataFrame, words: DataFrame, surprisal: Data
 def neighbour(frame: DataFrame, k: int, columns: list[str], item: str = "itemid", position: str = "wordnum") -> DataFrame:
     """(item, position, columns with the suffix kp): what stands k positions on, at the position before it. Distinct, from position 1."""
     out = frame.select(item, (F.col(position) - k).alias(position), *[F.col(c).alias(f"{c}{k}p") for c in columns])
-    return out.where(F.col(position) >= 1).distinct()
+    # dealt out as the joins need it, which serves distinct too
+    return out.where(F.col(position) >= 1).repartition(item, position).distinct()
 
 
 def spillover(frame: DataFrame, columns: list[str], item: str = "itemid", position: str = "wordnum", reach: int = 2) -> DataFrame:
@@ -58,9 +59,15 @@ def trim_edges(frame: DataFrame, group: list[str], position: str = "wordnum") ->
 
 
 def reading_frame(frame: DataFrame, columns: list[str], sentence: str = "sentnum") -> DataFrame:
-    """Trimmed rows with the neighbours of the untrimmed frame: rows at a sentence's edge, and those without two words after them, are left out."""
-    trimmed = trim_edges(frame, ["itemid", sentence])
-    return null_safe_join(trimmed, spillover(frame, columns), frame.columns)
+    """Trimmed rows with the neighbours of the untrimmed frame: rows at a sentence's edge, and those without two words after them, are left out.
+
+    That is the natural, null-equal join of the trimmed frame with spillover(frame), without
+    the join: each trimmed row meets the distinct neighbours of its own position.
+    """
+    out = trim_edges(frame, ["itemid", sentence])
+    for k in (1, 2):
+        out = out.join(neighbour(frame, k, columns), ["itemid", "wordnum"])
+    return out
 
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

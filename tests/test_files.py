@@ -246,3 +246,11 @@ def test_splits(spark):
     assert splits.uniform_mixture(df.where("g <> 1 or id < 9"), "g", F.col("id")).count() == 9
     with pytest.raises(ValueError):
         splits.share_split(df, "id", {"a": 0.5})
+
+
+def test_reading_frame_is_the_null_equal_join(spark):
+    rows = [("i", w, s, v) for w, s, v in [(1, 1, 1.0), (2, 1, 2.0), (2, 1, 2.0), (3, 1, None), (4, 1, 4.0), (5, 1, 5.0), (1, None, 1.5), (2, None, 2.5), (3, None, 3.5)]]
+    df = spark.createDataFrame(rows, "itemid string, wordnum int, sentnum int, v double")
+    want = frames.null_safe_join(frames.trim_edges(df, ["itemid", "sentnum"]), frames.spillover(df, ["v"]), df.columns)
+    got = frames.reading_frame(df, ["v"])
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, map(tuple, want.collect()))) and got.count() > 5
