@@ -14,6 +14,8 @@ from . import common
 
 #: Bytes by whose hash suffixes are chosen for the sort.
 ANCHOR = 40
+#: Bytes of a long text that are searched for anchors at once.
+STRETCH = 1 << 21
 #: Suffixes in a sorted run, and in a bucket, about.
 RUN, BUCKET = 100_000, 50_000
 #: Where more suffixes than this begin with the same ANCHOR bytes, all windows around them are sorted instead.
@@ -40,6 +42,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) < window:
         return none
+    if len(data) > 2 * STRETCH:  # a long text by stretches that hold all its windows
+        found = []
+        for a in range(0, len(data), STRETCH):
+            part = data[a : a + STRETCH + window - 1]
+            at, h = anchors(part, np.unique(np.clip(offsets - a, 0, len(part))), window)
+            found.append((at + a, h))
+        at, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+        return at, np.concatenate([h for _, h in found])[first]
     start = np.arange(len(data) - ANCHOR + 1)
     h = common.span_hash(common.prefix_hash(common.BYTE_VALUES[data]), start, start + ANCHOR)
     # bytes left in the row from each position
@@ -149,7 +159,6 @@ def _unpack(blob: bytes, kinds: list) -> list:
 
 
 RUN_KINDS = [np.uint16, np.uint8, np.int64, np.int32, np.int32, bytes]
-SPAN_KINDS = [np.int64, np.int32, np.int32, np.int32]
 
 
 class Contexts:
@@ -177,6 +186,35 @@ class Contexts:
         return self.window - suffix, np.minimum(before, self.before)
 
 
+SPAN = np.dtype([("key", np.int64), ("key2", np.int32), ("lo", np.int32), ("hi", np.int32)])
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans of window starts with those of one text that touch made one."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.lexsort((spans["lo"], spans["key2"], spans["key"]))]
+    text = np.zeros(len(spans), np.int64)
+    text[1:] = np.cumsum((spans["key"][1:] != spans["key"][:-1]) | (spans["key2"][1:] != spans["key2"][:-1]))
+    reach = np.maximum.accumulate(spans["hi"] + (text << 33)) - (text << 33)
+    new = np.ones(len(spans), bool)
+    new[1:] = (text[1:] != text[:-1]) | (spans["lo"][1:] > reach[:-1] + 1)
+    first = np.flatnonzero(new)
+    out = spans[first]
+    out["hi"] = reach[np.append(first[1:] - 1, len(spans) - 1)]
+    return out
+
+
+def _bucket(x: np.ndarray, length: int, buckets: int) -> np.ndarray:
+    """The bucket of each context, by its first bytes."""
+    up, _ = common.powers(length)
+    out = np.empty(len(x), np.int64)
+    for k in range(0, len(x), 8192):
+        h = common.mix((common.BYTE_VALUES[x[k : k + 8192, :length]] * up[:length]).sum(1, dtype=np.uint64))
+        out[k : k + 8192] = (h % np.uint64(buckets)).astype(np.int64)
+    return out
+
+
 def _emit(x: np.ndarray, ref: np.ndarray, place: np.ndarray, buckets: int, shape: Contexts, salt: int):
     """Rows (bucket, kind, blob) of one sorted run: its share of each bucket, and the spans that it shows to be repeated itself.
 
@@ -196,7 +234,9 @@ def _emit(x: np.ndarray, ref: np.ndarray, place: np.ndarray, buckets: int, shape
         ok = least <= most
         r = ref[many][ok]
         if len(r):
-            yield salt % buckets, 1, _pack(r["key"], r["key2"], r["at"] - most[ok].astype(np.int32), r["at"] - least[ok].astype(np.int32))
+            own = np.empty(len(r), SPAN)
+            own["key"], own["key2"], own["lo"], own["hi"] = r["key"], r["key2"], r["at"] - most[ok], r["at"] - least[ok]
+            yield salt % buckets, 1, _joined(own).tobytes()
     x, ref, place, count = x[first], ref[first], place[first], np.minimum(count, 2).astype(np.uint8)
     shared = np.zeros(len(x), np.uint16)
     if len(x) > 1:
@@ -295,7 +335,7 @@ def _merge_bucket(blobs: list[bytes], shape: Contexts) -> np.ndarray:
         ref = refs[run][1][r]
         for j in range(first[context], first[context + 1]):
             out.append((ref["key"], ref["key2"], ref["at"] - (hi[j] - 1), ref["at"] - lo[j]))
-    return np.array(out, [("key", np.int64), ("key2", np.int32), ("lo", np.int32), ("hi", np.int32)])
+    return np.array(out, SPAN)
 
 
 def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
@@ -334,7 +374,6 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
 
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
-            p = common.prefix_hash(common.BYTE_VALUES[data])
             keys, keys2 = batch.column("key").to_pylist(), batch.column("key2").to_pylist()
             few, many = batch.column("few").to_pylist(), batch.column("many").to_pylist()
             for r in range(batch.num_rows):
@@ -350,7 +389,7 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
                         ref = np.empty(len(at), REF)
                         ref["key"], ref["key2"], ref["at"] = keys[r], keys2[r], at - lo
                         refs.append(ref)
-                        places.append((common.span_hash(p, at, at + (window if alone else ANCHOR)) % np.uint64(buckets)).astype(np.int64))
+                        places.append(_bucket(held[-1], window if alone else ANCHOR, buckets))
                         n += len(at)
                         if n >= RUN:
                             salt = keys[r]
@@ -363,12 +402,11 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     def spans(batches):
         for group in common.runs(batches, "bucket"):
             kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
-            for kind, blob in zip(kinds, blobs, strict=True):
-                if kind == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpack(blob, SPAN_KINDS)], names=["key", "key2", "lo", "hi"])
+            found = [np.frombuffer(b, SPAN) for k, b in zip(kinds, blobs, strict=True) if k == 1]
             if own := [b for k, b in zip(kinds, blobs, strict=True) if k == 0]:
-                found = _merge_bucket(own, shape)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in ("key", "key2", "lo", "hi")], names=["key", "key2", "lo", "hi"])
+                found.append(_merge_bucket(own, shape))
+            every = _joined(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[c])) for c in SPAN.names], names=list(SPAN.names))
 
     runs = docs.join(hits, ["key", "key2"]).select("text", "key", "key2", "few", "many").mapInArrow(contexts, "bucket int, kind int, blob binary")
     found = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(spans, "key long, key2 int, lo int, hi int")

@@ -55,12 +55,17 @@ def test_odd_rows(spark, docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
-def test_each_window_holds_an_anchor():
+@pytest.mark.parametrize("stretch", [suffix_dedup.STRETCH, 300])
+def test_each_window_holds_an_anchor(monkeypatch, stretch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     rng = random.Random(2)
     raw = [(prose(rng, n) + "x" * m).encode() for n, m in ((300, 0), (50, 300), (1, 1), (200, 5))]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.cumsum([0, *map(len, raw)])
-    at, _ = anchors(data, offsets, 200)
+    at, h = anchors(data, offsets, 200)
+    monkeypatch.undo()
+    whole = dict(zip(*anchors(data, offsets, 200), strict=True))
+    assert all(whole[i] == v for i, v in zip(at.tolist(), h, strict=True) if i in whole) and set(whole) <= set(at.tolist())
     for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
         for i in range(lo, hi - 199):
             assert ((at >= i) & (at <= i + 160)).any()
