@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import revisions
-
 #: Expected numbers of predictions. Fixed values.
 EWOK_SIZES = {
     "agent-properties": 2210, "social-relations": 1548, "physical-relations": 818, "material-dynamics": 770, "physical-interactions": 556, "spatial-relations": 490,
@@ -71,12 +69,32 @@ def remaining(steps: DataFrame, done: DataFrame, step: str) -> DataFrame:
     return steps.join(done.select(step).distinct(), step, "left_anti")
 
 
-def required_paths(fast: bool, multimodal: bool = False, small: bool = False) -> list[str]:
-    """Result files that a submission needs, relative to its folder."""
-    tasks = ["blimp", "supplement", "ewok", "entity_tracking", "comps", "global_piqa_parallel", "reading"] if not fast else ["blimp", "supplement", "ewok", "entity_tracking", "reading"]
-    tasks += ["vqa", "winoground"] if multimodal else []
-    names = revisions(small) if fast else ["main"]
-    return [f"{revision}/zero_shot/{task}/predictions.json" for revision in names for task in tasks]
+#: Zero-shot results that a submission needs, by folder under zero_shot/<backend>, and finetuning tasks. Fixed values.
+FAST_RESULTS = ["blimp/blimp_fast", "blimp/supplement_fast", "ewok/ewok_fast", "entity_tracking/entity_tracking_fast", "global_piqa_parallel/global_piqa_parallel", "global_piqa_nonparallel/global_piqa_nonparallel", "reading"]
+FULL_RESULTS = ["blimp/blimp_filtered", "blimp/supplement_filtered", "ewok/ewok_filtered", "entity_tracking/entity_tracking", "comps/comps", "global_piqa_parallel/global_piqa_parallel", "global_piqa_nonparallel/global_piqa_nonparallel", "reading"]
+MULTIMODAL_RESULTS = ["vqa/vqa_filtered", "winoground/winoground_filtered"]
+MULTIMODAL_MATRICES = ["lex-viz_vocab.npy", "gram-trog.npy", "sem-things_pairwise_sims.npy"]
+
+
+def required_paths(revision: str, backend: str, fast: bool, multimodal: bool = False) -> list[str]:
+    """Result files that a submission needs of a revision, relative to the model's folder."""
+    zero = f"{revision}/zero_shot/{backend}"
+    if fast:
+        return [f"{zero}/{r}/predictions.json" for r in FAST_RESULTS]
+    out = [f"{revision}/finetune/{t}/predictions.json" for t in GLUE_SIZES]
+    out += [f"{zero}/{r}/predictions.json" for r in FULL_RESULTS] + [f"{zero}/AoA_word/surprisal.json"]
+    if multimodal:
+        out += [f"{zero}/{r}/predictions.json" for r in MULTIMODAL_RESULTS] + [f"{revision}/zero_shot/devbench/{m}" for m in MULTIMODAL_MATRICES]
+    return out
+
+
+def missing_paths(spark, folder: str, required: list[str]) -> DataFrame:
+    """(path) of required files that a folder, in any store, lacks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    want = spark.createDataFrame([(p,) for p in required], "path string")
+    # what stands after the folder's own path, however its scheme is written
+    inner = F.substring_index(F.col("path"), "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1).alias("path")
+    return want.join(files.select(inner).distinct(), "path", "left_anti")
 
 
 def finite_or_fail(x: Column, message: str) -> Column:

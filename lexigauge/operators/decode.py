@@ -174,6 +174,53 @@ def cause_or_effect(question: Column, premise: Column, choice: Column) -> Column
     return F.when(strip(question) == "cause", _joined(choice, premise)).when(strip(question) == "effect", _joined(premise, choice)).otherwise("")
 
 
+#: Codes and names of languages. Fixed values.
+THREE_LETTERS = {
+    "bg": "bul", "zh": "zho", "nl": "nld", "en": "eng", "fr": "fra", "de": "deu", "id": "ind", "fa": "pes", "uk": "ukr", "af": "afr", "ar": "arb", "eu": "eus", "et": "est", "el": "ell", "he": "heb",
+    "it": "ita", "ja": "jpn", "pl": "pol", "pt": "por", "sr": "srp", "es": "spa", "sv": "swe", "cy": "cym", "yue": "yue", "ace": "ace", "ban": "ban", "bug": "bug", "hr": "hrv", "cs": "ces", "da": "dan",
+    "hu": "hun", "is": "isl", "jv": "jav", "ko": "kor", "mak": "mak", "min": "min", "no": "nob", "nso": "nso", "ro": "ron", "ru": "rus", "st": "sot", "su": "sun", "tr": "tur", "xh": "xho", "zu": "zul",
+}
+LANGUAGE_NAMES = {
+    "sq": "Albanian", "bg": "Bulgarian", "ms": "Malay", "nl": "Dutch", "ko": "Korean", "mk": "North Macedonian", "sr": "Serbian", "ml": "Malayalam", "vi": "Vietnamese", "hi": "Hindi", "ja": "Japanese",
+    "de": "German", "et": "Estonian", "lt": "Lithuanian", "hu": "Hungarian", "ur": "Urdu", "uz": "Uzbek", "te": "Telugu", "kk": "Kazakh", "tr": "Turkish", "ru": "Russian", "ka": "Georgian", "it": "Italian",
+    "tl": "Tagalog", "el": "Greek", "pt": "Portuguese", "he": "Hebrew", "fi": "Finnish", "pl": "Polish", "hr": "Croatian", "fr": "French", "be": "Belarusian", "hy": "Armenian", "az": "Azerbaijani",
+    "es": "Spanish", "ta": "Tamil", "zh": "Chinese", "fa": "Persian", "id": "Indonesian", "ar": "Arabic", "ne": "Nepali", "uk": "Ukrainian", "bn": "Bengali", "eu": "Basque",
+}
+#: How prompt data sets name their parts. Fixed values.
+PROMPT_PARTS = {"arc": "ARCEasyDataset", "bmlama": "BMLAMADataset", "mmlu": "MMLUDataset", "truthfulqa": "TruthfulQADataset", "mnli": "MNLIDataset"}
+
+
+def dataset_config(dataset: str, language: str, subtask: str | None = None, scripts: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
+    """The configuration name of a data set in a language, and which columns its unified records come from. scripts: full codes (bul_Cyrl) by language. Unknown ones are errors."""
+
+    def known(table: dict[str, str] | None) -> str:
+        if language not in (table or {}):
+            raise ValueError(f"{dataset} has no language {language}")
+        return table[language]
+
+    pair = {"premise": "premise", "hypothesis": "hypothesis", "label": "label"}
+    prompt = {"sentence": "prompt", "label": "label"}
+    if dataset in ("facebook/xnli", "HiTZ/xnli-eu"):
+        return language, pair
+    if dataset == "masakhane/afrixnli":
+        return known(THREE_LETTERS), pair
+    if dataset == "masakhane/afrimmlu":
+        return known(THREE_LETTERS), {"sentence": "question", "label": "answer"}
+    if dataset == "Davlan/sib200":
+        return known(scripts), {"sentence": "text", "label": "category", "idx": "index_id"}
+    if dataset == "facebook/belebele":
+        return known(scripts), prompt
+    if dataset == "CohereLabs/include-base-44":
+        return known(LANGUAGE_NAMES), prompt
+    if dataset == "CohereLabs/Global-MMLU":
+        return language, {"sentence": "question", "label": "answer"}
+    if dataset in ("cambridgeltl/xcopa", "pkavumba/balanced-copa", "HiTZ/XCOPA-eu"):
+        return language, {"sentence1": "premise", "sentence2": "premise", "label": "label"}
+    if dataset == "aialt/MuBench" and subtask in PROMPT_PARTS:
+        return f"{PROMPT_PARTS[subtask]}_en_template_{language}", pair if subtask == "mnli" else prompt
+    raise ValueError(f"unknown data set {dataset} {subtask or ''}".strip())
+
+
 LETTERS = ("A", "B", "C", "D", "E")
 
 
@@ -225,6 +272,11 @@ def step_rows(steps: DataFrame, contexts: DataFrame) -> DataFrame:
     return each.crossJoin(F.broadcast(steps.select("step").distinct()))
 
 
+def with_images(records: DataFrame, images: DataFrame, index: str) -> DataFrame:
+    """Records with the image whose position in its data set they name; a record without one keeps null. images: (position, image)."""
+    return records.join(images.withColumnRenamed("position", index), index, "left")
+
+
 def remap_word_ids(word_ids: Column, labels: Column) -> tuple[Column, Column]:
     """Words that survive truncation numbered from 0 in order of appearance, with -1 for special tokens, and their labels."""
     kept = F.array_distinct(F.filter(word_ids, lambda w: w.isNotNull()))

@@ -25,6 +25,16 @@ def macro_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return per.agg(F.avg(2 * F.col("hit") / (F.col("g") + F.col("p"))).alias("macro_f1"))
 
 
+def combined(columns: list[str]):
+    """The mean of several metrics of a row, as a single score."""
+    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
+
+
+def categories(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): how many rows fell into each category."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def squared_error(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return df.agg(F.avg((F.col(gold) - F.col(pred)) * (F.col(gold) - F.col(pred))).alias("mse"))
 

@@ -65,3 +65,9 @@ def vocabulary_filter(rows: DataFrame, key: str, texts: list[str], vocabulary: D
     tokens = rows.select(key, F.explode(F.array_distinct(every)).alias("word"))
     strange = tokens.join(vocabulary.select("word").distinct(), "word", "left_anti").select(key).distinct()
     return rows.join(strange, key, "left_anti")
+
+
+def in_dictionary(words_: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
+    """Rows whose word is in a spelling dictionary (word), in any case of letters."""
+    known = dictionary.select(F.lower("word").alias("__w")).distinct()
+    return words_.join(known, F.lower(F.col(word)) == F.col("__w"), "left_semi")

@@ -85,7 +85,9 @@ def model_age(steps: np.ndarray, surprisal: np.ndarray, chance: float) -> tuple[
         return None, None, "bad shape"
     level = -(chance + surprisal.min()) / 2
     span = float(np.ptp(y))
-    p = bounded_fit(x, y, np.array([span, 1.0, x.mean(), y.min()]), np.array([0, 0, x.min(), y.min() - span]), np.array([3 * span, 50.0, x.max(), y.max()]), 20_000)
+    low = np.array([0, 0, x.min() - 1, y.min() - 2 * span - 1])
+    high = np.array([10 * span + 1, 100, x.max() + 1, y.max() + 1])
+    p = bounded_fit(x, y, np.array([span, 1.0, x.mean(), y.min()]), low, high, 20_000)
     if p is None:
         return None, None, "no fit"
     return p, *_crossing(p, level, x.min(), x.max(), 1e-6)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import numeric, text
+from .functions import numeric, text, tokens
 from .operators import checks, collate, decode, frames, metrics, ngrams, ranking, splits
 from .plans import curves, mixed, regression
 from .session import table
@@ -305,6 +305,62 @@ def zscore_frame(spark, d):
     return frames.z_scores(table(spark, d, "events").select("event_id", "value"), ["value"]).select("event_id", r6(F.col("z_value"), "z_value"))
 
 
+# Tokens
+
+
+_OFFSETS = r"t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations), o AS (SELECT conv_id, turn, list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: len(x))) + i - 1) AS ends, list_sum(list_transform(w[1:3], lambda x: len(x))) + least(3, len(w)) - 1 AS lo FROM t WHERE len(w) > 4)"
+
+
+def _offsets(spark, d):
+    """Words stand in for tokens: (conv_id, turn, ends, lo) with each word's last character, and where the third one ends."""
+    w = F.slice(text.words(F.col("text")), 1, 12)
+    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).where(F.size("w") > 4)
+    upto = lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + i - 1
+    return t.select("conv_id", "turn", F.transform(F.sequence(F.lit(1), F.size("w")), upto).alias("ends"), upto(F.lit(3)).alias("lo"))
+
+
+@query(f"WITH {_OFFSETS} SELECT conv_id, turn, CAST(len(ends) AS BIGINT) AS n, CAST(len(list_filter(ends, lambda e: e > lo)) AS BIGINT) AS in_phrase FROM o")
+def token_offset_mask(spark, d):
+    o = _offsets(spark, d)
+    pairs = F.transform("ends", lambda e: F.struct((e - 1).alias("start"), e.alias("end")))
+    mask = tokens.phrase_mask(pairs, F.col("lo"))
+    return o.select("conv_id", "turn", F.size("ends").cast("long").alias("n"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("in_phrase"))
+
+
+@query(f"WITH {_OFFSETS}, p AS (SELECT conv_id, turn, len(ends) AS n, len(list_filter(ends, lambda e: e <= lo)) AS lo_n, len(list_filter(ends, lambda e: e <= lo + 15)) AS hi_n FROM o), q AS (SELECT * FROM p WHERE hi_n > lo_n) SELECT conv_id, turn, CAST(CASE WHEN hi_n - 1 < 5 THEN 0 ELSE least(greatest(0, hi_n - 5), lo_n) END AS BIGINT) AS a, CAST(CASE WHEN hi_n - 1 < 5 THEN least(n, 5) ELSE hi_n END AS BIGINT) AS b FROM q")
+def context_window_anchor(spark, d):
+    o = _offsets(spark, d)
+    o = o.withColumn("p", tokens.word_positions(F.col("ends"), F.col("lo"), F.col("lo") + 15))
+    w = tokens.scoring_window(F.col("p"), F.size("ends"), 5)
+    return o.where(F.size("p") > 0).select("conv_id", "turn", w["a"].cast("long").alias("a"), w["b"].cast("long").alias("b"))
+
+
+@query("SELECT l_orderkey AS item, round(exp(sum(ln(1 - l_discount))), 5) AS p, round(0 - sum(ln(1 - l_discount)), 5) AS surprisal, count(*) AS n_tokens FROM lineitem GROUP BY 1")
+def word_probability(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), (1 - F.col("l_discount")).alias("p"))
+    return tokens.word_probability(t, ["item"]).select("item", F.round("p", 5).alias("p"), F.round("surprisal", 5).alias("surprisal"), "n_tokens")
+
+
+@query(r"WITH t AS (SELECT doc_id, list_prepend('<s>', list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents) SELECT doc_id, array_to_string(w[greatest(1, len(w) - 7):], ' ') AS tail FROM t")
+def bos_left_truncate(spark, d):
+    ids = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tokens.with_start(ids, None, 8), " ").alias("tail"))
+
+
+@query(r"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:10]) AS word FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE lower(word) IN ('the', 'and', 'der', 'les') GROUP BY 1")
+def spelling_filter(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.slice(text.words(F.col("text")), 1, 10)).alias("word"))
+    known = spark.createDataFrame([("The",), ("and",), ("Der",), ("les",)], "word string")
+    return ngrams.in_dictionary(w, known).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, url FROM documents LEFT JOIN pages ON page_id = doc_id % 400")
+def image_lookup_join(spark, d):
+    images = table(spark, d, "pages").select(F.col("page_id").alias("position"), "url")
+    records = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 400).alias("image_idx"))
+    return decode.with_images(records, images, "image_idx").select("doc_id", "url")
+
+
 # Statistics
 
 
@@ -449,6 +505,17 @@ def drop_last_accuracy(spark, d):
     return rows.join(F.broadcast(last), "doc_id", "left_anti").agg(F.count("*").alias("n"), r6(F.avg(F.col("ok").cast("double")), "accuracy"))
 
 
+@query("WITH m AS (SELECT user_id, avg(value) AS a, count(*) / 100.0 AS b FROM events GROUP BY 1) SELECT user_id, round((a + b) / 2, 6) AS combined_score FROM m")
+def combined_metric_mean(spark, d):
+    m = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("a"), (F.count("*") / 100.0).alias("b"))
+    return m.select("user_id", r6(metrics.combined(["a", "b"]), "combined_score"))
+
+
+@query()
+def aoa_outcome_counts(spark, d):
+    return metrics.categories(aoa_sigmoid_child(spark, d), "category")
+
+
 # Validation, collation, leaderboards
 
 

@@ -177,11 +177,19 @@ def test_checks(spark):
         checks.same_labels(gold.select("ord", "v"), "ord", "v")
     assert checks.remaining(gold, gold.where("ord = 2"), "ord").count() == 2
     assert checks.one_each(gold, "uid").first().n == 3
-    assert len(checks.required_paths(True, small=True)) == 19 * 5
+    assert [len(checks.required_paths("main", "causal", f, m)) for f, m in ((True, False), (False, False), (False, True))] == [7, 16, 21]
     with pytest.raises(Exception, match="not finite"):
         spark.range(1).select(checks.finite_or_fail(F.lit(float("nan")), "not finite")).collect()
 
 
+def test_missing_paths(spark, tmp_path):
+    need = checks.required_paths("main", "causal", True)
+    for p in need[:3]:
+        (tmp_path / "model" / p).parent.mkdir(parents=True)
+        (tmp_path / "model" / p).write_text("{}")
+    assert sorted(r.path for r in checks.missing_paths(spark, str(tmp_path / "model"), need).collect()) == sorted(need[3:])
+
+
 def test_collation(spark):
     rows = spark.createDataFrame([(0, "grp"), (1, "  a"), (2, "  b"), (3, "other"), (4, " c")], "ord int, alias string")
     filled = collate.header_fill(rows, "ord", collate.indent(F.col("alias")) == 0, F.col("alias"))
