@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch between Spark and Python. Texts are long, so the default of 10,000 rows or 64 MB holds too much.
+BATCH = "4m"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where none is set, and lets local Python workers import this package."""
+    """Sets a checkpoint folder where none is set, bounds the session's Arrow batches, and lets local Python workers import this package."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     paths = sc.environment.get("PYTHONPATH", "")
@@ -25,6 +30,17 @@ def prepare(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = f"{ROOT}:{paths}" if paths else ROOT
 
 
+_held: dict = {}
+
+
+def worker_state(key, make=None):
+    """What a Python worker keeps between tasks: one operator's value, made when first asked for. Another operator's task drops it, so that caches don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make() if make else None
+    return _held[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     prepare(df.sparkSession)

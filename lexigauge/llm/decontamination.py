@@ -105,6 +105,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, n)]
 
     def run(batches):
+        common.worker_state("decontamination")
         # one block's matcher in memory at a time, unless there is but one
         only = Matcher(benchmark_windows(blocks[0].value, n)) if len(blocks) == 1 else None
         for batch in common.slices(batches, "text"):

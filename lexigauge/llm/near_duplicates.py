@@ -32,6 +32,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
+        common.worker_state("near_duplicates")
         counts, n = np.zeros(CELLS, np.int64), 0
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
@@ -109,6 +110,7 @@ def signatures(docs: DataFrame, weights, k: int, bands: int, per_band: int) -> D
     """(id, text_key, samples binary, bands array<long>): the key of the exact text, null for a null text; no bands without words."""
 
     def run(batches):
+        common.worker_state("near_duplicates")
         w = weights.value
         scale = common.mix(np.arange(1, per_band + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in common.slices(batches, "text"):
@@ -147,6 +149,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) ->
     rows = texts.unionByName(asked).repartition(n, "g").sortWithinPartitions("g", "role")
 
     def run(batches):
+        common.worker_state("near_duplicates")
         w, now, held = weights.value, None, {}
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
@@ -212,6 +215,7 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
         return np.concatenate(xs)[order], np.concatenate(ys)[order], comp
 
     def run(batches):
+        common.worker_state("near_duplicates")
         w = weights.value
         for group in common.runs(batches, "g"):
             x, y, comp = candidates(group)

@@ -166,6 +166,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     """(kind, x) of rows (kind, text)."""
 
     def run(batches):
+        common.worker_state("quality")
         for batch in common.slices(batches, "text"):
             x = features(*common.text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(list(x), pa.list_(pa.float64()))], names=["kind", "x"])
@@ -206,6 +207,7 @@ def score_quality(docs: DataFrame, model: Model, cut: float = 0.3, id_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        common.worker_state("quality")
         for batch in common.slices(batches, "text"):
             s = shared.value.score(features(*common.text_buffers(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=["id", "score", "predicted"])
@@ -221,6 +223,7 @@ def keep_quality(docs: DataFrame, model: Model, cut: float = 0.3, text_col: str
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        common.worker_state("quality")
         for batch in common.slices(batches, text_col):
             s = shared.value.score(features(*common.text_buffers(batch.column(text_col))))
             yield batch.filter(pa.array(s >= cut))

@@ -344,6 +344,7 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     shape = Contexts(window)
 
     def choose(batches):
+        common.worker_state("suffix_dedup")
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
             at, h = anchors(data, offsets, window)
@@ -366,6 +367,7 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     hits = rows.join(repeated, "h").groupBy("key", "key2").agg(F.collect_list(F.when(F.col("n") < hot, F.col("at"))).alias("few"), F.collect_list(F.when(F.col("n") >= hot, F.col("at"))).alias("many"))
 
     def contexts(batches):
+        common.worker_state("suffix_dedup")
         held, refs, places, n, salt = [], [], [], 0, 0
 
         def flush():
@@ -445,6 +447,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     spans = repeated_windows(docs, window, hot)
 
     def remove(batches):
+        common.worker_state("suffix_dedup")
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
             removed, n_removed, kept = [], [], []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -22,6 +21,10 @@ _LETTERS, _DIGITS = ("".join(c for c in _LATIN if unicodedata.category(c)[0] ==
 _LATIN_SPACE = r"\t-\r \x85\xa0"
 #: Pieces that merges don't cross, by the published pattern of this vocabulary, in texts without such characters; letters come first, as nothing else can begin with one.
 LATIN_PIECES = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_DIGITS}]+| ?[^{_LATIN_SPACE}{_LETTERS}{_DIGITS}]+|[{_LATIN_SPACE}]+(?![^{_LATIN_SPACE}])|[{_LATIN_SPACE}]+")
+#: The published pattern itself. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters from which on a text's pieces aren't listed but taken one by one.
+LONG = 1 << 20
 #: Words whose counts a worker keeps at once.
 CACHE = 1_000_000
 
@@ -41,6 +44,19 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The id of each token's bytes, if ids follow the order of merges; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+
+
 class PairMerger:
     """Counts the tokens of a piece: its symbols less the merges made, lowest rank first, leftmost first among equals."""
 
@@ -97,7 +113,6 @@ class _Known(dict):
         return out
 
 
-@lru_cache(2)
 def counter(path: str):
     """A function from a text to its number of tokens; a special string in a text is one token."""
     merger = PairMerger(path)
@@ -108,7 +123,7 @@ def counter(path: str):
         if not text:
             return 0
         parts = special.split(text) if special else [text]
-        cuts = (LATIN_PIECES.findall(p) if plain(p) else [p[a:b] for _, (a, b) in cut.pre_tokenize_str(p)] for p in parts)
+        cuts = ((m[0] for m in LATIN_PIECES.finditer(p)) if len(p) > LONG and plain(p) else LATIN_PIECES.findall(p) if plain(p) else [p[a:b] for _, (a, b) in cut.pre_tokenize_str(p)] for p in parts)
         return len(parts) - 1 + sum(sum(map(known.__getitem__, c)) for c in cuts)
 
     return count
@@ -124,7 +139,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     common.prepare(docs.sparkSession)
 
     def run(batches):
-        count = counter(path)
+        count = common.worker_state(("count", path), lambda: counter(path))
         for batch in common.slices(batches, "text", 8 << 20):
             n = [count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])

@@ -1,6 +1,5 @@
 import re
 
-from lexigauge.llm.packing import pack_documents  # noqa: F401
 from lexigauge.llm.quality import fit_quality, keep_quality, score_quality
 
 from .conftest import SCHEMA

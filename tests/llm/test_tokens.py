@@ -83,3 +83,12 @@ def test_level_choice_minimises_the_sum_of_squares():
         if s < 32:
             assert int((p.counts[1:32] ** 2).sum()) == min(squares(h) for h in range(32 - s + 1) if h == 0 or before[h])
     assert len(p.open) == p.counts.sum()
+
+
+def test_packed_ids_on_all_kinds_of_characters():
+    from lexigauge.llm.packing import encoder
+
+    rng, encode = random.Random(2), encoder(PATH, 1)
+    pool = [chr(c) for c in [*range(0, 0x260), *range(0x370, 0x400), *range(0x2000, 0x2100), *range(0x1F600, 0x1F640)]]
+    texts = ["".join(rng.choice([rng.choice(pool), " ", "a", "'s", "\n", "9", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    assert encode(texts) == [np.array([*ids_of(t), 1], "<u4").tobytes() for t in texts]
