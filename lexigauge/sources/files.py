@@ -70,9 +70,6 @@ def target_words(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path} is neither .txt nor .csv")
 
 
-_RESULTS = "struct<results:map<string,map<string,string>>>"
-
-
 def task_results(spark: SparkSession, folder: str) -> DataFrame:
     """(model, task, place, alias, metrics) of results_*.json under a folder; of a task in several files of a model the last file's. The model's name is its folder's after the last double underscore."""
     text = spark.read.option("pathGlobFilter", "results*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True)
