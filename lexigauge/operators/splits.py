@@ -44,7 +44,7 @@ def exact_split(df: DataFrame, group: list[str], order: Column, shares: dict[str
         column = F.when(hit, name) if column is None else column.when(hit, name)
         taken = taken_after
     column = out if column is None else F.when(F.col("__n") < 3, names[0]).otherwise(column.otherwise(names[0]))
-    return df.withColumn("__r", rank).join(F.broadcast(sizes), group).withColumn("split", column).drop("__r", "__n")
+    return df.withColumn("__r", rank).join(sizes, group).withColumn("split", column).drop("__r", "__n")
 
 
 def uniform_mixture(df: DataFrame, group: str, order: Column) -> DataFrame:

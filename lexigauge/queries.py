@@ -285,7 +285,7 @@ def reading_frame(spark, d):
     reads = _reads(spark, d)
     frequency = spark.createDataFrame([("assistant", 2.0)], "word string, freq double")
     words = frames.word_table(reads, ["word"], frequency).withColumn("wlen", F.col("wlen").cast("long"))
-    out = frames.reading_frame(reads.join(F.broadcast(words), "word", "left"), ["rt", "wlen"])
+    out = frames.reading_frame(reads.join(words, "word", "left"), ["rt", "wlen"])
     return out.select("itemid", "wordnum", "word", "rt", F.col("sentnum").cast("string").alias("sentnum"), "wlen", "freq", "rt1p", "wlen1p", "rt2p", "wlen2p")
 
 
