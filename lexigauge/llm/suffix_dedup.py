@@ -410,7 +410,8 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
             every = _joined(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[c])) for c in SPAN.names], names=list(SPAN.names))
 
-    runs = docs.join(hits, ["key", "key2"]).select("text", "key", "key2", "few", "many").mapInArrow(contexts, "bucket int, kind int, blob binary")
+    # with all columns of docs, so that this join and that of the spans read one shuffle of the texts
+    runs = docs.join(hits, ["key", "key2"]).select(*docs.columns, "few", "many").mapInArrow(contexts, "bucket int, kind int, blob binary")
     found = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(spans, "key long, key2 int, lo int, hi int")
     return found.groupBy("key", "key2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
