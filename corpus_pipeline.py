@@ -35,9 +35,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id. Rows with one id and text count once."""
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id", "text"])
+    near = common.cut(near_duplicates(docs))
+    kept = common.cut(near.where("kept").select(F.col("id").alias("kept_id")).distinct())
+    out = docs.join(common.broadcast_if_small(kept), docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    twice = common.cut(near.groupBy(F.col("id").alias("twice_id")).count().where("count > 1").select("twice_id"))
+    if not twice.limit(1).count():
+        return out
+    # rows with one id: a shuffle of their texts alone
+    same, ids = docs.doc_id.eqNullSafe(twice.twice_id), common.broadcast_if_small(twice)
+    return out.join(ids, same, "left_anti").unionByName(out.join(ids, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids that may be broadcast, about 32 MB; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """ids, a table of a few numbers a row that is cheap to count, with a hint to broadcast it if it has BROADCAST_ROWS at most."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -143,8 +143,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) ->
     read first and held as shingles, then its pairs.
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = pairs.select("g", F.col("x").alias("id")).union(pairs.select("g", "y")).distinct()
-    texts = ids.join(docs.select("id", "text"), "id").select("g", F.lit(0).alias("role"), "id", F.col("id").alias("y"), "text")
+    ids = common.cut(pairs.select("g", F.col("x").alias("id")).union(pairs.select("g", "y")).distinct())
+    texts = docs.select("id", "text").join(common.broadcast_if_small(ids), "id").select("g", F.lit(0).alias("role"), "id", F.col("id").alias("y"), "text")
     asked = pairs.select("g", F.lit(1).alias("role"), F.col("x").alias("id"), "y", F.lit(None).cast("string").alias("text"))
     rows = texts.unionByName(asked).repartition(n, "g").sortWithinPartitions("g", "role")
 
@@ -244,7 +244,10 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
                 t = group.column("id").type
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], t), pa.array([ids[j] for _, j in found], t)], names=["a", "b"])
 
-    return rows.join(docs.select("id", "text"), "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
+    # only texts that are asked for are shuffled
+    ids = common.cut(rows.select("id").distinct())
+    texts = docs.select("id", "text").join(common.broadcast_if_small(ids), "id", "left_semi")
+    return rows.join(texts, "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 16, per_band: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:

@@ -65,3 +65,15 @@ def test_odd_rows_and_nothing(spark, docs, no_docs):
     for _, stage in cp.STAGES[1:3] + cp.STAGES[4:]:
         assert stage(spark, docs.select(*cp.COLUMNS, "label"), SF).count() > 0
         assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def test_ways_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    import corpus_pipeline as cp
+    from lexigauge.llm import common
+
+    stage = dict(cp.STAGES)["near_dedup"]
+    small = sorted(map(str, map(tuple, stage(spark, docs, SF).collect())))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, map(tuple, stage(spark, docs, SF).collect()))) == small
+    ids = [r.doc_id for r in stage(spark, docs, SF).collect()]
+    assert len(ids) == len(set(ids))
