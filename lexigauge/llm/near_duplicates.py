@@ -14,6 +14,8 @@ from . import common
 
 #: Words are counted in so many cells by hash, which bounds what is broadcast, whatever the vocabulary.
 CELLS = 1 << 18
+#: Shares into which copies of one text are dealt.
+SALTS = 16
 #: Rows of the tables of random parameters; a shingle takes a row of each by other bits of its hash.
 TABLE_BITS = 13
 
@@ -273,8 +275,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(word_weights(docs.select("text")))
     signed = common.cut(signatures(docs, weights, k, bands, per_band))
-    texts = signed.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"))
-    member = signed.select("id", "text_key").join(texts, "text_key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    texts = signed.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    # a text with very many copies is dealt to SALTS tasks
+    copied = texts.where("n > 1").select("text_key", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = signed.select("id", "text_key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    member = salted.join(copied, ["text_key", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     once = signed.join(texts.select(F.col("rep").alias("id"), "text_key"), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
     rows = once.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
