@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: White space in the sense of Unicode, which Spark's trim leaves.
 SPACE = r"[\s\x1c-\x1f\u0085   -     　]"
 
+#: Marks that end a sentence before white space: a single full stop and its likes. Two stops or more in a row don't.
+ENDS = r"(?:(?<!\.)\.(?!\.)|[!?։؟۔।॥။።‼‽⁇⁈⁉。！．？｡])"
+
 #: Patterns that clean prompts, by data set; all ignore case. Fixed values.
 CLEANING = {
     "truthfulqa": r"Question:\s*|Answer:\s*|Answer\s+with\s+A,\s*B,\s*C,\s*D,\s*\.\.\.",
@@ -30,6 +33,11 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, f"{SPACE}+"), lambda w: w != "")
 
 
+def sentences(x: Column) -> Column:
+    """The sentences of x: each ends at a mark of ENDS, with the marks that follow it, before white space, and the last at the end of x."""
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?!{SPACE}).+?(?:{ENDS}\\p{{P}}*(?={SPACE}|\\z)|\\z)"), F.lit(0))
+
+
 def clean(x: Column, kind: str = "default") -> Column:
     """x without the phrases of its data set's prompts; dots match line ends in all but two of the patterns, where it makes no difference."""
     return strip(F.regexp_replace(strip(x), "(?is)" + CLEANING.get(kind, CLEANING["default"]), ""))

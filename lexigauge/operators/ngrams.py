@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import sentences, words
 
 
-def prefix_contexts(docs: DataFrame, text: str = "text", most: int | None = None, context: int | None = None) -> DataFrame:
+def prefix_contexts(docs: DataFrame, text: str = "text", most: int | None = None, context: int | None = None, by_sentence: bool = False) -> DataFrame:
     """(context, next_word): each prefix of a text of two words or more with the word after it.
 
-    most: words of a text that are read; context: words that a context keeps, from its end.
+    most: words of a text that are read; context: words that a context keeps, from its end;
+    by_sentence: each sentence counts as a text.
     """
+    if by_sentence:
+        docs = docs.select(F.explode(sentences(F.col(text))).alias(text))
     tokens = words(F.col(text))
     if most is not None:
         tokens = F.slice(tokens, 1, most)

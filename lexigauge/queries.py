@@ -226,7 +226,7 @@ _PAIRS = r"t AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x
 
 
 def _counts(spark, d):
-    return ngrams.context_counts(ngrams.prefix_contexts(table(spark, d, "documents"), most=20))
+    return ngrams.context_counts(ngrams.prefix_contexts(table(spark, d, "documents"), by_sentence=True))
 
 
 @query(f"WITH {_PAIRS} SELECT context, next_word, n FROM counts")
