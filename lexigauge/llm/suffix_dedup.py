@@ -391,7 +391,8 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
                         ref = np.empty(len(at), REF)
                         ref["key"], ref["key2"], ref["at"] = keys[r], keys2[r], at - lo
                         refs.append(ref)
-                        places.append(_bucket(held[-1], window if alone else ANCHOR, buckets))
+                        # windows alone have buckets of their own: one of them and a context may stand at one place
+                        places.append(_bucket(held[-1], window, buckets) + buckets if alone else _bucket(held[-1], ANCHOR, buckets))
                         n += len(at)
                         if n >= RUN:
                             salt = keys[r]

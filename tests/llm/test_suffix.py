@@ -83,3 +83,18 @@ def test_merge_knows_common_prefixes():
         out = list(merge(runs))
         assert [x[3] for x in out] == sorted(every)
         assert [x[2] for x in out[1:]] == [lcp(a[3], b[3], 0) for a, b in zip(out, out[1:], strict=False)]
+
+
+def test_hot_and_rare_anchors_in_one_bucket(spark):
+    rng = random.Random(4)
+    blocks = [prose(rng, 12)[:60] for _ in range(24)]
+    t = ["".join(rng.choice(blocks[:4] if rng.random() < 0.3 else blocks) + (prose(rng, 20)[: rng.randint(0, 60)]) for _ in range(12)) for _ in range(60)]
+    df = spark.createDataFrame([row(i, x) for i, x in enumerate(t)], SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, hot=12).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, want in enumerate(brute(t, 200)):
+        assert got[i] == want, (i, got[i][:3], want[:3])
