@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,20 @@ def phrase_mask(offsets: Column, start: Column) -> Column:
     return F.transform(offsets, lambda o: (o["end"] > start).cast("int"))
 
 
+def word_ends(words: Column) -> Column:
+    """Where each word ends in the words joined by single spaces, in characters; in time linear in their number."""
+
+    @F.arrow_udf("array<int>")
+    def running(lengths: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+        ends = upto[1:] - np.repeat(upto[first[:-1]], size) - 1
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ends, pa.int32()), mask=lengths.is_null())
+
+    return running(F.transform(words, lambda w: F.length(w)))
+
+
 def word_positions(ends: Column, start: Column, end: Column) -> Column:
     """Places of the tokens that end in (start, end]: each real token belongs to one word, and lone spaces between words to none. ends doesn't fall."""
     return F.filter(F.transform(ends, lambda e, i: F.when((e > start) & (e <= end), i)), lambda i: i.isNotNull())

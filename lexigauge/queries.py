@@ -312,11 +312,10 @@ _OFFSETS = r"t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text,
 
 
 def _offsets(spark, d):
-    """Words stand in for tokens: (conv_id, turn, ends, lo) with each word's last character, and where the third one ends."""
-    w = F.slice(text.words(F.col("text")), 1, 12)
-    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).where(F.size("w") > 4)
-    upto = lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + i - 1
-    return t.select("conv_id", "turn", F.transform(F.sequence(F.lit(1), F.size("w")), upto).alias("ends"), upto(F.lit(3)).alias("lo"))
+    """Words stand in for tokens: (conv_id, turn, ends, lo) with each word's last character, and where the third one ends, or the last of fewer; 0 without words."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    t = t.select("conv_id", "turn", tokens.word_ends(F.col("w")).alias("ends"))
+    return t.withColumn("lo", F.coalesce(F.get("ends", F.least(F.size("ends"), F.lit(3)) - 1), F.lit(0)))
 
 
 @query(f"WITH {_OFFSETS} SELECT conv_id, turn, CAST(len(ends) AS BIGINT) AS n, CAST(len(list_filter(ends, lambda e: e > lo)) AS BIGINT) AS in_phrase FROM o")
@@ -331,8 +330,8 @@ def token_offset_mask(spark, d):
 def context_window_anchor(spark, d):
     o = _offsets(spark, d)
     o = o.withColumn("p", tokens.word_positions(F.col("ends"), F.col("lo"), F.col("lo") + 15))
-    w = tokens.scoring_window(F.col("p"), F.size("ends"), 5)
-    return o.where(F.size("p") > 0).select("conv_id", "turn", w["a"].cast("long").alias("a"), w["b"].cast("long").alias("b"))
+    w = tokens.scoring_window(F.col("p"), F.size("ends"), 5)  # null where no word ends in the span
+    return o.select("conv_id", "turn", w["a"].cast("long").alias("a"), w["b"].cast("long").alias("b"))
 
 
 @query("SELECT l_orderkey AS item, round(exp(sum(ln(1 - l_discount))), 5) AS p, round(0 - sum(ln(1 - l_discount)), 5) AS surprisal, count(*) AS n_tokens FROM lineitem GROUP BY 1")

@@ -65,3 +65,37 @@ def test_top_contexts(spark, folder):
             want.setdefault(w, []).append((-n, c))
     want = {(w, c, -n, k + 1) for w, x in want.items() for k, (n, c) in enumerate(sorted(x)[:3])}
     assert {(r.word, r.context, r.n, r["rank"]) for r in QUERIES["topk_contexts_per_word"](spark, d).collect()} == want
+
+
+def offsets(x):
+    ends, at = [], -1
+    for w in (x or "").split():
+        at += len(w) + 1
+        ends.append(at)
+    return ends, ends[min(len(ends), 3) - 1] if ends else 0
+
+
+@pytest.fixture(scope="module")
+def talks(spark, tmp_path_factory):
+    rng = random.Random(6)
+    rows = [(i, 0, sentence(rng, i)) for i in range(40)] + [(40, 1, None), (41, 0, "a b c " + "x" * 40 + " d"), (42, 0, "é ü " * 30)]
+    d = str(tmp_path_factory.mktemp("talks"))
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{d}/conversations.parquet")
+    return d, rows
+
+
+def test_offset_mask(spark, talks):
+    d, rows = talks
+    want = {(c, t, len(e), sum(x > lo for x in e)) for c, t, x in rows for e, lo in [offsets(x)]}
+    assert {tuple(r) for r in QUERIES["token_offset_mask"](spark, d).collect()} == want
+
+
+def test_context_windows(spark, talks):
+    d, rows = talks
+    want = set()
+    for c, t, x in rows:
+        e, lo = offsets(x)
+        p = [i for i, v in enumerate(e) if lo < v <= lo + 15]
+        end = p[-1] + 1 if p else 0
+        want.add((c, t, *((None, None) if not p else (0, min(len(e), 5)) if p[-1] < 5 else (min(max(0, end - 5), p[0]), end))))
+    assert {tuple(r) for r in QUERIES["context_window_anchor"](spark, d).collect()} == want
