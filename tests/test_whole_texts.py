@@ -99,3 +99,9 @@ def test_context_windows(spark, talks):
         end = p[-1] + 1 if p else 0
         want.add((c, t, *((None, None) if not p else (0, min(len(e), 5)) if p[-1] < 5 else (min(max(0, end - 5), p[0]), end))))
     assert {tuple(r) for r in QUERIES["context_window_anchor"](spark, d).collect()} == want
+
+
+def test_spelling(spark, folder):
+    d, docs = folder
+    n = {i: sum(w.lower() in ("the", "and", "der", "les") for w in (x or "").split()) for i, x in enumerate(docs)}
+    assert {r.doc_id: r.n for r in QUERIES["spelling_filter"](spark, d).collect()} == {i: k for i, k in n.items() if k}
