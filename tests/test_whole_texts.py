@@ -105,3 +105,10 @@ def test_spelling(spark, folder):
     d, docs = folder
     n = {i: sum(w.lower() in ("the", "and", "der", "les") for w in (x or "").split()) for i, x in enumerate(docs)}
     assert {r.doc_id: r.n for r in QUERIES["spelling_filter"](spark, d).collect()} == {i: k for i, k in n.items() if k}
+
+
+def test_missing_tasks(spark, tmp_path):
+    rows = [(1, "view", 3), (3, "click", 4), (4, "click", 57)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = {("view", str(i)) for i in range(55) if i != 3} | {("click", str(i)) for i in range(55) if i not in (4, 7)}
+    assert {(r.grp, r.task) for r in QUERIES["missing_tasks_anti"](spark, str(tmp_path)).collect()} == want
