@@ -5,17 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Expected numbers of predictions. Fixed values.
+#: Expected numbers of predictions by subset. Fixed values.
+BLIMP_SIZES = {
+    "superlative_quantifiers_2": 986, "superlative_quantifiers_1": 979, "anaphor_gender_agreement": 971, "principle_a_reconstruction": 967,
+    "irregular_past_participle_adjectives": 961, "sentential_subject_island": 961, "wh_island": 960, "left_branch_island_simple_question": 951,
+    "coordinate_structure_constraint_object_extraction": 949, "tough_vs_raising_1": 948, "left_branch_island_echo_question": 947, "principle_a_c_command": 946,
+    "regular_plural_subject_verb_agreement_2": 945, "irregular_past_participle_verbs": 942, "determiner_noun_agreement_with_adj_2": 941, "principle_a_domain_3": 941,
+    "determiner_noun_agreement_with_adjective_1": 933, "anaphor_number_agreement": 931, "determiner_noun_agreement_2": 931, "existential_there_quantifiers_1": 930,
+    "determiner_noun_agreement_1": 929, "matrix_question_npi_licensor_present": 929, "adjunct_island": 928, "existential_there_subject_raising": 924, "animate_subject_trans": 923,
+    "drop_argument": 920, "tough_vs_raising_2": 920, "wh_vs_that_with_gap": 919, "sentential_negation_npi_licensor_present": 919, "principle_a_case_2": 915,
+    "principle_a_domain_2": 915, "principle_a_domain_1": 914, "npi_present_2": 914, "principle_a_case_1": 912, "existential_there_quantifiers_2": 911,
+    "wh_vs_that_with_gap_long_distance": 910, "npi_present_1": 909, "coordinate_structure_constraint_complex_left_branch": 906, "passive_2": 903, "wh_questions_subject_gap": 898,
+    "animate_subject_passive": 895, "irregular_plural_subject_verb_agreement_2": 892, "regular_plural_subject_verb_agreement_1": 890, "only_npi_licensor_present": 882,
+    "wh_vs_that_no_gap_long_distance": 875, "distractor_agreement_relative_clause": 871, "sentential_negation_npi_scope": 871, "intransitive": 868, "transitive": 868,
+    "wh_vs_that_no_gap": 861, "wh_questions_object_gap": 859, "wh_questions_subject_gap_long_distance": 857, "inchoative": 855, "complex_np_island": 846, "passive_1": 840,
+    "determiner_noun_agreement_with_adj_irregular_2": 840, "only_npi_scope": 837, "ellipsis_n_bar_2": 828, "determiner_noun_agreement_irregular_2": 820, "causative": 818,
+    "existential_there_object_raising": 812, "irregular_plural_subject_verb_agreement_1": 804, "ellipsis_n_bar_1": 802, "distractor_agreement_relational_noun": 788,
+    "expletive_it_object_raising": 759, "determiner_noun_agreement_with_adj_irregular_1": 718, "determiner_noun_agreement_irregular_1": 681,
+}
+SUPPLEMENT_SIZES = {"hypernym": 842, "qa_congruence_easy": 64, "qa_congruence_tricky": 165, "subject_aux_inversion": 3867, "turn_taking": 280}
 EWOK_SIZES = {
     "agent-properties": 2210, "social-relations": 1548, "physical-relations": 818, "material-dynamics": 770, "physical-interactions": 556, "spatial-relations": 490,
     "social-properties": 328, "quantitative-properties": 314, "social-interactions": 294, "material-properties": 170, "physical-dynamics": 120,
 }
-ENTITY_SIZES = {"regular": [517, 409, 405, 425, 388, 94], "ambiref": [508, 428, 413, 409, 434, 123], "move_contents": [516, 437, 399, 406, 353, 116]}
-COMPS_SIZES = {"base": 49340, "wugs": 13896, "wugs_dist_before": 13896, "wugs_dist_in_between": 13896}
-SUPPLEMENT_SIZES = {"hypernym": 842, "qa_congruence_easy": 64, "qa_congruence_tricky": 165, "subject_aux_inversion": 3867, "turn_taking": 280}
+ENTITY_SIZES = {
+    "regular_0_ops": 517, "regular_1_ops": 409, "regular_2_ops": 405, "regular_3_ops": 425, "regular_4_ops": 388, "regular_5_ops": 94,
+    "ambiref_0_ops": 508, "ambiref_1_ops": 428, "ambiref_2_ops": 413, "ambiref_3_ops": 409, "ambiref_4_ops": 434, "ambiref_5_ops": 123,
+    "move_contents_0_ops": 516, "move_contents_1_ops": 437, "move_contents_2_ops": 399, "move_contents_3_ops": 406, "move_contents_4_ops": 353, "move_contents_5_ops": 116,
+}
+COMPS_SIZES = {"base": 49340, "wugs_dist_before": 13896, "wugs_dist_in_between": 13896, "wugs": 13896}
 GLUE_SIZES = {"boolq": 1635, "mnli": 4908, "mrpc": 204, "multirc": 2424, "qqp": 20215, "rte": 139, "wsc": 52}
 SINGLE_SIZES = {"reading": 1726, "aoa_step": 8005, "winoground": 746, "vqa": 25230, "global_piqa_parallel": 103, "global_piqa_nonparallel": 100}
-FAST_SIZES = {"blimp": 200, "supplement": 50, "ewok": 100}
+#: The same of a fast submission: each subset of a task has one size, but for entity tracking. Fixed values.
+FAST_SIZES = {"blimp": 200, "blimp_supplement": 50, "ewok": 100}
+FAST_ENTITY_SIZES = {"regular_0_ops": 517, "regular_1_ops": 409, "regular_2_ops": 405, "regular_3_ops": 425, "regular_4_ops": 388, "regular_5_ops": 94}
+#: Shapes of the matrices of a developmental benchmark. Fixed values.
+MATRIX_SHAPES = {"things": (1854, 1854), "trog": (76, 4, 1), "lex-viz_vocab": (119, 4, 1)}
 #: Tasks that a leaderboard scores itself, and what it expects of each language. Fixed values.
 SERVER_SCORED = ("hanzi_structure", "hanzi_pinyin", "meco_l1", "meco_l2")
 EXPECTED_ZEROSHOT = {
@@ -30,13 +55,35 @@ EXPECTED_FINETUNE = {
 }
 
 
-def expected_sizes() -> list[tuple[str, str, int]]:
-    """(task, uid, rows) of a full submission."""
-    rows = [(task, uid, n) for task, sizes in (("ewok", EWOK_SIZES), ("comps", COMPS_SIZES), ("supplement", SUPPLEMENT_SIZES), ("glue", GLUE_SIZES)) for uid, n in sizes.items()]
-    rows += [("entity_tracking", f"{split}_{k}_ops", n) for split, sizes in ENTITY_SIZES.items() for k, n in enumerate(sizes)]
+def expected_sizes(fast: bool = False) -> list[tuple[str, str, int]]:
+    """(task, uid, rows) of a full or a fast submission."""
+    subsets = {"ewok": EWOK_SIZES, "blimp": BLIMP_SIZES, "blimp_supplement": SUPPLEMENT_SIZES}
+    if fast:
+        rows = [(task, uid, FAST_SIZES[task]) for task, sizes in subsets.items() for uid in sizes]
+        return [*rows, *(("entity_tracking", uid, n) for uid, n in FAST_ENTITY_SIZES.items()), ("reading", "reading", SINGLE_SIZES["reading"])]
+    rows = [(task, uid, n) for task, sizes in (subsets | {"entity_tracking": ENTITY_SIZES, "comps": COMPS_SIZES, "glue": GLUE_SIZES}).items() for uid, n in sizes.items()]
     return rows + [(task, task, n) for task, n in SINGLE_SIZES.items()]
 
 
+def expected_tasks() -> list[tuple[str, str, str]]:
+    """(kind, language, task) that a leaderboard expects of each language that a submission covers."""
+    return [(kind, lang, task) for kind, table in (("zeroshot", EXPECTED_ZEROSHOT), ("finetune", EXPECTED_FINETUNE)) for lang, tasks in table.items() for task in tasks]
+
+
+def reported(scores: DataFrame, task: str = "task", alias: str = "alias", include_server_scored: bool = False) -> DataFrame:
+    """Rows of a result table that go into a submission: tasks one step in by their alias, and known tasks at any depth; not those that the leaderboard scores itself, unless asked for."""
+    known = [t for tasks in EXPECTED_ZEROSHOT.values() for t in tasks]
+    name = F.coalesce(F.col(alias), F.col(task))
+    out = scores.where((F.length(name) - F.length(F.ltrim(name)) == 1) | F.col(task).isin(known))
+    return out if include_server_scored else out.where(~F.col(task).isin(*SERVER_SCORED))
+
+
+def shape_report(shapes: DataFrame) -> DataFrame:
+    """(subtask, shape, ok) of matrices (subtask, shape array<long>, dtype): whether each has the expected shape and holds floats."""
+    want = F.create_map(*[x for k, v in MATRIX_SHAPES.items() for x in (F.lit(k), F.array(*[F.lit(n).cast("long") for n in v]))])
+    return shapes.select("subtask", "shape", F.coalesce((want[F.col("subtask")] == F.col("shape")) & F.col("dtype").startswith("float"), F.lit(False)).alias("ok"))
+
+
 def size_report(predictions: DataFrame, expected: DataFrame, keys: list[str], count: str = "expected_rows") -> DataFrame:
     """(keys, expected_rows, found_rows, status) for each key on either side: ok, wrong size, missing or unknown. Keys are compared in lower case."""
     low = [F.lower(F.col(k)).alias(k) for k in keys]

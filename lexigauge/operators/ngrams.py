@@ -62,15 +62,24 @@ def top_contexts(counts: DataFrame, targets: DataFrame | None = None, top: int =
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(*by))).where(F.col("rank") <= top)
 
 
+#: Words that may be broadcast.
+SMALL = 1_000_000
+
+
+def small(words_: DataFrame) -> DataFrame:
+    """words_, with a hint to broadcast it if it has SMALL rows at most; they are counted first."""
+    return F.broadcast(words_) if words_.limit(SMALL + 1).count() <= SMALL else words_
+
+
 def vocabulary_filter(rows: DataFrame, key: str, texts: list[str], vocabulary: DataFrame, lower: bool = True) -> DataFrame:
-    """Rows of which every word in all the texts is in the vocabulary (word). Words and vocabulary are joined, so neither need be small."""
+    """Rows of which every word in all the texts is in the vocabulary (word). A vocabulary of SMALL words at most is broadcast, so that words aren't shuffled; a larger one is joined."""
     every = F.concat(*[words(F.lower(t) if lower else F.col(t)) for t in texts])
     tokens = rows.select(key, F.explode(F.array_distinct(every)).alias("word"))
-    strange = tokens.join(vocabulary.select("word").distinct(), "word", "left_anti").select(key).distinct()
+    strange = tokens.join(small(vocabulary.select("word").distinct()), "word", "left_anti").select(key).distinct()
     return rows.join(strange, key, "left_anti")
 
 
 def in_dictionary(words_: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Rows whose word is in a spelling dictionary (word), in any case of letters."""
-    known = dictionary.select(F.lower("word").alias("__w")).distinct()
+    known = small(dictionary.select(F.lower("word").alias("__w")).distinct())
     return words_.join(known, F.lower(F.col(word)) == F.col("__w"), "left_semi")

@@ -222,11 +222,14 @@ def parse_magnitude(spark, d):
 # Contexts
 
 
-_PAIRS = r"t AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:20] AS t FROM documents), p AS (SELECT t, unnest(range(1, len(t))) AS i FROM t), pairs AS (SELECT array_to_string(t[1:i], ' ') AS context, t[i + 1] AS next_word FROM p), counts AS (SELECT context, next_word, count(*) AS n FROM pairs GROUP BY 1, 2)"
+#: Words that a context keeps. Whole texts are read, by sentence; without a bound a context's bytes would grow with the square of a sentence.
+CONTEXT = 20
+# white space is doubled, so that one mark's space can be the character before the next mark
+_PAIRS = rf"s AS (SELECT unnest(string_split(regexp_replace(regexp_replace(text, '\s+', '  ', 'g'), '((?:^|[^.])\.(?:[^\P{{P}}.]\p{{P}}*)?|[!?؟۔।॥။።‼‽⁇⁈⁉。！．？｡]\p{{P}}*) ', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents), t AS (SELECT list_filter(string_split(s, ' '), lambda x: x <> '') AS t FROM s), p AS (SELECT t, unnest(range(1, len(t))) AS i FROM t), pairs AS (SELECT array_to_string(t[greatest(1, i - {CONTEXT - 1}):i], ' ') AS context, t[i + 1] AS next_word FROM p), counts AS (SELECT context, next_word, count(*) AS n FROM pairs GROUP BY 1, 2)"
 
 
 def _counts(spark, d):
-    return ngrams.context_counts(ngrams.prefix_contexts(table(spark, d, "documents"), by_sentence=True))
+    return ngrams.context_counts(ngrams.prefix_contexts(table(spark, d, "documents"), context=CONTEXT, by_sentence=True))
 
 
 @query(f"WITH {_PAIRS} SELECT context, next_word, n FROM counts")
@@ -308,7 +311,7 @@ def zscore_frame(spark, d):
 # Tokens
 
 
-_OFFSETS = r"t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations), o AS (SELECT conv_id, turn, list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: len(x))) + i - 1) AS ends, list_sum(list_transform(w[1:3], lambda x: len(x))) + least(3, len(w)) - 1 AS lo FROM t WHERE len(w) > 4)"
+_OFFSETS = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations), e AS (SELECT conv_id, turn, i, sum(len(x) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS e FROM (SELECT conv_id, turn, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w)), third AS (SELECT conv_id, turn, max(e) AS lo FROM e WHERE i <= 3 GROUP BY 1, 2), o AS (SELECT w.conv_id, w.turn, CAST(len(w) AS BIGINT) AS n, coalesce(lo, 0) AS lo FROM w LEFT JOIN third USING (conv_id, turn)), p AS (SELECT o.conv_id, o.turn, n, count(CASE WHEN e > lo THEN 1 END) AS in_phrase, count(CASE WHEN e <= lo THEN 1 END) AS lo_n, count(CASE WHEN e <= lo + 15 THEN 1 END) AS hi_n FROM o LEFT JOIN e USING (conv_id, turn) GROUP BY 1, 2, 3)"
 
 
 def _offsets(spark, d):
@@ -318,7 +321,7 @@ def _offsets(spark, d):
     return t.withColumn("lo", F.coalesce(F.get("ends", F.least(F.size("ends"), F.lit(3)) - 1), F.lit(0)))
 
 
-@query(f"WITH {_OFFSETS} SELECT conv_id, turn, CAST(len(ends) AS BIGINT) AS n, CAST(len(list_filter(ends, lambda e: e > lo)) AS BIGINT) AS in_phrase FROM o")
+@query(f"WITH {_OFFSETS} SELECT conv_id, turn, n, in_phrase FROM p")
 def token_offset_mask(spark, d):
     o = _offsets(spark, d)
     pairs = F.transform("ends", lambda e: F.struct((e - 1).alias("start"), e.alias("end")))
@@ -326,7 +329,7 @@ def token_offset_mask(spark, d):
     return o.select("conv_id", "turn", F.size("ends").cast("long").alias("n"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("in_phrase"))
 
 
-@query(f"WITH {_OFFSETS}, p AS (SELECT conv_id, turn, len(ends) AS n, len(list_filter(ends, lambda e: e <= lo)) AS lo_n, len(list_filter(ends, lambda e: e <= lo + 15)) AS hi_n FROM o), q AS (SELECT * FROM p WHERE hi_n > lo_n) SELECT conv_id, turn, CAST(CASE WHEN hi_n - 1 < 5 THEN 0 ELSE least(greatest(0, hi_n - 5), lo_n) END AS BIGINT) AS a, CAST(CASE WHEN hi_n - 1 < 5 THEN least(n, 5) ELSE hi_n END AS BIGINT) AS b FROM q")
+@query(f"WITH {_OFFSETS} SELECT conv_id, turn, CASE WHEN hi_n > lo_n THEN CASE WHEN hi_n - 1 < 5 THEN 0 ELSE least(greatest(0, hi_n - 5), lo_n) END END AS a, CASE WHEN hi_n > lo_n THEN CASE WHEN hi_n - 1 < 5 THEN least(n, 5) ELSE hi_n END END AS b FROM p")
 def context_window_anchor(spark, d):
     o = _offsets(spark, d)
     o = o.withColumn("p", tokens.word_positions(F.col("ends"), F.col("lo"), F.col("lo") + 15))
@@ -346,7 +349,7 @@ def bos_left_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(tokens.with_start(ids, None, 8), " ").alias("tail"))
 
 
-@query(r"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:10]) AS word FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE lower(word) IN ('the', 'and', 'der', 'les') GROUP BY 1")
+@query(r"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE lower(word) IN ('the', 'and', 'der', 'les') GROUP BY 1")
 def spelling_filter(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
     known = spark.createDataFrame([("The",), ("and",), ("Der",), ("les",)], "word string")
@@ -518,20 +521,57 @@ def aoa_outcome_counts(spark, d):
 # Validation, collation, leaderboards
 
 
-@query("WITH f AS (SELECT lower(source) AS uid, count(*) AS found_rows FROM documents GROUP BY 1), e AS (SELECT 'src' || CAST(i AS VARCHAR) AS uid, 50 AS expected_rows FROM range(0, 25) t(i)) SELECT coalesce(e.uid, f.uid) AS uid, CAST(coalesce(expected_rows, 0) AS BIGINT) AS expected_rows, coalesce(found_rows, 0) AS found_rows, CASE WHEN expected_rows IS NULL THEN 'unknown' WHEN found_rows IS NULL THEN 'missing' WHEN expected_rows = found_rows THEN 'ok' ELSE 'wrong size' END AS status FROM e FULL JOIN f ON e.uid = f.uid")
+def _values(rows) -> str:
+    """Rows as a list of SQL values."""
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+_SIZES = [(k, uid, n) for k, (_, uid, n) in enumerate(checks.expected_sizes())]
+
+
+@query(f"WITH e(k, uid, expected_rows) AS (VALUES {_values(_SIZES)}), f AS (SELECT CASE WHEN user_id % 7 = 0 THEN 'other-' || CAST(user_id % 3 AS VARCHAR) ELSE e.uid END AS uid, count(*) AS found_rows FROM events JOIN e ON e.k = user_id * 5 % {len(_SIZES)} GROUP BY 1) SELECT coalesce(e.uid, f.uid) AS uid, CAST(coalesce(expected_rows, 0) AS BIGINT) AS expected_rows, coalesce(found_rows, 0) AS found_rows, CASE WHEN expected_rows IS NULL THEN 'unknown' WHEN found_rows IS NULL THEN 'missing' WHEN expected_rows = found_rows THEN 'ok' ELSE 'wrong size' END AS status FROM e FULL JOIN f ON e.uid = f.uid")
 def size_validation(spark, d):
-    expected = spark.range(25).select(F.concat(F.lit("SRC"), F.col("id").cast("string")).alias("uid"), F.lit(50).cast("long").alias("expected_rows"))
-    return checks.size_report(table(spark, d, "documents").select(F.col("source").alias("uid")), expected, ["uid"])
+    expected = spark.createDataFrame(_SIZES, "k long, uid string, expected_rows long")
+    # events stand in for predictions; names in upper case are the same
+    uid = F.get(F.array(*[F.lit(uid.upper()) for _, uid, _ in _SIZES]), (F.col("user_id") * 5 % len(_SIZES)).cast("int"))
+    found = table(spark, d, "events").select(F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("other-"), (F.col("user_id") % 3).cast("string"))).otherwise(uid).alias("uid"))
+    return checks.size_report(found, expected, ["uid"])
+
+
+_FAST = checks.expected_sizes(fast=True)
+
+
+@query(f"WITH e(task, uid, n) AS (VALUES {_values(_FAST)}) SELECT task, count(*) AS subsets, CAST(sum(n) AS BIGINT) AS expected_rows, count(CASE WHEN n <> (SELECT count(*) // 100 FROM events) THEN 1 END) AS wrong FROM e GROUP BY task")
+def fast_size_validation(spark, d):
+    n = table(spark, d, "events").count() // 100  # each subset is given as many predictions
+    expected = spark.createDataFrame(_FAST, "task string, uid string, expected_rows long")
+    found = expected.select("task", "uid").withColumn("x", F.explode(F.array_repeat(F.lit(0), n)))
+    report = checks.size_report(found, expected, ["task", "uid"])
+    return report.groupBy("task").agg(F.count("*").alias("subsets"), F.sum("expected_rows").alias("expected_rows"), F.count_if(F.col("status") != "ok").alias("wrong"))
 
 
-@query("WITH f AS (SELECT DISTINCT event_type AS g, CAST(user_id % 50 AS VARCHAR) AS t FROM events WHERE event_id % 3 = 0 AND event_type <> 'view'), e AS (SELECT g, CAST(i AS VARCHAR) AS t FROM (SELECT DISTINCT event_type AS g FROM events), range(0, 55) r(i)) SELECT e.g AS grp, e.t AS task FROM e LEFT JOIN f ON e.g = f.g AND e.t = f.t WHERE f.g IS NULL AND e.g IN (SELECT g FROM f)")
+_TASKS = [(k, f"{kind}-{lang}", task) for k, (kind, lang, task) in enumerate(checks.expected_tasks())]
+
+
+@query(f"WITH e(k, grp, task) AS (VALUES {_values(_TASKS)}), f AS (SELECT DISTINCT grp, task FROM e JOIN events ON k = user_id * 2 % {len(_TASKS)}) SELECT grp, task FROM e WHERE grp IN (SELECT grp FROM f) AND (grp, task) NOT IN (SELECT (grp, task) FROM f)")
 def missing_tasks_anti(spark, d):
-    e = table(spark, d, "events")
-    found = e.select(F.col("event_type").alias("grp"), (F.col("user_id") % 50).cast("string").alias("task"))
-    expected = e.select(F.col("event_type").alias("grp")).distinct().crossJoin(F.broadcast(spark.range(55).select(F.col("id").cast("string").alias("task"))))
+    expected = spark.createDataFrame(_TASKS, "k long, grp string, task string")
+    found = table(spark, d, "events").select((F.col("user_id") * 2 % len(_TASKS)).alias("k")).distinct().join(F.broadcast(expected), "k")
     return checks.missing_tasks(found, expected, "grp", "task")
 
 
+_NAMED = [(k, task) for k, task in enumerate([*(t for tasks in checks.EXPECTED_ZEROSHOT.values() for t in tasks), "other_a", "other_b"])]
+
+
+@query(f"WITH n(k, task) AS (VALUES {_values(_NAMED)}), x AS (SELECT task, event_id % 3 AS depth FROM events JOIN n ON k = event_id % {len(_NAMED)}) SELECT task, depth, count(*) AS n FROM x WHERE task NOT IN ('hanzi_structure', 'hanzi_pinyin', 'meco_l1', 'meco_l2') AND (depth = 1 OR task NOT LIKE 'other%') GROUP BY 1, 2")
+def submission_rows(spark, d):
+    names = F.array(*[F.lit(t) for _, t in _NAMED])
+    depth = F.col("event_id") % 3
+    rows = table(spark, d, "events").select(F.get(names, (F.col("event_id") % len(_NAMED)).cast("int")).alias("task"), depth.alias("depth"))
+    rows = rows.withColumn("alias", F.concat(F.repeat(F.lit(" "), F.col("depth").cast("int")), F.lit("- "), F.col("task")))
+    return checks.reported(rows).groupBy("task", "depth").agg(F.count("*").alias("n"))
+
+
 @query("WITH f AS (SELECT day(ts) AS step, count(*) AS n FROM events GROUP BY 1) SELECT i AS step, coalesce(n, 0) AS found_rows, coalesce(n, 0) = 333 AS complete FROM range(1, 32) r(i) LEFT JOIN f ON step = i")
 def step_completeness(spark, d):
     rows = table(spark, d, "events").select(F.dayofmonth("ts").cast("long").alias("step"))

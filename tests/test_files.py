@@ -164,7 +164,9 @@ def test_stream_resumes(spark, tmp_path):
 
 
 def test_checks(spark):
-    assert len(checks.expected_sizes()) == 11 + 4 + 5 + 7 + 18 + 6
+    assert len(checks.expected_sizes()) == 67 + 11 + 4 + 5 + 7 + 18 + 6 and len(checks.expected_sizes(fast=True)) == 67 + 5 + 11 + 6 + 1
+    shapes = spark.createDataFrame([("trog", [76, 4, 1], "float32"), ("things", [1854, 1854], "int64"), ("things", [1, 1854], "float64"), ("other", [1], "float64")], "subtask string, shape array<long>, dtype string")
+    assert [r.ok for r in checks.shape_report(shapes).collect()] == [True, False, False, False]
     pred = spark.createDataFrame([("A",)] * 2 + [("x",)], "uid string")
     want = spark.createDataFrame([("a", 2), ("b", 1)], "uid string, expected_rows int")
     assert {r.uid: r.status for r in checks.size_report(pred, want, ["uid"]).collect()} == {"a": "ok", "b": "missing", "x": "unknown"}

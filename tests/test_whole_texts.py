@@ -30,7 +30,7 @@ def pairs(docs):
     for x in docs:
         for s in re.split(r"(?:(?<=[!?)])|(?<=[^.]\.))\s+", x or ""):
             w = s.split()
-            out.update((" ".join(w[:i]), w[i]) for i in range(1, len(w)))
+            out.update((" ".join(w[max(0, i - 20) : i]), w[i]) for i in range(1, len(w)))
     return out
 
 
@@ -42,7 +42,7 @@ def test_sentences(spark):
 def test_contexts(spark, folder):
     d, docs = folder
     want = pairs(docs)
-    assert max(len(c.split()) for c, _ in want) > 40
+    assert max(len(c.split()) for c, _ in want) == 20 and sum(want.values()) > 500
     got = {(r.context, r.next_word): r.n for r in QUERIES["ngram_bos_contexts"](spark, d).collect()}
     assert got == want
 
@@ -108,7 +108,14 @@ def test_spelling(spark, folder):
 
 
 def test_missing_tasks(spark, tmp_path):
-    rows = [(1, "view", 3), (3, "click", 4), (4, "click", 57)]
-    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
-    want = {("view", str(i)) for i in range(55) if i != 3} | {("click", str(i)) for i in range(55) if i not in (4, 7)}
-    assert {(r.grp, r.task) for r in QUERIES["missing_tasks_anti"](spark, str(tmp_path)).collect()} == want
+    from lexigauge.operators.checks import EXPECTED_FINETUNE, expected_tasks
+
+    every = expected_tasks()
+    rows = [(1, every.index(("finetune", "nl", "pos"))), (2, every.index(("zeroshot", "zho", "zhoblimp")))]
+    found = [(k, f"{every[i][0]}-{every[i][1]}", every[i][2]) for k, i in rows]
+    expected = spark.createDataFrame([(f"{k}-{lang}", t) for k, lang, t in every], "grp string, task string")
+    from lexigauge.operators.checks import missing_tasks
+
+    got = {(r.grp, r.task) for r in missing_tasks(spark.createDataFrame(found, "k long, grp string, task string"), expected, "grp", "task").collect()}
+    want = {("finetune-nl", t) for t in EXPECTED_FINETUNE["nl"] if t != "pos"} | {(f"{k}-{lang}", t) for k, lang, t in every if (k, lang) == ("zeroshot", "zho") and t != "zhoblimp"}
+    assert got == want
