@@ -20,11 +20,18 @@ BATCH = "4m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where none is set, bounds the session's Arrow batches, and lets local Python workers import this package."""
+    """Sets a checkpoint folder where none is set, bounds the session's Arrow batches, and lets local Python workers import this package.
+
+    The folder is that of spark.checkpoint.dir. Without that setting a temporary one is made
+    on a local master only: executors elsewhere would not share it.
+    """
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     paths = sc.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(":"):
         sc.environment["PYTHONPATH"] = f"{ROOT}:{paths}" if paths else ROOT
@@ -47,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that cut has returned and that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of ids that may be broadcast, about 32 MB; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -56,6 +71,27 @@ def broadcast_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+#: Rows of one key from which on a join spreads them over SALTS tasks.
+HOT_ROWS, SALTS = 1000, 16
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with `one`, which has a row for each of the keys, where few keys may have very many rows.
+
+    Keys of HOT_ROWS rows or more (counted where the rows are, then summed) are dealt out by
+    a hash of the column `by`, and their row of `one` is copied to each share.
+    """
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(f"__n >= {HOT_ROWS}").select(*keys, F.lit(True).alias("__hot")))
+    if not hot.limit(1).count():
+        return rows.join(one, keys, how)
+    hot = broadcast_if_small(hot)
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -193,19 +229,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round gives every id the smallest label around it and then that label's own, so
     rounds grow with the logarithm of a component's diameter. Labels are aggregated before
-    they are shuffled; nothing but the number of changes comes to the driver.
+    they are shuffled; ids with very many edges and labels with very many ids are dealt to
+    several tasks; nothing but the number of changes comes to the driver.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = cut(both.union(both.select("y", "x")).distinct())
     label = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
     while True:
-        near = both.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
+        around = spread_join(both, label.select(F.col("x").alias("y"), "l"), ["y"], "x")
+        near = around.groupBy("x").agg(F.min("l").alias("m"))
         low = label.join(near, "x", "left").select("x", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
         # what a root's members have found is the root's too
         root = low.groupBy(F.col("was").alias("x")).agg(F.min("l").alias("r"))
-        low = low.join(root, "x", "left").select("x", "was", F.least("l", F.coalesce("r", "l")).alias("l"))
-        jump = low.select(F.col("x").alias("l"), F.col("l").alias("ll"))
-        new = cut(low.join(jump, "l", "left").select("x", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        low = cut(low.join(root, "x", "left").select("x", "was", F.least("l", F.coalesce("r", "l")).alias("l")))
+        jump = low.select(F.col("x").alias("l"), F.col("l").alias("ll")).where("ll < l")
+        new = cut(spread_join(low, jump, ["l"], "x", "left").select("x", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        forget(low)
         if new.where("was <> l").limit(1).count() == 0:
             return new.select(F.col("x").alias("id"), F.col("l").alias("component"))
         label = new.select("x", "l")
