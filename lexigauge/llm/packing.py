@@ -14,6 +14,10 @@ from . import common
 from .token_counts import PATTERN, merge_ranks, plain
 
 
+#: White space in a row from which on the library cuts a text.
+BLANK = 1 << 16
+
+
 class SumOfSquares:
     """Places pieces online: each goes to the level of fill after which the squared counts of partly filled windows sum least.
 
@@ -69,9 +73,11 @@ def encoder(path: str, end_id: int):
     Ids are those of the tokenizers library. Where the vocabulary's ids follow its merges, as
     they do in published ones, ranks give the same ids in a third of the time and without a
     cache; texts with special strings or scripts that Unicode versions cut differently, and
-    other vocabularies, go to the library itself.
+    other vocabularies, go to the library itself, as do runs of BLANK spaces, in which the
+    pattern would backtrack without end.
     """
     import os
+    import re
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -79,6 +85,7 @@ def encoder(path: str, end_id: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    blank = re.compile(rf"\s{{{BLANK}}}")
     end = np.array([end_id], "<u4").tobytes()
     ranks = merge_ranks(path)
     by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
@@ -86,7 +93,7 @@ def encoder(path: str, end_id: int):
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if by_rank is None or any(s in t for s in special) or not plain(t):
+            if by_rank is None or any(s in t for s in special) or not plain(t) or len(t) >= BLANK and blank.search(t):
                 ids = tokenizer.encode(t, add_special_tokens=False).ids
             else:
                 ids = by_rank.encode_ordinary(t)
@@ -96,24 +103,47 @@ def encoder(path: str, end_id: int):
     return encode
 
 
-def _cut(windows: list[list[tuple]], window: int) -> list[list[tuple]]:
-    """Pieces of partly filled windows, laid end to end and cut into full windows and, for the rest, into powers of two."""
-    out, now, room = [], [], window
-    total = sum(p[2] for w in windows for p in w)
-    full, left = divmod(total, window)
-    targets = [window] * full + [1 << k for k in range(window.bit_length(), -1, -1) if left >> k & 1]
-    goal = iter(targets)
-    room = next(goal, 0)
-    for doc, start, length, ids, tokens in (p for w in windows for p in w):
-        done = 0
-        while done < length:
-            take = min(room, length - done)
-            now.append((doc, start + done, take, ids[4 * done : 4 * (done + take)], tokens))
-            done, room = done + take, room - take
-            if not room:
-                out.append(now)
-                now, room = [], next(goal, 0)
-    return out
+def _close(windows: list[list[tuple]], window: int) -> tuple[list[list[tuple]], int]:
+    """Windows closed at the end of a partition, and how many tokens were moved for it.
+
+    windows: partly filled, fullest first. Pieces stay where the rule has put them; the gaps of
+    the fullest windows are filled from the emptiest, whose pieces are cut to fit, until one
+    window is left, which is cut into powers of two.
+    """
+    out, moved = [], 0
+    left, right = 0, len(windows) - 1
+    while left < right:
+        own = windows[left]
+        gap = window - sum(p[2] for p in own)
+        while gap and left < right:
+            doc, start, length, ids, tokens = windows[right].pop()
+            take = min(gap, length)
+            own.append((doc, start, take, ids[: 4 * take], tokens))
+            if take < length:
+                windows[right].append((doc, start + take, length - take, ids[4 * take :], tokens))
+            gap, moved = gap - take, moved + take
+            if not windows[right]:
+                right -= 1
+        if not gap:
+            out.append(own)
+            left += 1
+    if left == right:
+        rest = windows[left]
+        total = sum(p[2] for p in rest)
+        if total == window:
+            return [*out, rest], moved
+        for size in (1 << k for k in range(window.bit_length(), -1, -1) if total >> k & 1):
+            now = []
+            while size:
+                doc, start, length, ids, tokens = rest.pop()
+                take = min(size, length)
+                now.append((doc, start, take, ids[: 4 * take], tokens))
+                if take < length:
+                    rest.append((doc, start + take, length - take, ids[4 * take :], tokens))
+                size -= take
+            out.append(now)
+        moved += total
+    return out, moved
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -121,8 +151,9 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
 
     Each input partition is packed online, on its own, in one pass over its rows. A document
     longer than a window first fills whole windows; what remains goes where SumOfSquares
-    puts it. Windows that a partition leaves open are laid end to end and cut anew, into
-    full windows and at last powers of two, so no sequence needs padding if those need none.
+    puts it. Of the windows that a partition leaves open, the emptiest fill the others' gaps,
+    cut to fit; the last one is cut into powers of two, so no sequence needs padding if those
+    need none.
     sequence_id holds the partition in its upper bits; offset counts within a sequence.
 
     A null text counts as empty: its only token is end_id. An empty table gives no rows.
@@ -166,7 +197,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
                         close(full)
             if held:
                 yield flush()
-        for pieces in _cut(packer.rest(), window):
+        for pieces in _close(packer.rest(), window)[0]:
             close(pieces)
             if len(held) >= 10_000:
                 yield flush()

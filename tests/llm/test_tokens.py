@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lexigauge.llm.packing import SumOfSquares, pack_documents
+from lexigauge.llm.packing import SumOfSquares, _close, pack_documents
 from lexigauge.llm.token_counts import count_tokens, counter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,29 @@ def test_packed_ids_on_all_kinds_of_characters():
     pool = [chr(c) for c in [*range(0, 0x260), *range(0x370, 0x400), *range(0x2000, 0x2100), *range(0x1F600, 0x1F640)]]
     texts = ["".join(rng.choice([rng.choice(pool), " ", "a", "'s", "\n", "9", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for _ in range(500)]
     assert encode(texts) == [np.array([*ids_of(t), 1], "<u4").tobytes() for t in texts]
+
+
+def test_closing_windows_moves_little():
+    rng = random.Random(4)
+    p, closed, total = SumOfSquares(2048), [], 0
+    for i in range(1500):
+        s = min(2048, int(rng.lognormvariate(6, 1)) + 1)
+        total += s
+        if full := p.place((i, 0, s, b"".join(k.to_bytes(4, "little") for k in range(s)), s), s):
+            closed.append(full)
+    rest = p.rest()
+    before = sorted((i, k) for w in rest for i, a, n, _, _ in w for k in range(a, a + n))
+    out, moved = _close(rest, 2048)
+    fills = [sum(x[2] for x in w) for w in out]
+    assert all(f == 2048 or f & (f - 1) == 0 for f in fills) and len({f for f in fills if f < 2048}) == sum(f < 2048 for f in fills)
+    assert sorted((i, k) for w in out for i, a, n, _, _ in w for k in range(a, a + n)) == before
+    assert all(ids == b"".join(k.to_bytes(4, "little") for k in range(a, a + n)) for w in out for _, a, n, ids, _ in w)
+    assert moved < 0.05 * total
+    assert _close([], 2048) == ([], 0)
+
+
+def test_very_long_texts_without_words(spark):
+    rows = [(0, " " * 1_100_000), (1, "\n" * 1_100_000), (2, " \t\n" * 400_000), (3, "a" * 1_100_000), (4, " " * 70_000 + "x")]
+    long_ = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(pack_documents(long_, PATH).collect(), long_.collect())
+    assert {r.id: r.n_tokens for r in count_tokens(long_, PATH).collect()} == {i: len(ids_of(t)) for i, t in rows}
