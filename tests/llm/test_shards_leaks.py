@@ -3,6 +3,9 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
+
+from lexigauge.llm import common, decontamination
 from lexigauge.llm.decontamination import find_contamination
 from lexigauge.llm.sharding import shard_documents
 
@@ -44,7 +47,11 @@ def brute(docs, items, n):
         yield d.doc_id, len(w), len(hit), sorted(found)
 
 
-def test_leaks_against_brute_force(spark, docs):
+@pytest.mark.parametrize("as_a_whole, hashes", [(1 << 24, 1 << 22), (1000, 1 << 22), (0, 0)])
+def test_leaks_against_brute_force(spark, docs, monkeypatch, as_a_whole, hashes):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", as_a_whole)
+    monkeypatch.setattr(decontamination, "BROADCAST_HASHES", hashes)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     texts = [d.text for d in docs.collect() if d.text and len(d.text) > 300]
     items = [(1, texts[0][40:260]), (2, texts[1].upper()), (3, "the"), (4, ""), (5, None), (6, "nowhere to be found at all in any of these texts x"), (7, texts[2][:200]), (8, texts[2][:200]), (9, "don T we LL")]
     bench = spark.createDataFrame(items, "item_id long, text string")
