@@ -103,15 +103,9 @@ def fold(id_col: str, modulus: int):
 
 def bounded_sample(df: DataFrame, id_col: str, stratum: str, bound: int) -> DataFrame:
     """About bound rows at most of each stratum, chosen by a hash of the id; all rows of a smaller one."""
-    counts = df.groupBy(stratum).count().collect()  # one row a stratum
-    rate = None
-    for r in counts:
-        share = min(1.0, bound / r["count"])
-        hit = F.col(stratum).eqNullSafe(F.lit(r[stratum]))
-        rate = F.when(hit, F.lit(share)) if rate is None else rate.when(hit, F.lit(share))
-    if rate is None:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < rate * (1 << 30))
+    rates = df.groupBy(F.col(stratum).alias("__s")).agg(F.least(F.lit(1.0), bound / F.count("*")).alias("__rate"))
+    rows = df.join(broadcast_if_small(cut(rates)), F.col(stratum).eqNullSafe(F.col("__s")))
+    return rows.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)).select(*df.columns)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The longest piece, in bytes, and words whose scores a worker keeps.
-LONGEST, CACHE = 10, 1_000_000
-#: Bytes of a word that are scored together; a longer word is scored in stretches of so many.
-STRETCH = 48
+#: Words whose scores a worker keeps, and the bytes from which on a word isn't kept and is summed by itself, position by position.
+CACHE, ALONE = 1_000_000, 256
+#: Bytes that words are made of: letters, and all of other scripts.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """The byte strings of a public vocabulary file: .tiktoken ranks, or .json or .model pieces, lower-cased, of up to LONGEST bytes, and all single bytes; spaces before a word's first piece are left out."""
+    """The byte strings of a public vocabulary file: .tiktoken ranks, or .json or .model pieces, lower-cased, and all single bytes; spaces before a word's first piece are left out, as are pieces with other bytes than those of words, which no word can hold."""
     import base64
     import json
 
@@ -36,7 +37,7 @@ def vocabulary(path: str) -> list[bytes]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = [model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    pieces = {common.LOWER[np.frombuffer(x, np.uint8)].tobytes() for r in raw if 0 < len(x := r.lstrip(b" ")) <= LONGEST}
+    pieces = {common.LOWER[np.frombuffer(x, np.uint8)].tobytes() for r in raw if (x := r.lstrip(b" ")) and _LETTER[np.frombuffer(x, np.uint8)].all()}
     return sorted(pieces | {bytes([b]) for b in range(256)}, key=lambda x: (len(x), x))
 
 
@@ -82,14 +83,41 @@ def lattice(words: list[bytes], pieces: Pieces) -> tuple[np.ndarray, list[list[t
 
 
 def forward(size: np.ndarray, steps: list, p: np.ndarray) -> list[np.ndarray]:
-    """Chances of each word's first bytes, by position, all segmentations summed. p: (pieces, languages)."""
-    alpha = [np.ones((len(size), p.shape[1]))] + [np.zeros((len(size), p.shape[1])) for _ in steps[1:]]
+    """Log chances of each word's first bytes, by position, all segmentations summed. p: log chances (pieces, languages)."""
+    alpha = [np.zeros((len(size), p.shape[1]))] + [np.full((len(size), p.shape[1]), -np.inf) for _ in steps[1:]]
     for end, step in enumerate(steps):
         for n, own, piece in step:
-            alpha[end][own] += alpha[end - n][own] * p[piece]
+            alpha[end][own] = np.logaddexp(alpha[end][own], alpha[end - n][own] + p[piece])
     return alpha
 
 
+def edges(word: bytes, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece) of all pieces in one word, in order of their ends."""
+    prefix = common.prefix_hash(common.BYTE_VALUES[np.frombuffer(word, np.uint8)])
+    found = []
+    for n in pieces.tables:
+        if n > len(word):
+            break
+        start = np.arange(len(word) - n + 1)
+        piece = pieces.find(n, common.span_hash(prefix, start, start + n))
+        hit = np.flatnonzero(piece >= 0)
+        found.append((hit, hit + n, piece[hit]))
+    start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], piece[order]
+
+
+def along(start: np.ndarray, end: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """As forward, for one word from its edges, in order of their ends, with their log chances p (edges, languages): (positions, languages)."""
+    size = int(end[-1])
+    out = np.full((size + 1, p.shape[1]), -np.inf)
+    out[0] = 0
+    cuts = np.searchsorted(end, np.arange(1, size + 2)).tolist()
+    for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+        out[at] = np.logaddexp.reduce(out[start[a:b]] + p[a:b], axis=0)
+    return out
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -100,19 +128,21 @@ class Model:
 
     def __post_init__(self):
         self.table = Pieces(self.pieces)
+        self.log = np.log(np.maximum(self.p, 1e-300))
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Log chance of each word in each language."""
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            for i in range(0, len(w), STRETCH):
-                parts.append(w[i : i + STRETCH])
-                owner.append(k)
-        size, steps = lattice(parts, self.table)
-        alpha = forward(size, steps, self.p)
-        last = np.stack(alpha)[size, np.arange(len(size))]
         out = np.zeros((len(words), len(self.langs)))
-        np.add.at(out, owner, np.log(np.maximum(last, 1e-300)))
+        short = [k for k, w in enumerate(words) if len(w) < ALONE]
+        # words of like length together, so that few wait for the longest
+        for own in (k for k in (np.array([i for i in short if lo <= len(words[i]) < hi], int) for lo, hi in ((0, 16), (16, 64), (64, ALONE))) if len(k)):
+            size, steps = lattice([words[i] for i in own], self.table)
+            alpha = forward(size, steps, self.log)
+            out[own] = np.stack(alpha)[size, np.arange(len(size))]
+        for k, w in enumerate(words):
+            if len(w) >= ALONE:
+                start, end, piece = edges(w, self.table)
+                out[k] = along(start, end, self.log[piece])[-1]
         return out
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -128,6 +158,8 @@ class Model:
         for k, t in enumerate(texts):
             if t:
                 out[k] += np.array(list(map(self.known.__getitem__, t))).sum(0, dtype=float)
+        for w in (w for w in new if len(w) >= ALONE):
+            del self.known[w]
         out = np.exp(out - out.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
 
@@ -142,35 +174,38 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
     table = Pieces(pieces)
     p = []
     for c in counts.values():
-        words = [w[i : i + STRETCH] for w in c for i in range(0, len(w), STRETCH)]
-        weight = np.array([n for w, n in c.items() for _ in range(0, len(w), STRETCH)], float)
         now = np.full(len(pieces), 1 / len(pieces))
-        parts = [(words[i : i + 20_000], weight[i : i + 20_000]) for i in range(0, len(words), 20_000)]
-        grids = [(*lattice(w, table), n) for w, n in parts]
+        grids = []
+        for lo, hi in ((0, 16), (16, 64), (64, ALONE)):
+            own = [w for w in c if lo <= len(w) < hi]
+            grids += [(*lattice(part, table), np.array([c[w] for w in part], float)) for part in (own[i : i + 20_000] for i in range(0, len(own), 20_000))]
+        long_ = [w for w in c if len(w) >= ALONE]
         for _ in range(rounds):
-            uses = np.full(len(pieces), smooth)
+            log, uses = np.log(now), np.full(len(pieces), smooth)
             for size, steps, n in grids:
-                alpha = [a[:, 0] for a in forward(size, steps, now[:, None])]
+                alpha = [a[:, 0] for a in forward(size, steps, log[:, None])]
                 total = np.stack(alpha)[size, np.arange(len(size))]
-                beta = [np.zeros(len(size)) for _ in alpha]
+                beta = [np.full(len(size), -np.inf) for _ in alpha]
                 for end in range(len(alpha) - 1, -1, -1):
-                    beta[end][size == end] = 1
+                    beta[end][size == end] = 0
                     for k, own, piece in steps[end]:
-                        beta[end - k][own] += beta[end][own] * now[piece]
+                        beta[end - k][own] = np.logaddexp(beta[end - k][own], beta[end][own] + log[piece])
                 for end, step in enumerate(steps):
                     for k, own, piece in step:
-                        uses += np.bincount(piece, weights=n[own] * alpha[end - k][own] * now[piece] * beta[end][own] / np.maximum(total[own], 1e-300), minlength=len(pieces))
+                        uses += np.bincount(piece, weights=n[own] * np.exp(alpha[end - k][own] + log[piece] + beta[end][own] - total[own]), minlength=len(pieces))
+            for w in long_:
+                start, end, piece = edges(w, table)
+                ahead = along(start, end, log[piece][:, None])[:, 0]
+                # the same backwards: edges in the order of their starts, from the word's end
+                back = np.argsort(len(w) - start, kind="stable")
+                behind = along(len(w) - end[back], len(w) - start[back], log[piece[back]][:, None])[::-1, 0]
+                uses += np.bincount(piece, weights=c[w] * np.exp(ahead[start] + log[piece] + behind[end] - ahead[-1]), minlength=len(pieces))
             now = uses / uses.sum()
         p.append(now)
     n = np.array([sum(c.values()) + 1.0 for c in counts.values()])
     return Model(list(counts), pieces, np.stack(p, 1) if p else np.empty((len(pieces), 0)), n / n.sum() if len(n) else n)
 
 
-#: Bytes that end a word in a text: all of ASCII but letters. Words are lower-cased (A-Z).
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-
 def text_words(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
     """The words of each row: runs of letters and bytes from 128 on."""
     clean = np.where(_LETTER[data], common.LOWER[data], 32).astype(np.uint8).tobytes()
@@ -181,7 +216,8 @@ def identify(docs: DataFrame, train_where, path: str, bound: int = 1000, id_col:
     """(id, lang_pred, score) of each document, over its whole text.
 
     Rows that train_where keeps, with a text and a language, train the model: about `bound`
-    of each language at most, chosen by a hash of the id. score is the chance of lang_pred
+    of each language at most, chosen by a hash of the id; only their words' counts come to the
+    driver. Words are whole runs of letters and other scripts' bytes, of any length. score is the chance of lang_pred
     given the text, by pieces of the vocabulary at path, summed over all segmentations of its
     words. Texts that are null or have no letter are `und` with score 0, as are all if there
     is no language to learn. Ties go to the language first in order. Repeated rows are scored
@@ -194,15 +230,20 @@ def identify(docs: DataFrame, train_where, path: str, bound: int = 1000, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where(train_where & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull())
     sample = common.bounded_sample(usable.select("id", "lang"), "id", "lang", bound)
-    got = usable.join(F.broadcast(sample.select("id").distinct()), "id").select("text", "lang").toPandas()
-    counts: dict[str, dict[bytes, int]] = {lang: {} for lang in sorted(set(got["lang"]))}
-    for lang, own in got.groupby("lang"):
-        batch = pa.RecordBatch.from_arrays([pa.array(own["text"].tolist(), pa.string())], names=["text"])
-        for part in common.slices(iter([batch]), "text"):
-            for words in text_words(*common.text_buffers(part.column("text"))):
+    chosen = usable.join(F.broadcast(sample.select("id").distinct()), "id").select("lang", "text")
+
+    def count(batches):
+        common.worker_state("language")
+        for batch in common.slices(batches, "text"):
+            own: dict[tuple[str, bytes], int] = {}
+            for lang, words in zip(batch.column("lang").to_pylist(), text_words(*common.text_buffers(batch.column("text"))), strict=True):
                 for w in words:
-                    counts[lang][w] = counts[lang].get(w, 0) + 1
-    counts = {k: v for k, v in counts.items() if v}
+                    own[lang, w] = own.get((lang, w), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([w for _, w in own], pa.binary()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+
+    got = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    got = got.assign(word=got["word"].map(bytes)).sort_values(["lang", "word"])
+    counts = {lang: dict(zip(own["word"], own["n"].astype(int), strict=True)) for lang, own in got.groupby("lang")}
     fitted = fit(counts, vocabulary(path)) if counts else None
     shared = spark.sparkContext.broadcast((fitted.langs, fitted.pieces, fitted.p.astype(np.float32), fitted.prior) if fitted else None)
 

@@ -73,6 +73,79 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(model.word_scores(words)[:, k]), [segmentations(w, p) for w in words])
 
 
+def whole(word, p):
+    """The log chance of a word by a plain loop over positions."""
+    out = [0.0] + [-np.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            if word[start:end] in p:
+                out[end] = np.logaddexp(out[end], out[start] + np.log(p[word[start:end]]))
+    return out[-1]
+
+
+def test_words_of_any_length_are_summed_whole():
+    rng = random.Random(7)
+    pieces = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30))) for _ in range(200)} | {b"a", b"b", b"c", b"abc" * 20}, key=lambda x: (len(x), x))
+    chances = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    chances[pieces.index(b"a"), 1] = 1e-9  # chances far below those of a double
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 15, 16, 47, 48, 49, 100, 255, 256, 300, 700)] + [b"a" * 300, b"abc" * 100]
+    model = language_id.Model(["x", "y"], pieces, chances, np.array([0.5, 0.5]))
+    for k in (0, 1):
+        p = dict(zip(pieces, chances[:, k], strict=True))
+        assert np.allclose(model.word_scores(words)[:, k], [whole(w, p) for w in words], rtol=1e-9)
+
+
+def test_fit_counts_uses_in_words_of_any_length():
+    """One round's chances against a plain sum over pairs of positions."""
+    rng = random.Random(8)
+    pieces = [b"a", b"b", b"ab", b"ba", b"aab", b"abab"]
+    words = {bytes(rng.choice(b"ab") for _ in range(n)): n % 3 + 1 for n in (2, 9, 40, 70, 260, 300)}
+    p = dict.fromkeys(pieces, 1 / len(pieces))
+    uses = dict.fromkeys(pieces, 0.1)
+    for w, n in words.items():
+        total = whole(w, p)
+        for a in range(len(w)):
+            for x in pieces:
+                if w.startswith(x, a):
+                    uses[x] += n * np.exp(whole(w[:a], p) + np.log(p[x]) + whole(w[a + len(x) :], p) - total)
+    got = language_id.fit({"x": words}, pieces, rounds=1).p[:, 0]
+    assert np.allclose(got, np.array([uses[x] for x in pieces]) / sum(uses.values()))
+
+
+def test_language_query_against_a_plain_scorer(spark, tmp_path):
+    """Predictions and scores of the operator, over whole texts with long words, by a loop over words."""
+    rng = random.Random(9)
+    make = {"x": lambda: "".join(rng.choice("abc") for _ in range(rng.choice((3, 5, 60, 300)))), "y": lambda: "".join(rng.choice("bcd") for _ in range(rng.choice((3, 5, 60, 300))))}
+    rows = [(i, " ".join(make[lang]() for _ in range(rng.randint(1, 12))), lang) for i, lang in enumerate("xy" * 20)] + [(90, None, "x"), (91, "12 34", "y"), (92, "bc", None)]
+    path = str(tmp_path / "v.tiktoken")
+    import base64
+
+    vocab = [bytes([b]) for b in range(97, 101)] + [b"ab", b"abc", b"bcd", b"cd", b" bc", b"x1", b"ab" * 8]
+    with open(path, "wb") as f:
+        f.writelines(base64.b64encode(v) + b" %d\n" % i for i, v in enumerate(vocab))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r for r in language_id.identify(frame, common.fold("id", 4) != 2, path).collect()}
+    import zlib
+
+    train = [r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {lang: {} for lang in "xy"}
+    for _, t, lang in train:
+        for w in "".join(c if c.isalpha() else " " for c in t).encode().split():
+            counts[lang][w] = counts[lang].get(w, 0) + 1
+    pieces = language_id.vocabulary(path)
+    assert b"x1" not in pieces and b"bc" in pieces and b"ab" * 8 in pieces
+    model = language_id.fit(counts, pieces)
+    share = {lang: sum(c.values()) + 1 for lang, c in counts.items()}
+    for i, t, _ in rows:
+        words = "".join(c if c.isalpha() else " " for c in t or "").encode().split()
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        z = {lang: np.log(share[lang]) + sum(whole(w, dict(zip(pieces, model.p[:, k].astype(np.float32).astype(float), strict=True))) for w in words) for k, lang in enumerate("xy")}
+        best = max(z, key=z.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(np.exp(v - z[best]) for v in z.values()), abs=1e-3)
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     rng = random.Random(2)
     words = {bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 6))): rng.randint(1, 9) for _ in range(40)}
