@@ -75,16 +75,24 @@ def broadcast_if_small(ids: DataFrame) -> DataFrame:
 HOT_ROWS, SALTS = 1000, 16
 
 
-def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+def hot_keys(counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """The keys of HOT_ROWS rows or more in a table (keys, n), as spread_join takes them; None if there are none."""
+    hot = cut(counted.where(F.col(n) >= HOT_ROWS).select(*keys, F.lit(True).alias("__hot")))
+    return broadcast_if_small(hot) if hot.limit(1).count() else None
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with `one`, which has a row for each of the keys, where few keys may have very many rows.
 
-    Keys of HOT_ROWS rows or more (counted where the rows are, then summed) are dealt out by
-    a hash of the column `by`, and their row of `one` is copied to each share.
+    Rows of hot keys (see hot_keys) are dealt out by a hash of the column `by`, and their row
+    of `one` is copied to each share.
     """
-    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(f"__n >= {HOT_ROWS}").select(*keys, F.lit(True).alias("__hot")))
-    if not hot.limit(1).count():
+    if hot is None:
         return rows.join(one, keys, how)
-    hot = broadcast_if_small(hot)
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
@@ -228,16 +236,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = cut(both.union(both.select("y", "x")).distinct())
+    hubs = hot_keys(counted(both, ["y"]), ["y"])
     label = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
     while True:
-        around = spread_join(both, label.select(F.col("x").alias("y"), "l"), ["y"], "x")
+        around = spread_join(both, label.select(F.col("x").alias("y"), "l"), ["y"], "x", hubs)
         near = around.groupBy("x").agg(F.min("l").alias("m"))
         low = label.join(near, "x", "left").select("x", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
         # what a root's members have found is the root's too
         root = low.groupBy(F.col("was").alias("x")).agg(F.min("l").alias("r"))
         low = cut(low.join(root, "x", "left").select("x", "was", F.least("l", F.coalesce("r", "l")).alias("l")))
         jump = low.select(F.col("x").alias("l"), F.col("l").alias("ll")).where("ll < l")
-        new = cut(spread_join(low, jump, ["l"], "x", "left").select("x", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        new = cut(spread_join(low, jump, ["l"], "x", hot_keys(counted(low, ["l"]), ["l"]), "left").select("x", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
         forget(low)
         if new.where("was <> l").limit(1).count() == 0:
             return new.select(F.col("x").alias("id"), F.col("l").alias("component"))

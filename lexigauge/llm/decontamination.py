@@ -147,7 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
         # equal texts have equal hits
         keys = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.hash(F.coalesce("text", F.lit(""))).alias("key2")
         hits = common.cut(_joined_hits(rows.select(*keys, "text"), items, n))
-        rows = common.spread_join(rows.select("*", *keys, F.xxhash64("id").alias("by")), hits, ["key", "key2"], "by", "left").drop("key", "key2", "by")
+        rows = rows.select("*", *keys, F.xxhash64("id").alias("by"))
+        rows = common.spread_join(rows, hits, ["key", "key2"], "by", common.hot_keys(common.counted(rows, ["key", "key2"]), ["key", "key2"]), "left").drop("key", "key2", "by")
     carried_ = bool(carry)
 
     def run(batches):

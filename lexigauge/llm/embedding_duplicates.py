@@ -193,6 +193,6 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_i
     named = pairs.join(linked.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(linked.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b")
     comp = common.components(named, "x", "y").select(F.col("id").alias("rep"), "component")
     result = common.cut(number_of.join(comp, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
-    out = common.spread_join(members.where("key is not null"), result, ["key"], "id", "left").select("id", "n_links", "component")
+    out = common.spread_join(members.where("key is not null"), result, ["key"], "id", common.hot_keys(once.select("key", F.col("copies").alias("n")), ["key"]), "left").select("id", "n_links", "component")
     out = out.unionByName(members.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     return out.select("id", "n_links", F.col("component").cast(id_kind).alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

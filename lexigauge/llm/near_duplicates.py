@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words are counted in so many cells by hash, which bounds what is broadcast, whatever the vocabulary.
-CELLS = 1 << 18
-#: Shares into which copies of one text are dealt.
-SALTS = 16
+#: A word in fewer than this share of documents weighs as one in so many. Only words in more are broadcast: at most 1 / RARE times the mean number of distinct words of a document.
+RARE = 1e-5
+#: Words whose counts a task holds before it passes them on.
+HELD = 1 << 20
+#: Bytes of texts whose shingles a task holds while it compares what a bucket has left.
+MEMORY = 32 << 20
 #: Rows of the tables of random parameters; a shingle takes a row of each by other bits of its hash.
 TABLE_BITS = 13
 
@@ -27,41 +30,63 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return common.span_hash(common.prefix_hash(common.BYTE_VALUES[low]), start, end), row
 
 
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """For each cell the inverse document frequency of its words: 1 + ln((1 + documents) / (1 + documents with them)).
+class Weights:
+    """Inverse document frequencies by words' hashes: 1 + ln((1 + documents) / (1 + documents with the word))."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int):
+        order = np.argsort(hashes)
+        self.hashes, self.rest = hashes[order], 1 + np.log((1 + documents) / (1 + documents * RARE))
+        self.values = 1 + np.log((1 + documents) / (1 + counts[order]))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), self.rest)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.values[at], self.rest)
 
-    docs: (text). One pass over all documents; counts are summed in each task first.
-    """
+
+def word_weights(docs: DataFrame) -> Weights:
+    """The weights of all words of docs (text), each word counted by itself, in one pass; counts are summed in each task first."""
+    most = HELD
 
     def run(batches):
         common.worker_state("near_duplicates")
-        counts, n = np.zeros(CELLS, np.int64), 0
+        held, counts, n = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["h", "n"])
+
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
             h, row = _word_hashes(data, offsets)
             n += batch.num_rows
-            seen = np.unique(row.astype(np.int64) * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64))
-            counts += np.bincount(seen % CELLS, minlength=CELLS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *counts[at].tolist()], pa.int64())], names=["cell", "n"])
-
-    rows = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    n = int(rows.loc[rows.cell == -1, "n"].sum())
-    df = np.zeros(CELLS)
-    rows = rows[rows.cell >= 0]
-    df[rows.cell.to_numpy()] = rows.n.to_numpy()
-    return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            held, at = np.unique(np.concatenate([held, h[new]]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, np.ones(int(new.sum()), np.int64)]), minlength=len(held)).astype(np.int64)
+            if len(held) > most:
+                yield rows()
+                held, counts = held[:0], counts[:0]
+        yield rows()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["h", "n"])
+
+    counted = common.cut(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    documents = counted.where("h is null").agg(F.sum("n")).first()[0] or 0
+    common_ = counted.where(F.col("h").isNotNull() & (F.col("n") > documents * RARE)).toPandas()
+    common.forget(counted)
+    return Weights(common_["h"].to_numpy(np.int64).view(np.uint64), common_["n"].to_numpy(np.int64), documents)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, weights: Weights, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its distinct shingles' hashes, sorted, and their weights.
 
     A weight is the count in the row times the mean inverse document frequency of the
     shingle's words. A row of fewer than k words, but not none, has them all as one shingle.
     """
     h, row = _word_hashes(data, offsets)
-    idf = weights[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64)
-    total = np.concatenate([[0.0], np.cumsum(idf)])
+    total = np.concatenate([[0.0], np.cumsum(weights(h))])
     prefix = common.prefix_hash(h)
     ends = np.searchsorted(row, np.arange(len(offsets)), side="left")
     for r in range(len(offsets) - 1):
@@ -138,96 +163,122 @@ def similar(a: tuple, b: tuple, least: float) -> bool:
     return both >= least * (all_ - both) - 1e-9
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float) -> DataFrame:
-    """(a, b): the pairs (g, x, y) whose weighted Jaccard similarity is `least` or more.
+def least_agreement(samples: int, least: float, miss: float = 2e-4) -> int:
+    """The most samples in which all pairs at `least`, but `miss` of them, agree."""
+    tail, k = 0.0, 0
+    while tail + (now := math.comb(samples, k) * least**k * (1 - least) ** (samples - k)) <= miss:
+        tail, k = tail + now, k + 1
+    return k
+
 
-    g (a long) deals the pairs out: the texts of a g, whose number the caller bounds, are
-    read first and held as shingles, then its pairs.
+def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float, share: int) -> DataFrame:
+    """(a, b): the pairs (x, y) whose weighted Jaccard similarity is `least` or more.
+
+    Partners x of one y are dealt out, `share` together. A task reads y's text first and then
+    one x after another, so it holds two texts' shingles, however many or long they are.
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = common.cut(pairs.select("g", F.col("x").alias("id")).union(pairs.select("g", "y")).distinct())
-    texts = docs.select("id", "text").join(common.broadcast_if_small(ids), "id").select("g", F.lit(0).alias("role"), "id", F.col("id").alias("y"), "text")
-    asked = pairs.select("g", F.lit(1).alias("role"), F.col("x").alias("id"), "y", F.lit(None).cast("string").alias("text"))
-    rows = texts.unionByName(asked).repartition(n, "g").sortWithinPartitions("g", "role")
+    kind = docs.schema["id"].dataType.simpleString()
+    partners = common.cut(common.counted(pairs, ["y"]))
+    dealt = common.spread_join(pairs, partners, ["y"], "x", common.hot_keys(partners, ["y"])).withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / share)).cast("int"))
+    asked = common.cut(dealt.select("y", "part", F.col("x").alias("id"), F.lit(1).alias("role")).union(dealt.select("y", "part", F.col("y").alias("id"), F.lit(0)).distinct()))
+    rows = docs.select("id", "text").join(common.broadcast_if_small(asked), "id")
+    rows = rows.repartition(n, "y", "part").sortWithinPartitions("y", "part", "role")
 
     def run(batches):
         common.worker_state("near_duplicates")
-        w, now, held = weights.value, None, {}
+        w, now, held = weights.value, None, None
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
-            g, role, x, y = (batch.column(c).to_pylist() for c in ("g", "role", "id", "y"))
-            asks = role.count(1)
-            sets = shingles(data, offsets, w, k) if asks < len(role) else iter([None] * len(role))
+            y, part, role, x = (batch.column(c).to_pylist() for c in ("y", "part", "role", "id"))
             found = []
-            for i, own in enumerate(sets):
-                if g[i] != now:
-                    now, held = g[i], {}
+            for i, own in enumerate(shingles(data, offsets, w, k)):
                 if role[i] == 0:
-                    held[x[i]] = own
-                    continue
-                if similar(held[x[i]], held[y[i]], least):
+                    now, held = (y[i], part[i]), own
+                elif (y[i], part[i]) == now and similar(held, own, least):
                     found.append(i)
-            kind = batch.column("id").type
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], kind), pa.array([y[i] for i in found], kind)], names=["a", "b"])
+            t = batch.column("id").type
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], t), pa.array([y[i] for i in found], t)], names=["a", "b"])
 
-    kind = docs.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float, bands: int, enough: int, tile: int) -> DataFrame:
+def _candidates(comp: np.ndarray, same: np.ndarray, late: np.ndarray, samples: np.ndarray, keys: np.ndarray, band: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, samples in which they agree) of pairs in different components that agree in `enough`, and share no band before this."""
+    left = np.flatnonzero(same | ~late)
+    right = left if same.all() else np.flatnonzero(late)
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        alike = np.zeros((len(i), len(right)), np.uint8 if samples.shape[1] < 256 else np.uint16)
+        for c in range(samples.shape[1]):
+            alike += samples[i, c][:, None] == samples[right, c][None, :]
+        ok = (alike >= enough) & (comp[i][:, None] != comp[right][None, :])
+        if right is left:
+            ok &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
+        p, q = np.nonzero(ok)
+        first = (keys[i[p]] == keys[right[q]]).argmax(1) == band if len(p) else np.zeros(0, bool)
+        p, q = p[first], q[first]
+        yield i[p], right[q], alike[p, q]
+
+
+def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float, enough: int, tile: int) -> DataFrame:
     """(a, b): links between texts of one bucket that are in different components, enough of them to join those.
 
-    rows: (band, key, id, n, hub, component, samples, bands). A bucket of more than `tile`
-    texts is dealt out as pairs of tiles, so no task holds more than two tiles. Pairs that
-    agree in `enough` samples are verified by their shingles, those that agree most first,
-    unless links found before join them; a pair counts in the first band that it shares only,
-    and not if one of the two is the bucket's hub. Pairs stay inside the task.
+    rows: (band, key, id, n, component, samples, bands). A bucket of more than `tile` texts is
+    dealt out as pairs of tiles. A first pass over samples finds which texts of a task agree
+    with another in `enough`; the texts of these alone follow, in a second pass that verifies
+    the pairs, those that agree most first, unless links found before join them. A pair counts
+    in the first band that it shares. Pairs stay inside the task, which keeps texts packed and
+    holds the shingles of MEMORY bytes of them.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = F.ceil(F.col("n") / tile).cast("int")
     rows = rows.withColumn("t", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select(F.xxhash64("band", "key", F.least("t", "o"), F.greatest("t", "o")).alias("g"), "band", (F.col("t") > F.col("o")).alias("late"), (F.col("t") == F.col("o")).alias("same"), (F.col("id") == F.col("hub")).alias("is_hub"), "id", "component", "samples", "bands")
+    rows = rows.select(F.xxhash64("band", "key", F.least("t", "o"), F.greatest("t", "o")).alias("g"), "band", (F.col("t") > F.col("o")).alias("late"), (F.col("t") == F.col("o")).alias("same"), "id", "component", "samples", "bands")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def candidates(group):
+    memory = MEMORY
+
+    def table(group):
         comp = np.array(group.column("component").to_pylist())
-        none = np.empty(0, np.int64)
-        if (comp == comp[0]).all():
-            return none, none, comp
-        same, late, hub = (np.array(group.column(c).to_pylist(), bool) for c in ("same", "late", "is_hub"))
+        same, late = (np.array(group.column(c).to_pylist(), bool) for c in ("same", "late"))
         s = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(len(comp), -1)
-        keys = np.array(group.column("bands").to_pylist(), np.int64)
-        band = group.column("band")[0].as_py()
-        left = np.flatnonzero((same | ~late) & ~hub)
-        right = left if same.all() else np.flatnonzero(late & ~hub)
-        xs, ys, agree = [none], [none], [none]
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            alike = (s[i][:, None, :] == s[right][None, :, :]).sum(-1)
-            ok = (alike >= enough) & (comp[i][:, None] != comp[right][None, :])
-            if right is left:
-                ok &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
-            p, q = np.nonzero(ok)
-            first = (keys[i[p]] == keys[right[q]]).argmax(1) == band if len(p) else np.zeros(0, bool)
-            p, q = p[first], q[first]
-            xs.append(i[p])
-            ys.append(right[q])
-            agree.append(alike[p, q])
-        order = np.argsort(-np.concatenate(agree), kind="stable")
-        return np.concatenate(xs)[order], np.concatenate(ys)[order], comp
+        return comp, same, late, s, np.array(group.column("bands").to_pylist(), np.int64), group.column("band")[0].as_py(), enough
+
+    def pick(batches):
+        common.worker_state("near_duplicates")
+        for group in common.runs(batches, "g"):
+            args = table(group)
+            used = np.zeros(group.num_rows, bool)
+            if not (args[0] == args[0][0]).all():
+                for i, j, _ in _candidates(*args):
+                    used[i] = used[j] = True
+            yield from group.filter(pa.array(used)).to_batches()
+
+    picked = common.cut(rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(pick, rows.schema))
+    if not picked.limit(1).count():
+        return docs.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
 
     def run(batches):
         common.worker_state("near_duplicates")
         w = weights.value
         for group in common.runs(batches, "g"):
-            x, y, comp = candidates(group)
-            if not len(x):
-                continue
-            used = np.unique(np.concatenate([x, y]))
-            sets = {}
-            for batch in common.slices(iter(group.select(["text"]).take(pa.array(used)).to_batches()), "text"):
-                for own in shingles(*common.text_buffers(batch.column("text")), w, k):
-                    sets[int(used[len(sets)])] = own
+            comp, *rest = table(group)
+            found = [np.concatenate(x) for x in zip(*_candidates(comp, *rest), strict=True)]
+            order = np.argsort(-found[2].astype(int), kind="stable")
+            texts, sets, size = group.column("text"), {}, 0
+
+            def of(i, texts=texts, sets=sets):
+                nonlocal size
+                if i not in sets:
+                    data, offsets = common.text_buffers(texts.slice(i, 1))
+                    size += len(data)
+                    if size > memory:
+                        sets.clear()
+                        size = len(data)
+                    sets[i] = next(iter(shingles(data, offsets, w, k)))
+                return sets[i]
+
             root: dict = {}
 
             def top(c, root=root):
@@ -235,24 +286,24 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
                     c = up
                 return c
 
-            found = []
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            links = []
+            for i, j in zip(found[0][order].tolist(), found[1][order].tolist(), strict=True):
                 p, q = top(comp[i]), top(comp[j])
-                if p != q and similar(sets[i], sets[j], least):
-                    root[p] = q
-                    found.append((i, j))
-            if found:
-                ids = group.column("id").to_pylist()
-                t = group.column("id").type
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], t), pa.array([ids[j] for _, j in found], t)], names=["a", "b"])
-
-    # only texts that are asked for are shuffled
-    ids = common.cut(rows.select("id").distinct())
+                if p != q:
+                    x, y = of(i), of(j)
+                    if similar(x, y, least):
+                        root[p] = q
+                        links.append((i, j))
+            if links:
+                ids, t = group.column("id").to_pylist(), group.column("id").type
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], t), pa.array([ids[j] for _, j in links], t)], names=["a", "b"])
+
+    ids = common.cut(picked.select("id").distinct())
     texts = docs.select("id", "text").join(common.broadcast_if_small(ids), "id", "left_semi")
-    return rows.join(texts, "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
+    return picked.join(texts, "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 16, per_band: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 16, per_band: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = 512, share: int = 128) -> DataFrame:
     """(id, class_id, kept) of each document: class_id is the smallest id of its class, whose row is kept.
 
     A class is a component of links: equal texts, and pairs that share a band and whose
@@ -263,43 +314,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     with the bucket's hub, the text that shares most buckets (in a group of edited copies, the
     one closest to all). Texts of a bucket that are in different components even then are
     compared by their samples, in pairs of tiles, and by their shingles where the samples
-    agree as often as those of 0.997 of pairs at `least`; so no pair is passed over because its
-    bucket is large.
+    agree as often as those of 0.9998 of pairs at `least`; no bucket is too large for that.
 
     A null text is in no class but its own; texts without words are linked only if equal.
     Ids are whole numbers and should be unique: rows with one id are one document's, of all
-    its texts. An empty table gives no rows.
+    its texts. A row with a null id is in the class of an equal text with an id; without one
+    its class is null, it links nothing and is kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(word_weights(docs.select("text")))
     signed = common.cut(signatures(docs, weights, k, bands, per_band))
-    texts = signed.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    # a text with very many copies is dealt to SALTS tasks
-    copied = texts.where("n > 1").select("text_key", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = signed.select("id", "text_key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    member = salted.join(copied, ["text_key", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    texts = common.cut(signed.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    # only copies need a join to learn what stands for them
+    member = common.spread_join(signed.select("id", "text_key"), texts.where("n > 1").select("text_key", "rep"), ["text_key"], "id", common.hot_keys(texts, ["text_key"]), "left").select("id", F.coalesce("rep", "id").alias("rep"))
     once = signed.join(texts.select(F.col("rep").alias("id"), "text_key"), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
-    rows = once.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = common.cut(rows.join(sizes, ["band", "key"]).select("band", "key", "id", "n"))
+    rows = common.cut(once.select("id", F.posexplode("bands").alias("band", "key")))
+    sizes = common.cut(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = common.hot_keys(sizes, ["band", "key"])
+    rows = common.cut(common.spread_join(rows, sizes, ["band", "key"], "id", hot).select("band", "key", "id", "n"))
     central = rows.groupBy("id").agg(F.sum("n").alias("c"))
-    hubs = rows.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("c", "id")).alias("h")).select("band", "key", F.col("h.id").alias("hub"))
-    rows = common.cut(rows.join(hubs, ["band", "key"]))
-    pairs = rows.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
-    partners = pairs.groupBy("y").agg(F.ceil(F.count("*") / tile).alias("shares"))
-    pairs = common.cut(pairs.join(partners, "y").select(F.xxhash64("y", F.pmod(F.xxhash64("x"), F.col("shares"))).alias("g"), "x", "y"))
-    links = common.cut(_verify(pairs, docs, weights, k, least))
+    hubs = common.cut(rows.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("c", "id")).alias("h")).select("band", "key", F.col("h.id").alias("hub")))
+    rows = common.cut(common.spread_join(rows, hubs, ["band", "key"], "id", hot))
+    pairs = common.cut(rows.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct())
+    links = common.cut(_verify(pairs, docs, weights, k, least, share))
     comp = common.components(links)
 
     placed = rows.where("n > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    placed = placed.join(mixed, ["band", "key"], "left_semi").join(once.select("id", "samples", "bands"), "id")
-    samples = bands * per_band
-    enough = int(samples * least - 2.7 * (samples * least * (1 - least)) ** 0.5)
-    more = common.cut(_join_apart(placed, docs, weights, k, least, bands, enough, tile))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", F.lit(True).alias("mixed"))
+    placed = common.spread_join(placed, common.cut(mixed), ["band", "key"], "id", hot).drop("mixed").join(once.select("id", "samples", "bands"), "id")
+    more = common.cut(_join_apart(placed, docs, weights, k, least, least_agreement(bands * per_band, least), tile))
     if more.limit(1).count():
         comp = common.components(links.unionByName(more))
-    out = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    comp = comp.select(F.col("id").alias("rep"), "component")
+    out = common.spread_join(member, comp, ["rep"], "id", common.hot_keys(texts.select("rep", "n"), ["rep"]), "left")
     return out.select("id", F.coalesce("component", "rep").alias("class_id")).select("id", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

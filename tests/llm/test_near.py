@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lexigauge.llm.near_duplicates import near_duplicates, weighted_samples
+from lexigauge.llm import common, near_duplicates as module
+from lexigauge.llm.near_duplicates import least_agreement, near_duplicates, weighted_samples
 
 from .conftest import SCHEMA, odd_rows, prose, row
 
@@ -64,10 +65,12 @@ def corpus():
     return [row(i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("tile", [1024, 5])
-def test_against_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, hot, memory", [(512, 1000, 1 << 25), (5, 4, 3000)])
+def test_against_brute_force(spark, monkeypatch, tile, hot, memory):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(module, "MEMORY", memory)
     rows = corpus()
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), tile=tile).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), tile=tile, share=tile).collect()
     groups = defaultdict(set)
     for r in got:
         groups[r.class_id].add(r.id)
@@ -79,13 +82,68 @@ def test_against_brute_force(spark, tile):
 def test_odd_rows(spark, no_docs):
     rows = [r for r in odd_rows() if r[0] is not None]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    groups = defaultdict(set)
-    for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect():
-        groups[r.class_id].add(r.id)
+    # null ids: of a text that has an id, of texts that have none
+    null = [(None, *rows[9][1:]), row(None, "of no id at all " * 9), row(None, "of no id at all " * 9), row(None, None)]
+    groups, of_null = defaultdict(set), []
+    for r in near_duplicates(spark.createDataFrame(rows + null, SCHEMA)).collect():
+        if r.id is None:
+            of_null.append((r.class_id, r.kept))
+        else:
+            groups[r.class_id].add(r.id)
     assert {frozenset(g) for g in groups.values()} == brute(rows)
+    assert sorted(of_null, key=str) == sorted([(9, False), (None, True), (None, True), (None, True)], key=str)
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_words_are_counted_one_by_one(spark, monkeypatch):
+    """More words than any table of cells would keep apart, and the weight of rare ones."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(3000)) for _ in range(220)] + [None, "", "W7 w7 x"]
+    monkeypatch.setattr(module, "HELD", 5000)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    df = defaultdict(int)
+    for t in texts:
+        for w in {x.lower() for x in (t or "").split()}:
+            df[w] += 1
+    assert len(df) > 1 << 18
+    for rare in (1e-5, 2 / len(texts)):
+        monkeypatch.setattr(module, "RARE", rare)
+        w = module.word_weights(frame)
+        some = sorted(df)[::997]
+        import pyarrow as pa
+
+        h, _ = module._word_hashes(*common.text_buffers(pa.array([" ".join(some)])))
+        n = len(texts)
+        assert np.allclose(w(h), [1 + np.log((1 + n) / (1 + max(df[x], rare * n))) for x in some])
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs whose similarity is just the limit: few may be missed by bands."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(300):
+        base = [f"v{g}x{i}" for i in range(200)]
+        other = base[:]
+        for i in range(0, 200, 9)[: rng.choice((3, 4))]:
+            other[i] = "y" + other[i]
+        rows += [row(2 * g, " ".join(base)), row(2 * g + 1, " ".join(other))]
+    want = brute_pairs(rows)
+    got = {r.id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = sum(got[2 * g] == got[2 * g + 1] for g in want)
+    assert len(want) > 200 and found >= len(want) - 1
+    assert all(got[2 * g + 1] == 2 * g + 1 for g in range(300) if g not in want)
+
+
+def brute_pairs(rows):
+    """Groups whose two texts are similar."""
+    classes = brute(rows)
+    return {g for g in range(len(rows) // 2) if frozenset((2 * g, 2 * g + 1)) in classes}
+
+
+def test_samples_that_pairs_at_the_limit_agree_in():
+    assert 36 <= least_agreement(64, 0.8) <= 40
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
