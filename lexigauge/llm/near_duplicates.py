@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A word in fewer than this share of documents weighs as one in so many. Only words in more are broadcast: at most 1 / RARE times the mean number of distinct words of a document.
-RARE = 1e-5
+RARE = 1e-4
 #: Words whose counts a task holds before it passes them on.
 HELD = 1 << 20
 #: Bytes of texts whose shingles a task holds while it compares what a bucket has left.

@@ -32,7 +32,7 @@ NEAR_DUPLICATES = f"""
 WITH RECURSIVE d AS (SELECT min(doc_id) AS rep, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
 every AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 df AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM every) GROUP BY word),
-idf AS (SELECT word, 1 + ln((1 + (SELECT count(*) FROM documents)) / (1.0 + greatest(n, 0.00001 * (SELECT count(*) FROM documents)))) AS v FROM df),
+idf AS (SELECT word, 1 + ln((1 + (SELECT count(*) FROM documents)) / (1.0 + greatest(n, 0.0001 * (SELECT count(*) FROM documents)))) AS v FROM df),
 t AS (SELECT rep, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 tv AS (SELECT rep, n, i, word, v FROM t JOIN idf USING (word)),
 g AS (SELECT rep, n, i, string_agg(word, ' ') OVER x AS s, avg(v) OVER x AS v FROM tv WINDOW x AS (PARTITION BY rep ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
