@@ -26,14 +26,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Each row is judged by its own text, a null one as empty; repeated rows fare alike. Without labels nothing is rejected."""
     docs = docs.select(*COLUMNS)
     model = fit_quality(docs, common.table(spark, sf_dir, "labels"), common.fold("doc_id", 5) != 0)
     return keep_quality(docs, model, cut=0.3)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id. Rows with one id and text count once."""
+    """One document of each class of near duplicates: the one with the smallest id. Rows with one id and text count once; null texts are alike with nothing and all stay; rows with a null id stay if one of them does."""
     docs = docs.select(*COLUMNS)
     near = common.cut(near_duplicates(docs))
     kept = common.cut(near.where("kept").select(F.col("id").alias("kept_id")).distinct())
@@ -47,19 +47,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes that occur twice or more; parts of characters at the cuts go too."""
+    """Texts without the strings of 200 bytes that occur twice or more; parts of characters at the cuts go too. Null texts stay null; repeated rows are repeats of each other, and lose what they share."""
     out = remove_repeats(docs, window=200, carry=REST, as_text=True)
     return _documents(out, F.col("kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that lie in a window of 10 words of a benchmark item."""
+    """Texts without the words that lie in a window of 10 words of a benchmark item. Every row stays, with a null text too; repeated rows are cut alike."""
     out = find_contamination(docs, common.table(spark, sf_dir, "benchmark"), n=10, carry=REST)
     return _documents(out, F.col("kept_text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids, placed in sequences of 2048."""
+    """Pieces of documents with their token ids, placed in sequences of 2048. A null text is packed as an empty one, repeated rows each."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048).withColumnRenamed("id", "doc_id")
 
 
