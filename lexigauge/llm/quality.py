@@ -105,6 +105,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
 
+def risk_gradients(layers: list, p: np.ndarray, u: np.ndarray, prior: float | None, decay: float = 1e-4) -> list:
+    """Gradients of the risk by each layer, plus decay times the weights.
+
+    With a prior: the non-negative unbiased risk; where its part of the negatives is below 0,
+    the step goes back up that part alone. Without: the loss of positives against unlabelled.
+    """
+    x, n, m = np.concatenate([p, u]), len(p), len(u)
+    w, c, v, e = layers
+    h = np.tanh(x @ w + c)
+    z = np.clip(h @ v + e[0], -30, 30)
+    s = 1 / (1 + np.exp(-z))
+    g = np.empty(len(z))
+    if prior is None:
+        g[:n], g[n:] = (s[:n] - 1) / n, s[n:] / m
+    else:
+        soft = np.logaddexp(0, z)  # the loss of calling z negative
+        negative = soft[n:].mean() - prior * soft[:n].mean()
+        if negative >= 0:
+            g[:n], g[n:] = (prior * (s[:n] - 1) - prior * s[:n]) / n, s[n:] / m
+        else:  # the risk of negatives can't be below 0: step back from where it is
+            g[:n], g[n:] = prior * s[:n] / n, -s[n:] / m
+    dh = g[:, None] * v[None, :] * (1 - h * h)
+    return [x.T @ dh + decay * w, dh.sum(0), h.T @ g + decay * v, np.array([g.sum()])]
+
+
 def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, seed: int, hidden: int = 24):
     """Layers of a small network. With a prior: non-negative unbiased risk; without: positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -117,24 +142,7 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, see
         batches = max(1, -(-max(len(p), len(u)) // size))
         for k in range(batches):
             a, b = p[order_p[k * len(p) // batches : max((k + 1) * len(p) // batches, k * len(p) // batches + 1)]], u[order_u[k * len(u) // batches : max((k + 1) * len(u) // batches, k * len(u) // batches + 1)]]
-            x = np.concatenate([a, b])
-            w, c, v, e = layers
-            h = np.tanh(x @ w + c)
-            z = np.clip(h @ v + e[0], -30, 30)
-            s = 1 / (1 + np.exp(-z))
-            n, m = len(a), len(b)
-            g = np.empty(len(z))
-            if prior is None:
-                g[:n], g[n:] = (s[:n] - 1) / n, s[n:] / m
-            else:
-                soft = np.logaddexp(0, z)  # the loss of calling z negative
-                negative = soft[n:].mean() - prior * soft[:n].mean()
-                if negative >= 0:
-                    g[:n], g[n:] = (prior * (s[:n] - 1) - prior * s[:n]) / n, s[n:] / m
-                else:  # the risk of negatives can't be below 0: step back from where it is
-                    g[:n], g[n:] = prior * s[:n] / n, -s[n:] / m
-            dh = g[:, None] * v[None, :] * (1 - h * h)
-            grads = [x.T @ dh + 1e-4 * w, dh.sum(0), h.T @ g + 1e-4 * v, np.array([g.sum()])]
+            grads = risk_gradients(layers, a, b, prior)
             step += 1
             for q, grad, (m1, m2) in zip(layers, grads, moments, strict=True):
                 m1 += 0.1 * (grad - m1)

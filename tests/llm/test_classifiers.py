@@ -177,3 +177,144 @@ def test_thresholds_by_language():
     t = toxicity.thresholds(s, y, ["en"] * 10, 0.3)
     assert 0.2 < t["en"] < 0.55 and t[None] == 0.3
     assert "de" not in toxicity.thresholds(s, y, ["de"] * 4 + [None] * 6, 0.3)
+
+
+def plain_toxicity(model, text):
+    """A text's score by loops over its words, from the model's numbers."""
+    import re
+
+    import pyarrow as pa
+
+    data, offsets = common.text_buffers(pa.array([text or ""]))
+    features, _ = toxicity.word_features(data, offsets)
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower() if (text or "").isascii() else text or ""))
+    assert not (text or "").isascii() or n == len(features)
+    vectors = [sum((model.e[k * toxicity.BUCKETS + f] for k, f in enumerate(own) if f != toxicity.BUCKETS), np.zeros(toxicity.DIM)) for own in features.astype(int).tolist()]
+    zero = np.zeros(toxicity.DIM)
+    at = lambda i: vectors[i] if i < len(vectors) else zero
+    pooled = []
+    for first in range(0, max(1, len(vectors)), toxicity.STRETCH):
+        last = max(first + 1, min(first + toxicity.STRETCH, len(vectors)))
+        if first + toxicity.STRETCH >= len(vectors):
+            last = len(vectors) + max(toxicity.WIDTHS) - 1  # the padding after a text counts too
+        own = []
+        for w, kernel, bias in zip(toxicity.WIDTHS, model.w, model.b, strict=True):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(at(i + j) @ kernel[j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(w)) for i in range(first, last))
+                own.append(max(0.0, best + bias[f]))
+        pooled.append(own)
+    summary = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+    z = float((summary - model.mean) / model.scale @ model.head + model.bias)
+    return 1 / (1 + np.exp(-z))
+
+
+def some_model(rng):
+    model = toxicity.Model()
+    model.e[:-1] = rng.standard_normal((len(model.e) - 1, toxicity.DIM)) * 0.3
+    model.w = [w + 0.3 * rng.standard_normal(w.shape).astype(np.float32) for w in model.w]
+    model.head, model.bias = rng.standard_normal(len(model.head)) * 0.3, -0.2
+    return model
+
+
+def test_toxicity_scores_by_loops(spark):
+    rng = np.random.default_rng(5)
+    model = some_model(rng)
+    words = ["bad", "good", "terrible", "fine", "über", "a", "the", "wonderfully"]
+    texts = ["", "one", " ".join(rng.choice(words, 64)), " ".join(rng.choice(words, 200)), "?!", *[" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 150, 12)]]
+    got = np.concatenate([model.score(*x) for x in toxicity._slices(texts)])
+    assert np.allclose(got, [plain_toxicity(model, t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(6)
+    model = some_model(rng)
+    words = [f"w{i}" for i in range(400)]  # no word twice in a text: at ties the loss has no gradient
+    texts = [" ".join(rng.choice(words, int(n), replace=False)) for n in (3, 70, 130, 12, 1)]
+    y = np.array([1.0, 0, 1, 0, 1])
+    parts = [toxicity.word_features(*x) for x in toxicity._slices(texts)]
+    x = toxicity.layout(parts[0][0], parts[0][1], len(texts))
+    # double precision, and one embedding for each position, so that numbers can be moved one by one
+    model.w, model.b = [w.astype(float) for w in model.w], [b + 0.05 for b in model.b]
+    every = model.embed(x.words).astype(float)
+    x.words = np.arange(len(every), dtype=np.int32)[:, None]
+    model.e = every
+
+    def loss():
+        z = (model.summary(model.pooled(x)[0], x) - model.mean) / model.scale @ model.head + model.bias
+        return np.mean(np.logaddexp(0, z) - y * z) + 5e-4 * (model.head**2).sum()
+
+    grads, de = toxicity.gradients(model, x, y, model.head, model.bias)
+    arrays = {"head": model.head} | {f"w{i}": w for i, w in enumerate(model.w)} | {f"b{i}": b for i, b in enumerate(model.b)} | {"e": model.e}
+    grads["e"] = de[: len(every)]
+    for name, a in arrays.items():
+        flat = a.reshape(-1)
+        for i in rng.choice(flat.size, min(25, flat.size), replace=False):
+            was = flat[i]
+            flat[i] = was + 1e-5
+            up = loss()
+            flat[i] = was - 1e-5
+            down = loss()
+            flat[i] = was
+            assert grads[name].reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=2e-5), name
+
+
+def plain_quality(text):
+    """The features of a text by plain Python."""
+    import math
+    import re
+    import statistics
+
+    raw = text.encode()
+    words = [m for m in re.finditer(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", raw)]
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), m[0]) for m in words]
+    lines = [x for x in raw.split(b"\n")]
+    lines = [x + b"\n" for x in lines[:-1]] + lines[-1:]
+    lines = [x for x in lines if len(x) > 1]
+    shares = [math.sqrt(sum(raw.count(bytes([b])) for b in set(own)) / max(len(raw), 1)) for own in quality.CLASSES.values()]
+    sizes = [len(w) for w in low]
+    n = max(len(low), 1)
+    runs = [tuple(low[i : i + 3]) for i in range(len(low) - 2)]
+    spread = lambda x: statistics.pstdev(x) if x else 0.0
+    distinct = lambda x: len(set(x)) / len(x) if x else 1.0
+    bodies = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x.rstrip(b"\n") if x.endswith(b"\n") else x) for x in lines]
+    return [*shares, math.log1p(len(raw)), math.log1p(len(low)), sum(sizes) / n, spread(sizes), sum(s > 20 for s in sizes) / n, distinct(low), distinct(runs), sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, math.log1p(len(lines)), distinct(bodies), spread([math.log1p(len(x)) for x in lines]), sum(65 <= m[0][0] <= 90 for m in words) / n, float(not low)]
+
+
+def test_quality_features_by_loops():
+    rng = random.Random(11)
+    from .conftest import prose
+
+    texts = ["", "\n", "one", "a a a", "The The\nthe the\n\nx\n", "!!! ???", "über Ärger " * 30, "x" * 50 + " y"] + [prose(rng, rng.randint(1, 200)).title() for _ in range(20)]
+    parts = [quality.features(*x) for x in toxicity._slices(texts)]
+    assert np.allclose(np.concatenate(parts), [plain_quality(t) for t in texts], atol=1e-6)
+
+
+def test_quality_gradients_are_those_of_the_risk():
+    rng = np.random.default_rng(2)
+    p, u = rng.standard_normal((40, 5)) + 0.5, rng.standard_normal((60, 5))
+    for prior in (None, 0.4, 0.95):
+        layers = [rng.standard_normal((5, 6)), rng.standard_normal(6), rng.standard_normal(6), np.zeros(1)]
+
+        def parts(prior=prior, layers=layers):
+            w, c, v, e = layers
+            z = [np.tanh(x @ w + c) @ v + e[0] for x in (p, u)]
+            decay = 5e-5 * ((w**2).sum() + (v**2).sum())
+            positive, of_u, of_p = np.logaddexp(0, -z[0]).mean(), np.logaddexp(0, z[1]).mean(), np.logaddexp(0, z[0]).mean()
+            return (positive + of_u, 0.0, decay) if prior is None else (prior * positive, of_u - prior * of_p, decay)
+
+        def risk(parts=parts, prior=prior):
+            a, negative, decay = parts()
+            # below 0 the step goes up the negatives' risk alone
+            return a + negative + decay if prior is None or negative >= 0 else -negative + decay
+
+        grads = quality.risk_gradients(layers, p, u, prior)
+        for a, g in zip(layers, grads, strict=True):
+            flat = a.reshape(-1)
+            for i in range(0, flat.size, 2):
+                was = flat[i]
+                flat[i] = was + 1e-6
+                up = risk()
+                flat[i] = was - 1e-6
+                down = risk()
+                flat[i] = was
+                assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
