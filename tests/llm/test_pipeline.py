@@ -62,11 +62,28 @@ def test_odd_rows_and_nothing(spark, docs, no_docs):
     assert all(r.score == 1 for r in score_quality(docs, none).collect())
     import corpus_pipeline as cp
 
-    for _, stage in cp.STAGES[1:3] + cp.STAGES[4:]:
-        assert stage(spark, docs.select(*cp.COLUMNS, "label"), SF).count() > 0
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.select(*cp.COLUMNS, "label"), SF)
+        assert out.count() > 0 and (name == "pack" or out.columns == list(cp.COLUMNS))
         assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
 
 
+def test_quality_and_decontamination_of_odd_rows(spark, docs):
+    import corpus_pipeline as cp
+    from lexigauge.llm import common
+
+    stages, odd = dict(cp.STAGES), docs.select(*cp.COLUMNS)
+    model = fit_quality(odd, spark.read.parquet(f"{SF}/labels.parquet"), common.fold("doc_id", 5) != 0)
+    good = sorted((str(r.id) for r in score_quality(odd, model).collect() if r.predicted))
+    assert sorted(str(r.doc_id) for r in stages["quality"](spark, odd, SF).collect()) == good
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = spark.createDataFrame([(900, "x " + bench[0][1] + " y", "en", "s", 1), (900, "x " + bench[0][1] + " y", "en", "s", 1), (901, bench[1][1] * 2000, None, None, None)], odd.schema)
+    got = {r.doc_id: r.text for r in stages["decontaminate"](spark, odd.unionByName(leaked), SF).collect()}
+    assert set(got) == {r.doc_id for r in odd.collect()} | {900, 901}
+    assert WORD.findall(got[900]) == ["x", "y"] and len(WORD.findall(got[901])) < 2000
+    assert all(got[r.doc_id] == r.text for r in odd.collect() if r.doc_id is not None and list(leaks([r], bench, 10))[0][2] == 0)
+
+
 def test_ways_beyond_the_broadcast_bound(spark, docs, monkeypatch):
     import corpus_pipeline as cp
     from lexigauge.llm import common
