@@ -234,7 +234,7 @@ def test_toxicity_gradients_are_those_of_the_loss():
     parts = [toxicity.word_features(*x) for x in toxicity._slices(texts)]
     x = toxicity.layout(parts[0][0], parts[0][1], len(texts))
     # double precision, and one embedding for each position, so that numbers can be moved one by one
-    model.w, model.b = [w.astype(float) for w in model.w], [b + 0.05 for b in model.b]
+    model.w, model.b = [w.astype(float) for w in model.w], [b.astype(float) + 0.05 for b in model.b]
     every = model.embed(x.words).astype(float)
     x.words = np.arange(len(every), dtype=np.int32)[:, None]
     model.e = every
