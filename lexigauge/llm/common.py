@@ -109,11 +109,14 @@ def fold(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, id_col: str, stratum: str, bound: int) -> DataFrame:
-    """About bound rows at most of each stratum, chosen by a hash of the id; all rows of a smaller one."""
+def bounded_sample(df: DataFrame, id_col: str, stratum: str | None, bound: int) -> DataFrame:
+    """About bound rows at most of each stratum (or of all rows), chosen by a hash of the id; all rows of a smaller one."""
+    draw = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30))
+    if stratum is None:
+        return df.where(draw < min(1.0, bound / max(df.count(), 1)) * (1 << 30))
     rates = df.groupBy(F.col(stratum).alias("__s")).agg(F.least(F.lit(1.0), bound / F.count("*")).alias("__rate"))
     rows = df.join(broadcast_if_small(cut(rates)), F.col(stratum).eqNullSafe(F.col("__s")))
-    return rows.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)).select(*df.columns)
+    return rows.where(draw < F.col("__rate") * (1 << 30)).select(*df.columns)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -192,9 +192,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_where, positives: int
     """
     common.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    trusted = labels.where(train_where & (F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("__all"))
-    trusted = common.bounded_sample(trusted, id_col, "__all", positives).select(id_col).distinct()
-    web = common.bounded_sample(docs.where(train_where & F.col(id_col).isNotNull()).select(id_col, F.lit(0).alias("__all")), id_col, "__all", unlabelled).select(id_col).distinct()
+    trusted = labels.where(train_where & (F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col)
+    trusted = common.bounded_sample(trusted, id_col, None, positives).select(id_col).distinct()
+    web = common.bounded_sample(docs.where(train_where & F.col(id_col).isNotNull()).select(id_col), id_col, None, unlabelled).select(id_col).distinct()
     ids = F.broadcast(trusted.select(id_col, F.lit(1).alias("kind")).unionByName(web.select(id_col, F.lit(0).alias("kind"))))
     got = _featured(docs.select(id_col, text).join(ids, id_col)).toPandas()
     x, kind = np.array(got["x"].tolist()).reshape(-1, len(NAMES)), got["kind"].to_numpy()
