@@ -91,3 +91,13 @@ def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without null or NaN in the columns."""
     return df.na.drop(subset=columns)
+
+
+def head(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first n rows in an order, for trial runs; all of them without a limit."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def keep(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows with one of the values in a column: languages, subjects, domains or conditions."""
+    return df.where(F.col(column).isin(*values))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import text_hash
+
 POLICIES = ("first", "seeded", "fractional", "strict")
 _LOWEST = float("-inf")
 
@@ -28,6 +30,11 @@ def length_normalised(score: Column, length: Column) -> Column:
     return score / F.greatest(length, F.lit(1))
 
 
+def characters(text: Column) -> Column:
+    """The length by which a candidate's score is divided where lengths are of characters: 1 at least."""
+    return F.greatest(F.length(text), F.lit(1))
+
+
 def pick(scores: DataFrame, seed: int = 0, policy: str = "first") -> DataFrame:
     """(item_id, pred, score) of each item's best candidate: the lowest index of equals, or one of them by a seeded hash.
 
@@ -36,7 +43,7 @@ def pick(scores: DataFrame, seed: int = 0, policy: str = "first") -> DataFrame:
     """
     if policy not in ("first", "seeded"):
         raise ValueError(f"{policy} picks no single candidate")
-    tie = -F.col("cand_idx").cast("long") if policy == "first" else F.xxhash64("item_id", "cand_idx", F.lit(seed))
+    tie = -F.col("cand_idx").cast("long") if policy == "first" else text_hash(F.lit(seed), "item_id", "cand_idx")
     best = F.max(F.struct(ranked(F.col("score")).alias("score"), tie.alias("tie"), F.col("cand_idx").alias("pred")))
     return scores.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.pred", "b.score")
 
@@ -71,8 +78,8 @@ def accuracies(df: DataFrame, keys: list[str], correct: Column) -> DataFrame:
 
 
 def macro_micro(df: DataFrame, value: str = "accuracy", size: str = "total") -> DataFrame:
-    """One row: the mean of the groups' values, and their mean weighted by size."""
-    return df.agg(F.avg(value).alias("macro"), (F.sum(F.col(value) * F.col(size)) / F.sum(size)).alias("micro"))
+    """One row: the number of groups, the mean of their values, and their mean weighted by size."""
+    return df.agg(F.count("*").alias("groups"), F.avg(value).alias("macro"), (F.sum(F.col(value) * F.col(size)) / F.sum(size)).alias("micro"))
 
 
 def nested_macro(df: DataFrame, levels: list[str], value: str) -> DataFrame:

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import text_hash
+
 
 def draw(seed: int, *keys: str) -> Column:
     """An even number in [0, 1) for each row, from its keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
+    return text_hash(F.lit(seed), *keys) / float(1 << 48)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

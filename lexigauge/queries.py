@@ -75,7 +75,7 @@ def rank_tie_strict_unk(spark, d):
     return ranking.credit(candidates(spark, d), policy="strict", unknown="unk").agg(F.count("*").alias("items"), F.sum("credit").alias("credit"))
 
 
-@query()
+@query(f"WITH {_CAND}, r AS (SELECT item_id, cand_idx, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST('0x' || substr(md5('7|' || item_id || '|' || cand_idx), 1, 12) AS BIGINT) DESC, cand_idx DESC) AS k FROM cand) SELECT item_id, CAST(cand_idx AS INTEGER) AS pred, score FROM r WHERE k = 1")
 def rank_tie_seeded(spark, d):
     return ranking.pick(candidates(spark, d), seed=7, policy="seeded")
 
@@ -110,7 +110,7 @@ def flagship(spark, d) -> DataFrame:
     """Candidate ranking end to end: fractional credit on ties, accuracy by subset, macro and micro average."""
     c = ranking.credit(candidates(spark, d), policy="fractional").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("uid")), "item_id")
     acc = c.groupBy("uid").agg(F.avg("credit").alias("accuracy"), F.count("*").alias("total"))
-    return acc.agg(F.count("*").alias("uids"), r6(F.avg("accuracy"), "macro"), r6(F.sum(F.col("accuracy") * F.col("total")) / F.sum("total"), "micro"))
+    return ranking.macro_micro(acc).select(F.col("groups").alias("uids"), r6(F.col("macro"), "macro"), r6(F.col("micro"), "micro"))
 
 
 @query("WITH a AS (SELECT n_regionkey AS r, n_nationkey AS n, c_mktsegment AS m, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3), b AS (SELECT r, n, avg(v) AS v FROM a GROUP BY 1, 2), c AS (SELECT r, avg(v) AS v FROM b GROUP BY 1) SELECT round(avg(v), 6) AS macro FROM c")
@@ -133,8 +133,9 @@ SELECT temperature, accuracy FROM a ORDER BY accuracy DESC, temperature LIMIT 1"
 def best_temperature(spark, d):
     rows = candidates(spark, d).withColumn("temperature", F.explode(F.array(*map(F.lit, _TEMPS))))
     rows = rows.withColumn("s", F.col("score") / F.col("temperature") + (F.col("cand_idx") * 7) % 5)
-    best = rows.groupBy("temperature", "item_id").agg(F.max(F.struct("s", (-F.col("cand_idx")).alias("k"))).alias("b"))
-    acc = ranking.accuracies(best, ["temperature"], F.col("b.k") == 0).withColumn("accuracy", F.round("accuracy", 6))
+    # an item at a temperature is an item of its own
+    best = ranking.pick(rows.select(F.struct("temperature", "item_id").alias("item_id"), "cand_idx", F.col("s").alias("score")))
+    acc = ranking.accuracies(best.select(F.col("item_id.temperature").alias("temperature"), "pred"), ["temperature"], F.col("pred") == 0).withColumn("accuracy", F.round("accuracy", 6))
     return ranking.best_temperature(acc)
 
 
@@ -157,7 +158,7 @@ def best_epoch_first_wins(spark, d):
 SELECT g.uid, count(*) AS n, CAST(sum(CASE WHEN length(trim(g.text)) % 2 = length(trim(p.text)) % 2 THEN 1 ELSE 0 END) AS DOUBLE) AS correct FROM g JOIN p ON g.uid = p.uid AND g.k = p.k GROUP BY 1""")
 def positional_join_accuracy(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("uid"), "doc_id", "text", "lang")
-    side = lambda c: docs.where(c).select("uid", "doc_id", (F.length(F.trim("text")) % 2).alias("v"))
+    side = lambda c: docs.where(c).select("uid", "doc_id", (F.length(text.strip(F.col("text"))) % 2).alias("v"))
     both = checks.positional_join(side(F.col("lang") == "en"), side(F.col("lang") != "en"), "uid", "doc_id")
     return both.groupBy("uid").agg(F.count("*").alias("n"), F.sum((F.col("v") == F.col("pred_v")).cast("double")).alias("correct"))
 
@@ -202,6 +203,110 @@ def swap_expand(spark, d):
     return out.select("conv_id", "turn", "turned", F.length("Target1").cast("long").alias("first_len"), F.length("Target2").cast("long").alias("second_len"))
 
 
+def _flat(records: DataFrame) -> DataFrame:
+    """Ranking records with their lists as text."""
+    return records.select("item_id", F.concat_ws("|", "sentences").alias("sentences"), F.concat_ws("|", "completions").alias("completions"), F.col("label").cast("long").alias("label"), "uid")
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").withColumnRenamed("p_partkey", "item_id")
+
+
+@query("SELECT p_partkey AS item_id, p_name || ' ' || p_type || '|' || p_brand || ' ' || p_type AS sentences, ' ' || p_type || '| ' || p_type AS completions, 0 AS label, 'd' || CAST(p_size % 11 AS VARCHAR) AS uid FROM part")
+def decode_context_pair(spark, d):
+    rows = _parts(spark, d).select("item_id", F.col("p_name").alias("Context1"), F.col("p_brand").alias("Context2"), F.col("p_type").alias("Target1"), F.col("p_name").alias("Target2"), F.concat(F.lit("d"), (F.col("p_size") % 11).cast("string")).alias("Domain"), F.lit("direct").alias("ContextType"), F.lit("a").alias("ContextDiff"), F.lit("b").alias("TargetDiff"))
+    return _flat(decode.decode(rows, "ewok"))
+
+
+@query("SELECT p_partkey AS item_id, p_name || ' ' || p_type || '|' || p_brand || ' ' || p_type AS sentences, p_type || '|' || p_type AS completions, 0 AS label, CASE p_size % 4 WHEN 0 THEN 'base' WHEN 1 THEN 'wugs' WHEN 2 THEN 'wugs_dist_before' ELSE 'wugs_dist_in_between' END AS uid FROM part")
+def decode_property_pair(spark, d):
+    name = F.get(F.array(*map(F.lit, ("comps_base", "comps_wugs", "comps_wugs_dist-before", "comps_wugs_dist-in-between"))), F.col("p_size") % 4)
+    rows = _parts(spark, d).select("item_id", F.col("p_name").alias("prefix_acceptable"), F.col("p_brand").alias("prefix_unacceptable"), F.col("p_type").alias("property_phrase"), F.concat(F.lit("/data/"), name, F.lit(".jsonl")).alias("file"))
+    return _flat(decode.decode(rows, "comps"))
+
+
+@query("SELECT p_partkey AS item_id, p_name || ' ' || p_type || '|' || p_name || ' ' || p_brand || '|' || p_name || ' none' AS sentences, ' ' || p_type || '| ' || p_brand || '| none' AS completions, 0 AS label, 'vqa' AS uid FROM part")
+def decode_question_answers(spark, d):
+    rows = _parts(spark, d).select("item_id", F.col("p_name").alias("question"), F.col("p_type").alias("target_ans"), F.array("p_brand", F.lit("none")).alias("distractors"), F.lit(0).alias("idx_in_hf_dataset"))
+    return _flat(decode.decode(rows, "vqa"))
+
+
+@query("SELECT p_partkey AS item_id, key, CASE key WHEN 'Linguistic Feature' THEN p_type WHEN 'Linguistic Sub-Feature' THEN p_type || ' ' || p_name WHEN 'Type' THEN p_brand ELSE 'winoground' END AS value FROM part, (SELECT unnest(['UID', 'Type', 'Linguistic Feature', 'Linguistic Sub-Feature']) AS key)")
+def decode_captions(spark, d):
+    rows = _parts(spark, d).select("item_id", F.col("p_name").alias("caption_0"), F.col("p_brand").alias("caption_1"), F.col("p_brand").alias("collapsed_tag"), F.col("p_type").alias("tag"), F.col("p_name").alias("secondary_tag"), F.lit(0).alias("image_idx"), F.lit("k").alias("image_key"))
+    return decode.metadata(decode.decode(rows, "winoground"))
+
+
+@query("SELECT p_partkey AS item_id, p_name || ' ' || p_type || '|' || p_name || ' ' || p_brand AS sentences, ' ' || p_type || '| ' || p_brand AS completions, p_size % 2 AS label, 'ex' || CAST(p_partkey AS VARCHAR) AS uid FROM part")
+def decode_solutions(spark, d):
+    rows = _parts(spark, d).select("item_id", F.col("p_name").alias("prompt"), F.col("p_type").alias("solution0"), F.col("p_brand").alias("solution1"), (F.col("p_size") % 2).alias("label"), F.concat(F.lit("ex"), F.col("item_id").cast("string")).alias("example_id"))
+    return _flat(decode.decode(rows, "global_piqa_nonparallel"))
+
+
+@query("SELECT p_partkey AS idx, trim(p_name) || chr(10) || 'A. ' || trim(p_brand) || chr(10) || 'B. ' || trim(p_type) || chr(10) || 'C. x' || chr(10) || 'D. y' || chr(10) AS sentence, CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS label FROM part")
+def unified_options(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(F.lit(" "), "p_name").alias("question"), F.concat("p_brand", F.lit("  ")).alias("option_a"), F.col("p_type").alias("option_b"), F.lit("x ").alias("option_c"), F.lit(" y").alias("option_d"), (F.col("p_size") % 4).alias("answer"))
+    return decode.unified(rows, "include")
+
+
+@query("SELECT p_partkey AS idx, p_name AS premise, p_type AS hypothesis, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS label FROM part")
+def unified_inference(spark, d):
+    prompt = F.concat(F.lit(" premise:  "), F.col("p_name"), F.lit("\nHypothesis: "), F.col("p_type"), F.lit(" \n Question: is it so?"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), prompt.alias("prompt"), F.array(F.lit("yes"), F.lit("no")).alias("choices"), (F.col("p_size") % 2).alias("label"))
+    return decode.unified(rows, "mubench", "mnli")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'bul' WHEN 1 THEN 'eng' WHEN 2 THEN 'nld' ELSE 'xxx' END AS three, CASE p_size % 4 WHEN 0 THEN 'bg' WHEN 1 THEN 'en' WHEN 2 THEN 'nl' END AS language, CASE p_size % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'nld' ELSE 'zho' END AS trained FROM part")
+def language_codes(spark, d):
+    three = F.get(F.array(*map(F.lit, ("bul", "eng", "nld", "xxx"))), F.col("p_size") % 4)
+    model = F.get(F.array(*map(F.lit, ("gpt-babylm-strict-10M", "gpt2-babylm-nld", "gpt2-babylm-zho"))), F.col("p_size") % 3)
+    return table(spark, d, "part").select("p_partkey", three.alias("three"), text.task_language(F.concat(F.lit("belebele_"), three, F.lit("_Cyrl")), "belebele", decode.THREE_LETTERS).alias("language"), F.array_join(text.languages_of_model(model), ",").alias("trained"))
+
+
+@query("SELECT conv_id, turn, '-1,0,0,1' || CASE WHEN turn % 2 = 0 THEN ',2' ELSE '' END || ',-1' AS ids, 'a,b' || CASE WHEN turn % 2 = 0 THEN ',c' ELSE '' END AS labels FROM conversations")
+def word_ids_after_truncation(spark, d):
+    none = F.lit(None).cast("int")
+    own = F.concat(F.array(none, F.lit(3), F.lit(3), F.lit(5)), F.when(F.col("turn") % 2 == 0, F.array(F.lit(9))).otherwise(F.array().cast("array<int>")), F.array(none))
+    labels = F.array(*[F.lit({3: "a", 5: "b", 9: "c"}.get(k, "-")) for k in range(10)])
+    ids, kept = decode.remap_word_ids(own, labels)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.array_join(kept, ",").alias("labels"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount > l_tax THEN 1 ELSE 0 END AS pred, l_discount > l_tax AND l_returnflag <> 'R' AS has_unk FROM lineitem")
+def two_candidate_samples(spark, d):
+    x = table(spark, d, "lineitem")
+    resps = F.array(F.array(F.col("l_tax").cast("string"), F.lit("False")), F.array(F.col("l_discount").cast("string"), F.lit("True")))
+    pred, unknown = decode.two_scores(resps, F.lit("1"), (F.col("l_returnflag") == "R").cast("double"))
+    return x.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", pred.cast("long").alias("pred"), unknown.alias("has_unk"))
+
+
+@query("SELECT p_partkey, p_name AS before, p_type AS target, CASE WHEN p_size % 3 = 2 THEN -100 ELSE p_size % 3 END AS gold, CAST(p_partkey AS VARCHAR) AS id, p_brand || ',' || p_type AS listed FROM part")
+def parsed_fields(spark, d):
+    before, target = text.starred(F.concat("p_name", F.lit("*"), "p_type", F.lit("*")))
+    gold = F.get(F.array(F.col("p_brand"), F.lit("1"), F.lit("neither")), F.col("p_size") % 3)
+    literal = F.concat(F.lit("['"), F.col("p_brand"), F.lit("', '"), F.col("p_type"), F.lit("']"))
+    return table(spark, d, "part").select("p_partkey", before.alias("before"), target.alias("target"), text.gold_index(gold, F.array("p_brand", "p_type")).cast("long").alias("gold"), text.normal_id(F.col("p_partkey").cast("double").cast("decimal(20,1)")).alias("id"), F.array_join(text.literal_list(literal), ",").alias("listed"))
+
+
+@query(f"WITH {_CAND}, r AS (SELECT item_id, cand_idx, row_number() OVER (PARTITION BY item_id ORDER BY -price / greatest(len(CAST(CAST(score AS INTEGER) AS VARCHAR)), 1) DESC, cand_idx) AS k FROM cand) SELECT CAST(cand_idx AS INTEGER) AS pred, count(*) AS n FROM r WHERE k = 1 GROUP BY 1")
+def rank_by_characters(spark, d):
+    c = candidates(spark, d)
+    scored = c.withColumn("score", ranking.length_normalised(-F.col("price"), ranking.characters(F.col("score").cast("int").cast("string"))))
+    return ranking.pick(scored).groupBy("pred").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY 1) WHERE n <> 1")
+def predictions_more_than_one(spark, d):
+    both = table(spark, d, "documents").select("doc_id").unionByName(table(spark, d, "labels").select("doc_id"))
+    return checks.one_each(both, "doc_id")
+
+
+@query("SELECT doc_id, lang, substr(source, 1, 3) AS stem FROM documents WHERE lang IN ('en', 'de') ORDER BY source DESC, doc_id LIMIT 20")
+def head_of_languages(spark, d):
+    docs = frames.keep(table(spark, d, "documents").select("doc_id", "lang", "source"), "lang", ["en", "de"])
+    return frames.head(docs.withColumn("down", F.lit(0)), [F.desc("source"), "doc_id"], 20).select("doc_id", "lang", F.substring("source", 1, 3).alias("stem"))
+
+
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, len(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages")
 def regex_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("n"))
@@ -383,10 +488,22 @@ def ols_delta_r2(spark, d):
     return spark.createDataFrame([("l_quantity", float(fit.r2), float(fit.coef[1]))], "predictor string, r2 double, slope double").select("predictor", r6(F.col("r2"), "r2"), F.round("slope", 4).alias("slope"))
 
 
-@query()
+#: Regression by orthogonal columns: each without what those before explain, so that shares of variance add up.
+_ORTHOGONAL = "b AS (SELECT CAST(l_discount AS DOUBLE) AS x1, CAST(l_linenumber AS DOUBLE) AS x2, l_discount * l_linenumber AS x3, CAST(l_quantity AS DOUBLE) AS x4, l_extendedprice AS y1, l_tax AS y2 FROM lineitem), s1 AS (SELECT *, x1 - avg(x1) OVER () AS q1 FROM b), s2 AS (SELECT *, x2 - avg(x2) OVER () - covar_pop(x2, q1) OVER () / var_pop(q1) OVER () * q1 AS q2 FROM s1), s3 AS (SELECT *, x3 - avg(x3) OVER () - covar_pop(x3, q1) OVER () / var_pop(q1) OVER () * q1 - covar_pop(x3, q2) OVER () / var_pop(q2) OVER () * q2 AS q3 FROM s2), s4 AS (SELECT *, x4 - avg(x4) OVER () - covar_pop(x4, q1) OVER () / var_pop(q1) OVER () * q1 - covar_pop(x4, q2) OVER () / var_pop(q2) OVER () * q2 - covar_pop(x4, q3) OVER () / var_pop(q3) OVER () * q3 AS q4 FROM s3)"
+
+
+@query(f"WITH {_ORTHOGONAL}, r AS (SELECT count(*) AS n, var_pop(y1) AS v, corr(y1, q1) ** 2 + corr(y1, q2) ** 2 + corr(y1, q3) ** 2 AS r2, covar_pop(y1, q3) / var_pop(q3) AS c, var_pop(q3) AS vq FROM s3) SELECT n, round(r2, 8) AS r2, round(c, 4) AS interaction, round(c / sqrt(v * (1 - r2) * n / (n - 4) / n / vq), 4) AS t, round(n * (ln(2 * pi() * v * (1 - r2)) + 1) + 2 * 4, 3) AS aic FROM r")
+def ols_interaction(spark, d):
+    fit = regression.least_squares(table(spark, d, "lineitem"), "l_extendedprice", regression.terms(["l_discount", "l_linenumber"]))
+    at = fit.names.index("l_discount:l_linenumber")
+    rows = spark.createDataFrame([(fit.n, *map(float, (fit.r2, fit.coef[at], fit.t[at], fit.aic)))], "n long, r2 double, interaction double, t double, aic double")
+    return rows.select("n", F.round("r2", 8).alias("r2"), F.round("interaction", 4).alias("interaction"), F.round("t", 4).alias("t"), F.round("aic", 3).alias("aic"))
+
+
+@query(f"WITH {_ORTHOGONAL}, r AS (SELECT corr(y1, q1) ** 2 + corr(y1, q2) ** 2 + corr(y1, q3) ** 2 AS a1, corr(y1, q4) ** 2 AS g1, corr(y2, q1) ** 2 + corr(y2, q2) ** 2 + corr(y2, q3) ** 2 AS a2, corr(y2, q4) ** 2 AS g2 FROM s4) SELECT round((g1 / (1 - a1) + g2 / (1 - a2)) / 2, 6) AS gain FROM r")
 def ols_predictive_power(spark, d):
     gain = regression.predictive_power(table(spark, d, "lineitem"), ["l_extendedprice", "l_tax"], ["l_discount", "l_linenumber"], "l_quantity")
-    return spark.createDataFrame([(gain,)], "gain double")
+    return spark.createDataFrame([(gain,)], "gain double").select(r6(F.col("gain"), "gain"))
 
 
 @query("SELECT user_id AS subject, count(*) AS n, round(sum(CAST(event_id % 7 AS DOUBLE)), 6) AS x1, round(sum(CAST(event_id % 7 AS DOUBLE) * (event_id % 7)), 6) AS x11, round(sum((event_id % 7) * value), 4) AS x1y, round(sum(value * value), 4) AS yy FROM events GROUP BY user_id")
@@ -596,10 +713,10 @@ def _leaderboard_scores(spark, d):
     return o.groupBy(F.col("n_name").alias("model"), F.col("o_orderpriority").alias("task")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
 
 
-@query("WITH s AS (SELECT n_name AS model, o_orderpriority AS task, round(avg(o_totalprice), 4) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT model, max(CASE WHEN task LIKE '1%' THEN v END) AS urgent, max(CASE WHEN task LIKE '2%' THEN v END) AS high, max(CASE WHEN task LIKE '5%' THEN v END) AS low FROM s GROUP BY model")
+@query("WITH s AS (SELECT n_name AS model, o_orderpriority AS task, round(avg(o_totalprice), 4) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT model, max(CASE WHEN task LIKE '1%' THEN v END) AS urgent, max(CASE WHEN task LIKE '2%' THEN v END) AS high, max(CASE WHEN task LIKE '5%' THEN v END) AS low, round(avg(CASE WHEN task[1] IN ('1', '2', '5') THEN v END), 1) AS mean FROM s GROUP BY model")
 def leaderboard_pivot(spark, d):
     scores = _leaderboard_scores(spark, d).withColumn("task", F.substring("task", 1, 1))
-    return collate.leaderboard(scores, "model", "task", "v", ["1", "2", "5"]).select("model", F.col("1").alias("urgent"), F.col("2").alias("high"), F.col("5").alias("low"))
+    return collate.leaderboard(scores, "model", "task", "v", ["1", "2", "5"]).select("model", F.col("1").alias("urgent"), F.col("2").alias("high"), F.col("5").alias("low"), F.round("avg", 1).alias("mean"))
 
 
 @query("WITH a AS (SELECT user_id, event_type, value, event_id, 0 AS p FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, value, event_id, 1 FROM events WHERE event_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY p DESC, event_id DESC) AS k FROM a) SELECT user_id, event_type, event_id, value FROM r WHERE k = 1")
@@ -626,7 +743,7 @@ def uniform_mixture_cap(spark, d):
     return splits.uniform_mixture(table(spark, d, "documents").select("doc_id", "lang"), "lang", F.col("doc_id"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY CAST('0x' || substr(md5('42|' || doc_id), 1, 12) AS BIGINT), doc_id LIMIT 100")
 def seeded_sample(spark, d):
     return splits.sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
 
@@ -637,7 +754,10 @@ def streaming_resumable_counts(spark, d):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp()
     base = f"{base}/sweep-{uuid.uuid4()}"
     e = table(spark, d, "events")
     source = f"{d}/events.parquet"
