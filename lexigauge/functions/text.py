@@ -48,10 +48,14 @@ def between(x: Column, before: str, after: str) -> Column:
     return strip(F.regexp_extract(x, f"(?is){before}(.*?){after}", 1))
 
 
+#: Fixed value.
+MAGNITUDE = r"(?i)(\d+(?:\.\d+)?)\s*([KMB]?)"
+
+
 def magnitude(x: Column) -> Column:
     """The number in a name such as chck_10M, with K, M and B as thousands, millions and billions; null without digits."""
-    number = F.regexp_extract(x, r"(?i)(\d+(?:\.\d+)?)\s*([KMB]?)", 1)
-    unit = F.upper(F.regexp_extract(x, r"(?i)(\d+(?:\.\d+)?)\s*([KMB]?)", 2))
+    number = F.regexp_extract(x, MAGNITUDE, 1)
+    unit = F.upper(F.regexp_extract(x, MAGNITUDE, 2))
     factor = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
     return F.when(number != "", number.cast("double") * factor)
 
@@ -99,7 +103,7 @@ def file_stem(path: Column) -> Column:
 
 
 def languages_of_model(name: Column) -> Column:
-    """Sorted training languages that a model's name tells: strict names are English, babylm-<language> names one, mixtures name each."""
+    """Sorted training languages that a model's name tells: strict names are English, babylm-<language> names one, mixtures name each. The parts of names are fixed values."""
     low = F.lower(name)
     listed = F.array_compact(F.array(F.when(low.contains("en_") | low.startswith("en"), "eng"), F.when(low.contains("nld"), "nld"), F.when(low.contains("zho"), "zho")))
     return F.when(low.contains("strict"), F.array(F.lit("eng"))).when(low.contains("babylm-nld"), F.array(F.lit("nld"))).when(low.contains("babylm-zho"), F.array(F.lit("zho"))).otherwise(listed)
