@@ -670,10 +670,10 @@ def fast_size_validation(spark, d):
 _TASKS = [(k, f"{kind}-{lang}", task) for k, (kind, lang, task) in enumerate(checks.expected_tasks())]
 
 
-@query(f"WITH e(k, grp, task) AS (VALUES {_values(_TASKS)}), f AS (SELECT DISTINCT grp, task FROM e JOIN events ON k = user_id * 2 % {len(_TASKS)}) SELECT grp, task FROM e WHERE grp IN (SELECT grp FROM f) AND (grp, task) NOT IN (SELECT (grp, task) FROM f)")
+@query(f"WITH e(k, grp, task) AS (VALUES {_values(_TASKS)}), f AS (SELECT DISTINCT grp, task FROM e JOIN events ON k = user_id * 7 % {len(_TASKS)}) SELECT grp, task FROM e WHERE grp IN (SELECT grp FROM f) AND (grp, task) NOT IN (SELECT (grp, task) FROM f)")
 def missing_tasks_anti(spark, d):
     expected = spark.createDataFrame(_TASKS, "k long, grp string, task string")
-    found = table(spark, d, "events").select((F.col("user_id") * 2 % len(_TASKS)).alias("k")).distinct().join(F.broadcast(expected), "k")
+    found = table(spark, d, "events").select((F.col("user_id") * 7 % len(_TASKS)).alias("k")).distinct().join(F.broadcast(expected), "k")
     return checks.missing_tasks(found, expected, "grp", "task")
 
 
