@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import numbered
+
 #: Expected numbers of predictions by subset. Fixed values.
 BLIMP_SIZES = {
     "superlative_quantifiers_2": 986, "superlative_quantifiers_1": 979, "anaphor_gender_agreement": 971, "principle_a_reconstruction": 967,
@@ -159,12 +161,9 @@ def same_labels(df: DataFrame, group: str, label: str) -> None:
 
 def positional_join(gold: DataFrame, pred: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of either side with one place in a key's order, as far as the shorter side goes. pred's columns have the prefix pred_."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order)
-    number = F.row_number().over(w)
-    right = pred.select(F.col(key), number.alias("place"), *[F.col(c).alias(f"pred_{c}") for c in pred.columns if c != key])
-    return gold.withColumn("place", number).join(right, [key, "place"])
+    right = numbered(pred, [key], order, "__place")
+    right = right.select(F.col(key), F.col("__place").alias("place"), *[F.col(c).alias(f"pred_{c}") for c in pred.columns if c != key])
+    return numbered(gold, [key], order, "place").join(right, [key, "place"])
 
 
 def keyed_join(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:

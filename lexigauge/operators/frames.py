@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,35 @@ def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*df.columns, *[((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).alias(f"z_{c}") for c in columns])
 
 
+def numbered(df: DataFrame, group: list[str], order: str | Column, name: str, size: str | None = None, most: int | None = None, parts: int = 64) -> DataFrame:
+    """df with `name`: a row's number in its group from 1, by ascending order; with size, also its group's number of rows; with most, only rows up to that number.
+
+    Values are cut into about even ranges, the same for all groups, at quantiles of a sample of
+    32 rows a range, and the rows below a range are added from one count a group and range. So
+    a group as large as the table is still numbered by `parts` tasks. The cuts only balance:
+    any would give the same numbers. Rows with one value of order stay together and are numbered
+    in any order; null comes first, as a value and as a group.
+    """
+    df = df.select("*", F.struct(*group).alias("__g"), (F.col(order) if isinstance(order, str) else order).alias("__o"))
+    drawn = df.select("__o").where("__o is not null").orderBy(F.rand(0)).limit(parts * 32)
+    every = drawn.agg(F.sort_array(F.collect_list("__o")).alias("v")).first()["v"]
+    cuts = list(dict.fromkeys(every[len(every) * k // parts] for k in range(1, parts))) if every else []
+    df = df.withColumn("__part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__o"))) if cuts else F.lit(0))
+    w = Window.partitionBy("__g")
+    before = F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = df.groupBy("__g", "__part").agg(F.count("*").alias("__n"))  # `parts` rows a group at most
+    sizes = sizes.select("__g", "__part", F.coalesce(before, F.lit(0)).alias("__below"), F.sum("__n").over(w).alias("__size"))
+    if most is not None:
+        sizes = sizes.where(F.col("__below") < most)
+    here = F.row_number().over(Window.partitionBy("__g", "__part").orderBy("__o"))
+    out = df.join(sizes, ["__g", "__part"]).withColumn(name, F.col("__below") + here)
+    if most is not None:
+        out = out.where(F.col(name) <= most)
+    if size is not None:
+        out = out.withColumn(size, F.col("__size"))
+    return out.drop("__g", "__o", "__part", "__below", "__size")
+
+
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without null or NaN in the columns."""
     return df.na.drop(subset=columns)

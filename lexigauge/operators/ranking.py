@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import text_hash
+from .frames import numbered
 
 POLICIES = ("first", "seeded", "fractional", "strict")
 _LOWEST = float("-inf")
@@ -105,8 +106,8 @@ def best_temperature(df: DataFrame, temperature: str = "temperature", value: str
 
 def prediction_ids(df: DataFrame, order: str, uid: str = "uid") -> DataFrame:
     """df with id: the uid and the row's number in it from 0, in reading order."""
-    n = F.row_number().over(Window.partitionBy(uid).orderBy(order)) - 1
-    return df.withColumn("id", F.concat_ws("_", F.col(uid), n.cast("string")))
+    out = numbered(df, [uid], order, "__n")
+    return out.withColumn("id", F.concat_ws("_", F.col(uid), (F.col("__n") - 1).cast("string"))).drop("__n")
 
 
 def best_epoch(df: DataFrame, keys: list[str], epoch: str = "epoch", score: str = "score", patience: int | None = None, least: float = 0.001) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import text_hash
+from .frames import numbered
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -32,11 +33,9 @@ def share_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 4
 
 
 def exact_split(df: DataFrame, group: list[str], order: Column, shares: dict[str, float]) -> DataFrame:
-    """df with `split`: of each group's rows in order exactly the given shares, rounded down but for the first name; groups of under 3 rows go to the first."""
+    """df with `split`: of each group's rows in order exactly the given shares, rounded down but for the first name; groups of under 3 rows go to the first. Null is a group of its own."""
     if not math.isclose(sum(shares.values()), 1.0, abs_tol=1e-9):
         raise ValueError("shares must sum to 1")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
     names = list(shares)
     out, taken = F.lit(names[0]), F.lit(0)
     column = None
@@ -46,10 +45,10 @@ def exact_split(df: DataFrame, group: list[str], order: Column, shares: dict[str
         column = F.when(hit, name) if column is None else column.when(hit, name)
         taken = taken_after
     column = out if column is None else F.when(F.col("__n") < 3, names[0]).otherwise(column.otherwise(names[0]))
-    return df.withColumn("__r", rank).join(sizes, group).withColumn("split", column).drop("__r", "__n")
+    return numbered(df, group, order, "__r", size="__n").withColumn("split", column).drop("__r", "__n")
 
 
 def uniform_mixture(df: DataFrame, group: str, order: Column) -> DataFrame:
-    """As many rows of each group as the smallest one has, the first by order. Catalyst limits groups before they are sorted whole."""
+    """As many rows of each group as the smallest one has, the first by order."""
     cap = df.groupBy(group).count().agg(F.min("count")).first()[0] or 0
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__r") <= cap).drop("__r")
+    return numbered(df, [group], order, "__r", most=cap).drop("__r")

@@ -166,7 +166,11 @@ def mixed_model(df: DataFrame, subject: str, response: str, names: list[str]) ->
 
     rows = z_scores(df, names).na.drop(subset=[subject, response, *[f"z_{c}" for c in names]])
     stats = subject_statistics(rows, subject, F.col(response).cast("double"), [F.lit(1.0), *[F.col(f"z_{c}") for c in names]])
-    return fit_statistics(stats.cache(), len(names) + 1)
+    stats = stats.persist()
+    try:
+        return fit_statistics(stats, len(names) + 1)
+    finally:
+        stats.unpersist()
 
 
 def delta_loglik(df: DataFrame, subject: str, response: str, full: list[str], base: list[str]) -> dict[str, float]:

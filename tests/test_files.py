@@ -258,6 +258,25 @@ def test_splits(spark):
         splits.share_split(df, "id", {"a": 0.5})
 
 
+def test_numbers_by_ranges_are_row_numbers(spark):
+    # one group of two thirds of the rows, a null group and null values
+    rows = [("hot" if k % 3 else [None, "a", "b"][k % 7 % 3], (k * 7919) % 3001 if k else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o int")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r[1] for r in rows if r[0] == g), key=lambda o: (o is not None, o))
+        want |= {(g, o): (n, len(own)) for n, o in enumerate(own, 1)}
+    padded = F.when(F.col("o").isNotNull(), F.lpad(F.col("o").cast("string"), 5, "0"))
+    for order in ("o", padded, F.col("o").cast("timestamp")):
+        got = frames.numbered(df, ["g"], order, "n", size="s").collect()
+        assert {(r.g, r.o): (r.n, r.s) for r in got} == want and len(got) == 3000
+    few = frames.numbered(df, ["g"], "o", "n", most=5).collect()
+    assert {(r.g, r.o): r.n for r in few} == {k: n for k, (n, _) in want.items() if n <= 5}
+    ties = frames.numbered(df.select("g", F.lit(1).alias("o")), ["g"], "o", "n").groupBy("g").agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.max("n").alias("m")).collect()
+    assert all(r.c == r.d == r.m for r in ties)
+    assert frames.numbered(df.where("o < 0"), ["g"], "o", "n").count() == 0
+
+
 def test_reading_frame_is_the_null_equal_join(spark):
     rows = [("i", w, s, v) for w, s, v in [(1, 1, 1.0), (2, 1, 2.0), (2, 1, 2.0), (3, 1, None), (4, 1, 4.0), (5, 1, 5.0), (1, None, 1.5), (2, None, 2.5), (3, None, 3.5)]]
     df = spark.createDataFrame(rows, "itemid string, wordnum int, sentnum int, v double")
