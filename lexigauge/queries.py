@@ -751,14 +751,7 @@ def seeded_sample(spark, d):
 @query("SELECT event_type AS task, CAST(user_id % 3 AS VARCHAR) AS revision, count(*) AS n, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS DOUBLE) AS correct FROM events GROUP BY 1, 2")
 def streaming_resumable_counts(spark, d):
     """Counts through a stream over the table's files, resumed once; the folders are the session's shared one, or a temporary one locally."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp()
-    base = f"{base}/sweep-{uuid.uuid4()}"
+    base = round_trips.shared_folder(spark, "sweep")
     e = table(spark, d, "events")
     source = f"{d}/events.parquet"
     stream = spark.readStream.schema(e.schema).parquet(source if _is_folder(spark, source) else d + "/events.parque*")
@@ -778,3 +771,6 @@ def _is_folder(spark, path: str) -> bool:
 def windowed_event_counts(spark, d):
     out = sweeps.windowed_counts(table(spark, d, "events"))
     return out.select(F.unix_timestamp("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import round_trips  # noqa: E402  at the end, as its queries are registered by `query` above

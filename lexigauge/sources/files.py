@@ -139,9 +139,9 @@ def nested_scores(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.concat_ws("_", "task", "lang").alias("name"), "score")
 
 
-def uid_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, ord, id, pred) of {uid: {predictions: [{id, pred}]}}."""
-    text = spark.read.text(path, wholetext=True)
+def uid_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(uid, ord, id, pred) of {uid: {predictions: [{id, pred}]}}: one object a file or, with lines, a line."""
+    text = spark.read.text(path, wholetext=not lines)
     each = text.select(F.explode(F.from_json("value", "map<string,struct<predictions:array<struct<id:string,pred:string>>>>")).alias("uid", "p"))
     return each.select("uid", F.posexplode("p.predictions").alias("ord", "x")).select("uid", "ord", "x.id", "x.pred")
 
