@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ranking
 from .queries import query
 from .session import table
-from .sources import files, sinks
+from .sources import binary, files, sinks, tasks
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -23,12 +25,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base or tempfile.mkdtemp()}/{name}-{uuid.uuid4()}"
 
 
-def put(spark: SparkSession, path: str, content: str) -> None:
+def put(spark: SparkSession, path: str, content: str | bytes) -> None:
     """One small file, in any store that Spark knows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(content.encode()))
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
     finally:
         out.close()
 
@@ -159,3 +161,51 @@ def numbered_json_lines(spark, d):
         put(spark, f"{base}/{key}.jsonl", "".join(json.dumps({"region": key, "name": r["n_name"]}) + "\n" for r in rows if r["n_regionkey"] == key))
     put(spark, f"{base}/notes.txt", '{"region": 9, "name": "x"}\n')
     return files.json_lines(spark, base, "region long, name string", numbered=True).select("region", "ord", "name")
+
+
+@query("SELECT n_nationkey AS doc_id, n_name AS target, CASE WHEN n_regionkey = 1 THEN 'hanzi_structure' ELSE 'hanzi_pinyin' END AS task FROM nation WHERE n_regionkey < 2")
+def newest_sample_logs(spark, d):
+    """An old log of each task with a wrong row, then a newer one; only the one that comes last by name is read."""
+    base = shared_folder(spark, "samples")
+    for key, task in ((0, "hanzi_pinyin"), (1, "hanzi_structure")):
+        own = table(spark, d, "nation").where(F.col("n_regionkey") == key).collect()
+        put(spark, f"{base}/samples_{task}_2024-01-01.jsonl", json.dumps({"doc_id": -1, "doc_hash": "x", "target": "old"}) + "\n")
+        put(spark, f"{base}/samples_{task}_2024-02-01.jsonl", "".join(json.dumps({"doc_id": r["n_nationkey"], "doc_hash": f"h{r['n_nationkey']}", "target": r["n_name"]}) + "\n" for r in own))
+    return files.newest_samples(spark, base, "doc_id long, doc_hash string, target string").select("doc_id", "target", "task")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INT) AS trial, n_name AS text1, 1 AS images, 2 AS texts FROM nation")
+def manifest_trials(spark, d):
+    rows = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    path = shared_folder(spark, "manifest") + "/manifest.csv"
+    put(spark, path, "image1,text1,text2\n" + "".join(f"{r['n_nationkey']}.png,{r['n_name']},{r['n_regionkey']}\n" for r in rows))
+    trials, images, texts = files.manifest(spark, path)
+    return trials.select("trial", "text1", F.lit(images).alias("images"), F.lit(texts).alias("texts"))
+
+
+@query("SELECT 't_' || n_nationkey AS task, 'org/' || r_name AS dataset, CASE WHEN n_nationkey % 2 = 0 THEN 'test' ELSE 'validation' END AS split, 'all' AS root FROM nation JOIN region ON n_regionkey = r_regionkey")
+def task_registry_leaves(spark, d):
+    """A base file for each region, a group of its nations' tasks that include it, and a group of these groups; every second task has a split of its own."""
+    base = shared_folder(spark, "registry")
+    regions = table(spark, d, "region").collect()
+    put(spark, f"{base}/all.yaml", "group: all\ntask:\n" + "".join(f"  - g_{r['r_regionkey']}\n" for r in regions))
+    for r in regions:
+        key = r["r_regionkey"]
+        own = [n["n_nationkey"] for n in table(spark, d, "nation").where(F.col("n_regionkey") == key).collect()]
+        put(spark, f"{base}/_base_{key}_yaml", f"dataset_path: org/{r['r_name']}\ntest_split: validation\n")
+        put(spark, f"{base}/g_{key}.yaml", f"group: g_{key}\ntask:\n" + "".join(f"  - t_{n}\n" for n in own))
+        for n in own:
+            put(spark, f"{base}/t_{n}.yaml", f"include: _base_{key}_yaml\ntask: t_{n}\n" + ("test_split: test\n" if n % 2 == 0 else ""))
+    known = tasks.registry(spark, base)
+    under = spark.createDataFrame([(name,) for name in tasks.leaves(known, "all")], "name string")
+    return known.where("parent is null").join(under, "name").select(F.col("name").alias("task"), "dataset", "split", F.lit("all").alias("root"))
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS i, CAST(n_nationkey + n_regionkey * 100 AS DOUBLE) AS total FROM nation")
+def stored_matrix_rows(spark, d):
+    rows = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    held = io.BytesIO()
+    np.save(held, np.array([[r["n_nationkey"], r["n_regionkey"] * 100] for r in rows], np.float32).reshape(len(rows), 2, 1))
+    path = shared_folder(spark, "matrix") + "/a.npy"
+    put(spark, path, held.getvalue())
+    return binary.matrix_rows(spark, path).select("i", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
