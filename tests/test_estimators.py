@@ -110,3 +110,20 @@ def test_beta_search():
     z = np.exp(3.0 * scores)
     beta, kl = curves.best_beta(z / z.sum(1, keepdims=True), scores)
     assert beta == pytest.approx(3, rel=1e-3) and kl < 1e-9
+
+
+def test_temperatures_by_group_are_those_of_each_group(spark):
+    rng = np.random.default_rng(3)
+    scores = rng.normal(size=(300, 4))
+    of = ["hot" if k % 3 else "ab"[k % 2] for k in range(300)]
+    shares = np.exp(scores * np.array([{"hot": 2.0, "a": 0.5, "b": 9.0}[g] for g in of])[:, None] + rng.normal(size=scores.shape) / 4)
+    shares /= shares.sum(1, keepdims=True)
+    rows = [(g, h.tolist(), m.tolist()) for g, h, m in zip(of, shares, scores, strict=True)]
+    df = spark.createDataFrame([*rows, ("a", None, [1.0]), (None, [1.0], [1.0])], "g string, h array<double>, m array<double>").repartition(7)
+    got = {r.g: r for r in curves.beta_by_group(df, "g", "h", "m").collect()}
+    assert set(got) == {"hot", "a", "b"}
+    for g, r in got.items():
+        own = [k for k in range(300) if of[k] == g]
+        beta, kl = curves.best_beta(shares[own], scores[own])
+        assert r.n == len(own) and r.beta == pytest.approx(beta, rel=1e-6) and r.kl == pytest.approx(kl, rel=1e-9)
+    assert curves.beta_by_group(df.where("g = 'none'"), "g", "h", "m").count() == 0
