@@ -364,7 +364,9 @@ def repeated_windows(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     total = repeated.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-int(total) // BUCKET))
-    hits = rows.join(repeated, "h").groupBy("key", "key2").agg(F.collect_list(F.when(F.col("n") < hot, F.col("at"))).alias("few"), F.collect_list(F.when(F.col("n") >= hot, F.col("at"))).alias("many"))
+    # places of a common passage share one hash
+    placed = common.spread_join(rows, repeated, ["h"], "key", common.hot_keys(repeated, ["h"]))
+    hits = placed.groupBy("key", "key2").agg(F.collect_list(F.when(F.col("n") < hot, F.col("at"))).alias("few"), F.collect_list(F.when(F.col("n") >= hot, F.col("at"))).alias("many"))
 
     def contexts(batches):
         common.worker_state("suffix_dedup")

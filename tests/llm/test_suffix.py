@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexigauge.llm import suffix_dedup
+from lexigauge.llm import common, suffix_dedup
 from lexigauge.llm.suffix_dedup import Run, anchors, lcp, merge, remove_repeats
 
 from .conftest import SCHEMA, prose, row
@@ -39,8 +39,9 @@ def texts():
     return out + [prose(rng, 100) for _ in range(20)]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 8])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "spread"), [(suffix_dedup.HOT, common.HOT_ROWS), (8, 4)])
+def test_against_brute_force(spark, monkeypatch, hot, spread):
+    monkeypatch.setattr(common, "HOT_ROWS", spread)
     t = texts()
     df = spark.createDataFrame([row(i, x) for i, x in enumerate(t)], SCHEMA).repartition(4)
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, hot=hot).collect()}
