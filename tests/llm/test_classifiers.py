@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lexigauge.llm import common, language_id, quality, toxicity
 from lexigauge.llm.queries import op2_toxicity, op7_language_id, op9_quality
@@ -56,6 +57,17 @@ def test_odd_rows(spark, docs, no_docs):
     assert language_id.identify(no_docs, common.fold("id", 4) != 2, PATH).count() == 0
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    texts = {i: ("word " * (20 if i % 7 else 4000)).strip() for i in range(60)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    every = toxicity.train(docs, labels, "toxic", F.lit(True), 1000)
+    assert sorted(every[0]) == sorted(texts.values())
+    some = toxicity.train(docs, labels, "toxic", F.lit(True), 1000, most_bytes=30_000)
+    assert sum(map(len, some[0])) <= 30_000 and len(some[0]) > 45 and set(some[0]) <= set(texts.values())
+    assert some == toxicity.train(docs.repartition(5), labels, "toxic", F.lit(True), 1000, most_bytes=30_000)
+
+
 def segmentations(word, p):
     if not word:
         return 1.0
