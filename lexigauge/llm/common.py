@@ -215,9 +215,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (lower-cased A-Z, digits and bytes from 128 on), and the row of each; data: lower-cased."""
-    inside = IS_WORD[data].view(np.int8)
+def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (lower-cased A-Z, digits and bytes from 128 on, or other bytes), and the row of each; data: lower-cased."""
+    inside = word_bytes[data].view(np.int8)
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = inside[1:] != inside[:-1]

@@ -13,6 +13,7 @@ from .language_id import identify
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .ranked_search import rank_documents
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -82,10 +83,15 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(vectors, least=0.93).withColumnRenamed("id", "vec_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return rank_documents(docs, items, k=10).select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries train models, count tokens, pack or sort suffixes; their tests compare them with brute force or held-out labels."""
-    return {"op5_sharding": oracles.SHARDING, "op6_decontamination": oracles.DECONTAMINATION, "op8_minhash": oracles.NEAR_DUPLICATES, "op10_embedding_links": oracles.EMBEDDING_LINKS}
+    return {"op5_sharding": oracles.SHARDING, "op6_decontamination": oracles.DECONTAMINATION, "op8_minhash": oracles.NEAR_DUPLICATES, "op10_embedding_links": oracles.EMBEDDING_LINKS, "op11_ranked_search": oracles.RANKED_SEARCH}
