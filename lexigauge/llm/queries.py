@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, oracles
+from .collocations import mine_collocations
 from .decontamination import find_contamination
 from .embedding_duplicates import linked_vectors
 from .language_id import identify
@@ -88,10 +89,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(docs, items, k=10).select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(common.table(spark, sf_dir, "documents"), least=10, longest=3, top=2000, share=50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links, op11_ranked_search, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries train models, count tokens, pack or sort suffixes; their tests compare them with brute force or held-out labels."""
-    return {"op5_sharding": oracles.SHARDING, "op6_decontamination": oracles.DECONTAMINATION, "op8_minhash": oracles.NEAR_DUPLICATES, "op10_embedding_links": oracles.EMBEDDING_LINKS, "op11_ranked_search": oracles.RANKED_SEARCH}
+    return {"op5_sharding": oracles.SHARDING, "op6_decontamination": oracles.DECONTAMINATION, "op8_minhash": oracles.NEAR_DUPLICATES, "op10_embedding_links": oracles.EMBEDDING_LINKS, "op11_ranked_search": oracles.RANKED_SEARCH, "op12_collocations": oracles.COLLOCATIONS}
