@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common, oracles
 from .collocations import mine_collocations
+from .context_mixing import score_texts
 from .decontamination import find_contamination
 from .embedding_duplicates import linked_vectors
 from .language_id import identify
@@ -93,8 +94,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(common.table(spark, sf_dir, "documents"), least=10, longest=3, top=2000, share=50)
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_doc(score_texts(common.table(spark, sf_dir, "documents"), common.fold("doc_id", 7) != 2))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links, op11_ranked_search, op12_collocations)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_language_id, op8_minhash, op9_quality, op10_embedding_links, op11_ranked_search, op12_collocations, op13_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
