@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,8 +88,9 @@ def distinct_words(texts: Texts, more: np.ndarray | None = None) -> tuple[np.nda
     more: values by token that keep words apart, such as languages; they are mixed into the hash.
     """
     h = texts.hash if more is None else keyed(texts.hash, more)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    inverse = inverse.astype(np.int64)
+    inverse, found = pd.factorize(h)
+    first = np.empty(len(found), np.int64)
+    first[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
     same = same_bytes(texts.low, texts.start, texts.end, texts.low, texts.start[first[inverse]], texts.end[first[inverse]])
     if more is not None:
         same &= more == more[first[inverse]]
