@@ -119,3 +119,57 @@ def task_language(task: Column, prefix: str, codes: dict[str, str]) -> Column:
 def in_all_vocabulary(token_lists: Sequence[Column], vocabulary: Column) -> Column:
     """Whether all tokens of all lists are in a (small) vocabulary array; see vocabulary_filter for large ones."""
     return F.forall(F.concat(*token_lists), lambda t: F.array_contains(vocabulary, t))
+
+
+#: The published Treebank word rules, in the order in which they apply: a pattern and what it becomes. Fixed values.
+TREEBANK = (
+    ("([«“‘„]|[`]+)", " $1 "),
+    ('^"', "``"),
+    ("(``)", " $1 "),
+    (r"""([ (\[{<])("|'{2})""", "$1 `` "),
+    (r"(?i)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", "$1 $2"),
+    (r"""([^.])(\.)([\])}>"'»”’ ]*)\s*$""", "$1 $2 $3 "),
+    (r"([:,])([^\d])", " $1 $2"),
+    (r"([:,])$", " $1 "),
+    (r"\.{2,}", " $0 "),
+    (r"[;@#$%&]", " $0 "),
+    (r"""([^.])(\.)([\])}>"']*)\s*$""", "$1 $2$3 "),
+    (r"[?!]", " $0 "),
+    (r"([^'])' ", "$1 ' "),
+    (r"[*]", " $0 "),
+    (r"[\]\[(){}<>]", " $0 "),
+    (r"--", " -- "),
+    (r"^|$", " "),
+    ("([»”’])", " $1 "),
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"\s+", " "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (r"(?i)\b(can)(not)\b", " $1 $2 "),
+    (r"(?i)\b(d)('ye)\b", " $1 $2 "),
+    (r"(?i)\b(gim)(me)\b", " $1 $2 "),
+    (r"(?i)\b(gon)(na)\b", " $1 $2 "),
+    (r"(?i)\b(got)(ta)\b", " $1 $2 "),
+    (r"(?i)\b(lem)(me)\b", " $1 $2 "),
+    (r"(?i)\b(more)('n)\b", " $1 $2 "),
+    (r"(?i)\b(wan)(na)(?=\s)", " $1 $2 "),
+    (r"(?i) ('t)(is)\b", " $1 $2 "),
+    (r"(?i) ('t)(was)\b", " $1 $2 "),
+)
+
+
+def treebank_words(x: Column, by_sentence: bool = True) -> Column:
+    """The words of x by the Treebank rules: quotes, marks, brackets and a final stop stand alone, contractions are cut (do n't, it 's, can not).
+
+    by_sentence: the rules apply to each sentence (see `sentences`), so that each final stop
+    is cut off; without it only the last one is. Null has no words.
+    """
+
+    def cut(s: Column) -> Column:
+        for pattern, instead in TREEBANK:
+            s = F.regexp_replace(s, "(?U)" + pattern, instead)
+        return words(s)
+
+    out = F.flatten(F.transform(sentences(x), cut)) if by_sentence else cut(x)
+    return F.coalesce(out, F.array().cast("array<string>"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, words
@@ -68,14 +70,21 @@ SMALL = 1_000_000
 
 def small(words_: DataFrame) -> DataFrame:
     """words_, with a hint to broadcast it if it has SMALL rows at most; they are counted first."""
-    return F.broadcast(words_) if words_.limit(SMALL + 1).count() <= SMALL else words_
+    return F.broadcast(words_) if words_.count() <= SMALL else words_
+
 
+def vocabulary_filter(rows: DataFrame, key: str, texts: list[str], vocabulary: DataFrame, lower: bool = True, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """Rows of which every word in all the texts is in the vocabulary (word).
 
-def vocabulary_filter(rows: DataFrame, key: str, texts: list[str], vocabulary: DataFrame, lower: bool = True) -> DataFrame:
-    """Rows of which every word in all the texts is in the vocabulary (word). A vocabulary of SMALL words at most is broadcast, so that words aren't shuffled; a larger one is joined."""
-    every = F.concat(*[words(F.lower(t) if lower else F.col(t)) for t in texts])
-    tokens = rows.select(key, F.explode(F.array_distinct(every)).alias("word"))
-    strange = tokens.join(small(vocabulary.select("word").distinct()), "word", "left_anti").select(key).distinct()
+    tokens: how a text is cut, at white space, or `text.treebank_words` for words apart from
+    their marks. Each row's words are distinct before they are looked up; a vocabulary of SMALL
+    words at most is broadcast, so that words aren't shuffled; a larger one is joined. Null
+    texts have no words, so a row of nulls is kept.
+    """
+    cut = [tokens(F.lower(t) if lower else F.col(t)) for t in texts]
+    every = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in cut]))
+    known = vocabulary.select("word").where("word is not null").distinct()
+    strange = rows.select(key, F.explode(every).alias("word")).join(small(known), "word", "left_anti").select(key).distinct()
     return rows.join(strange, key, "left_anti")
 
 

@@ -352,11 +352,30 @@ def topk_contexts_per_word(spark, d):
     return ngrams.top_contexts(_counts(spark, d), top=3, least_words=2).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 2), bad AS (SELECT DISTINCT doc_id FROM w WHERE word NOT IN (SELECT word FROM v)) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
+def _treebank_sql(x: str) -> str:
+    """The Treebank rules over x, with what RE2 lacks written otherwise."""
+    for pattern, instead in text.TREEBANK:
+        pattern = pattern.replace("(?!re|ve|ll|m|t|s|d|n)(\\w)", "([0-9a-ce-lo-ru-z_])")
+        if "(?=\\s)" in pattern:
+            pattern, instead = pattern.replace("(?=\\s)", "(\\s)"), instead + "$3"
+        pattern, instead = (y.replace("'", "''") for y in (pattern, instead.replace("$", "\\")))
+        x = f"regexp_replace({x}, '{pattern}', '{instead}', 'g')"
+    return x
+
+
+_SENTENCES = r"string_split(regexp_replace(regexp_replace(lower(text), '\s+', '  ', 'g'), '((?:^|[^.])\.(?:[^\P{P}.]\p{P}*)?|[!?؟۔।॥။‼‽⁇⁈⁉。！．？｡]\p{P}*) ', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, trim(unnest({_SENTENCES})) AS s FROM documents), w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array({_treebank_sql("s")}, '\s+'), lambda x: x <> '')) AS word FROM s), v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 2), bad AS (SELECT DISTINCT doc_id FROM w WHERE word NOT IN (SELECT word FROM v)) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
 def vocab_all_tokens_filter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    df = docs.select(F.explode(F.array_distinct(text.words(F.lower("text")))).alias("word")).groupBy("word").count()
-    return ngrams.vocabulary_filter(docs, "doc_id", ["text"], df.where("count >= 2")).select("doc_id")
+    df = docs.select(F.explode(F.array_distinct(text.treebank_words(F.lower("text")))).alias("word")).groupBy("word").count()
+    return ngrams.vocabulary_filter(docs, "doc_id", ["text"], df.where("count >= 2"), tokens=text.treebank_words).select("doc_id")
+
+
+@query(rf"""WITH s AS (SELECT doc_id, trim(unnest({_SENTENCES})) AS s FROM documents), w AS (SELECT unnest(list_filter(regexp_split_to_array({_treebank_sql("s")}, '\s+'), lambda x: x <> '')) AS word FROM s) SELECT word, count(*) AS n FROM w GROUP BY word""")
+def treebank_word_counts(spark, d):
+    return table(spark, d, "documents").select(F.explode(text.treebank_words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 # Reading frames
