@@ -270,6 +270,7 @@ def test_counts_of_the_word_so_far():
     words, kinds, counts = random_events(rng, 300)
     code = context_mixing.Code(np.bincount(np.frombuffer(b"abcdx \n" * 5 + b"aab", np.uint8), minlength=256))
     e, spelled = made(words, kinds, counts, code)
+    e.with_deep(code)
     kinds, counts = e.kind, e.count
     path = lambda x: "".join("".join(map(str, code.bit[code.start[s] : code.start[s + 1]])) for s in x)
     paths = [path(x) for x in spelled]
@@ -292,6 +293,7 @@ def test_a_plain_loop_gives_the_same_score():
     ones = rng.integers(0, 50, 1 << context_mixing.SLOTS)
     table = context_mixing.packed_counts(ones + rng.integers(0, 50, len(ones)), ones)
     e, _ = made(words, kinds, counts, code)
+    e.with_deep(code)
     m = context_mixing.Mixer(code, table)
 
     def loss(mixer):
