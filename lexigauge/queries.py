@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, text, tokens
-from .operators import checks, collate, decode, frames, metrics, ngrams, ranking, splits
+from .operators import checks, collate, decode, frames, frequency, metrics, ngrams, ranking, splits
 from .plans import curves, mixed, regression
 from .session import table
 from .streaming import sweeps
@@ -416,6 +416,28 @@ def reading_frame(spark, d):
     return out.select("itemid", "wordnum", "word", "rt", F.col("sentnum").cast("string").alias("sentnum"), "wlen", "freq", "rt1p", "wlen1p", "rt2p", "wlen2p")
 
 
+_DIGIT = "list_extract([0.009, 0.300, 0.175, 0.124, 0.096, 0.078, 0.066, 0.057, 0.050, 0.045], CAST(substr(x, 1, 1) AS INT) + 1) / pow(10.0, length(x) - 1)"
+_YEAR = "pow(10.0, CASE WHEN CAST(x AS INT) <= 2019 THEN -1.9185 - 0.0083 * (2019 - CAST(x AS INT)) WHEN CAST(x AS INT) <= 2039 THEN -1.9185 ELSE -1.9185 - 0.2 * (CAST(x AS INT) - 2039) END)"
+
+
+@query(rf"""WITH t AS (SELECT lang, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM documents), n AS (SELECT lang, lower(word) AS word, count(*) AS n FROM t GROUP BY 1, 2), total AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
+list AS (SELECT lang, word, pow(10, -round(-100 * log10(n / total)) / 100) AS f FROM n JOIN total USING (lang) WHERE n > 1 AND NOT regexp_matches(word, '\d\d') UNION ALL SELECT DISTINCT lang, repeat('0', k), 1e-4 FROM documents, range(2, 9) r(k)),
+w AS (SELECT DISTINCT lang, word FROM t), p AS (SELECT lang, word, unnest(regexp_extract_all(lower(word), '{frequency.PART.replace("'", "''")}')) AS part FROM w),
+s AS (SELECT *, list_reduce(list_prepend(part, regexp_extract_all(part, '\d[\d.,]+')), lambda a, r: replace(a, r, regexp_replace(r, '\d', '0', 'g'))) AS shape, coalesce(list_aggregate(list_transform(regexp_extract_all(part, '\d[\d.,]+'), lambda x: CASE WHEN regexp_full_match(x, '\d{{4}}') THEN {_YEAR} + 0.1 * {_DIGIT} ELSE {_DIGIT} END), 'product'), 1) AS share FROM p),
+g AS (SELECT s.lang, s.word, count(*) AS n, count(f) AS known, 1 / sum(1 / (f * share)) AS v FROM s LEFT JOIN list ON list.lang = s.lang AND list.word = shape GROUP BY 1, 2)
+SELECT w.lang, w.word, length(w.word) AS wlen, CASE WHEN n = known THEN greatest(0, round(log10(round(v * pow(10, 2 - floor(log10(v)))) / pow(10, 2 - floor(log10(v)))) + 9, 2)) ELSE 0 END AS freq FROM w LEFT JOIN g USING (lang, word)""")
+def zipf_word_table(spark, d):
+    tokens = table(spark, d, "documents").select("lang", F.explode(text.words(F.col("text"))).alias("word"))
+    n = tokens.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    # a list as they are published: binned frequencies of words seen twice, and shapes of numbers
+    total = n.groupBy("lang").agg(F.sum("n").alias("total"))
+    lists = n.join(F.broadcast(total), "lang").where((F.col("n") > 1) & ~F.col("word").rlike(r"\d\d"))
+    lists = lists.select(F.col("lang").alias("list"), "word", F.pow(F.lit(10.0), -F.round(-100 * F.log10(F.col("n") / F.col("total"))) / 100).alias("frequency"))
+    shapes = total.select(F.col("lang").alias("list"), F.explode(F.array(*[F.lit("0" * k) for k in range(2, 9)])).alias("word"), F.lit(1e-4).alias("frequency"))
+    words = frequency.zipf(tokens.distinct(), lists.union(shapes), language="lang")
+    return frames.word_table(tokens, ["lang", "word"], words).withColumn("wlen", F.col("wlen").cast("long"))
+
+
 @query("WITH r AS (SELECT text, doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) SELECT doc_id, lang FROM r WHERE k = 1")
 def dedup_first(spark, d):
     docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("k"), "doc_id", "lang")

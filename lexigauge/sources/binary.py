@@ -193,3 +193,67 @@ def matrix_rows(spark: SparkSession, path: str, name: str | None = None) -> Data
                     yield pd.DataFrame({"file": file, "i": np.arange(k, k + len(a[k : k + 4096])), "vec": list(a[k : k + 4096])})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, i int, vec array<double>")
+
+
+class Packed:
+    """Parses MessagePack, as far as lists, maps, strings and numbers go."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def _number(self, kind: str):
+        size = struct.calcsize(kind)
+        self.at += size
+        return struct.unpack_from(">" + kind, self.raw, self.at - size)[0]
+
+    def _text(self, n: int) -> str:
+        self.at += n
+        return self.raw[self.at - n : self.at].decode()
+
+    def _map(self, n: int) -> dict:
+        return {self.item(): self.item() for _ in range(n)}
+
+    def item(self):
+        kind = self._number("B")
+        if kind < 0x80 or kind >= 0xE0:
+            return kind if kind < 0x80 else kind - 256
+        if kind < 0x90:
+            return self._map(kind & 15)
+        if kind < 0xA0:
+            return [self.item() for _ in range(kind & 15)]
+        if kind < 0xC0:
+            return self._text(kind & 31)
+        if kind in (0xC0, 0xC2, 0xC3):
+            return {0xC0: None, 0xC2: False, 0xC3: True}[kind]
+        if 0xC4 <= kind <= 0xC6 or 0xD9 <= kind <= 0xDB:
+            return self._text(self._number("BHI"[kind - (0xC4 if kind < 0xD9 else 0xD9)]))
+        if 0xCA <= kind <= 0xD3:
+            return self._number("fdBHIQbhiq"[kind - 0xCA])
+        if kind in (0xDC, 0xDD):
+            return [self.item() for _ in range(self._number("HI"[kind - 0xDC]))]
+        if kind in (0xDE, 0xDF):
+            return self._map(self._number("HI"[kind - 0xDE]))
+        raise ValueError(f"no MessagePack that is read here: {kind:#x}")
+
+
+def frequency_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(list, word, frequency): binned lists of word frequencies, one file each, named for its list (large_en.msgpack.gz: en).
+
+    A file is a header and then bins of words, gzipped MessagePack; the words of bin k have a
+    frequency of 10 to the -k/100. Other headers are an error. A file is parsed by one task
+    (lists have under a million words); an empty bin has no rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for file, raw in zip(f["path"], f["content"], strict=True):
+                raw = bytes(raw)
+                head, *bins = Packed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).item()
+                if head != {"format": "cB", "version": 1}:
+                    raise ValueError(f"{file}: no list of binned frequencies")
+                name = file.rsplit("/", 1)[-1].split(".")[0].split("_")[-1]
+                for k, words in enumerate(bins):
+                    if words:
+                        yield pd.DataFrame({"list": name, "word": words, "frequency": 10 ** (-k / 100)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "list string, word string, frequency double")
