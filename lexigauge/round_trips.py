@@ -8,10 +8,11 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import ranking
+from .functions import templates
+from .operators import ranking, scorers
 from .queries import query
 from .session import table
 from .sources import binary, files, sinks, tasks
@@ -209,3 +210,45 @@ def stored_matrix_rows(spark, d):
     path = shared_folder(spark, "matrix") + "/a.npy"
     put(spark, path, held.getvalue())
     return binary.matrix_rows(spark, path).select("i", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+_TASK_FILES = {
+    "multi/_base_yaml": "dataset_path: org/data\ntest_split: test\nmetric_list:\n  - metric: acc\n    aggregation: mean\n",
+    "multi/t_0.yaml": "include: _base_yaml\ntask: t_0\nprocess_results: !function tie_handling.process_results\n",
+    "multi/t_1.yaml": "include: _base_yaml\ntask: t_1\nprocess_results: !function tie_handling.process_results_labeled\n",
+    "hanzi/t_2.yaml": "task: t_2\nprocess_results: !function utils.process_results\nmetric_list:\n  - metric: acc\n",
+    "global_piqa_parallel/t_3.yaml": "task: t_3\nprocess_results: !function utils.process_results\nmetric_list:\n  - metric: acc_norm\n",
+    "multi/t_4.yaml": "include: _base_yaml\ntask: t_4\n",
+}
+
+
+@query("""WITH c AS (SELECT 't_' || l_orderkey % 5 AS task, l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS k, -l_quantity AS s, 1 + l_suppkey % 7 AS nt, 1 + l_partkey % 11 AS nc, l_returnflag = 'R' AS unk, l_orderkey % 3 AS label FROM lineitem),
+r(task, metric, policy, len, g) AS (VALUES ('t_0', 'acc', 'part', '', 0), ('t_1', 'acc', 'part', '', -1), ('t_1', 'acc_norm', 'part', 'c', -1), ('t_2', 'acc', 'strict', '', 0), ('t_3', 'acc_norm', 'first', 't', -1), ('t_4', 'acc', 'first', '', -1), ('t_4', 'acc_norm', 'first', 'c', -1)),
+x AS (SELECT c.task, metric, policy, item, k, CASE len WHEN '' THEN s WHEN 'c' THEN s / nc ELSE s / nt END AS s, k = CASE WHEN g < 0 THEN label ELSE g END AS gold, policy = 'strict' AND unk AS bad FROM c JOIN r USING (task)),
+m AS (SELECT *, max(s) OVER (PARTITION BY task, metric, item) AS top FROM x),
+i AS (SELECT task, metric, policy, item, count(*) FILTER (s = top) AS n, bool_or(s = top AND gold) AS g, min(k) FILTER (s = top) AS first, min(k) FILTER (s = top AND gold) AS hit, bool_or(bad) AS bad FROM m GROUP BY 1, 2, 3, 4)
+SELECT task, metric, count(*) AS items, round(avg(CASE WHEN bad OR NOT g THEN 0 WHEN policy = 'part' THEN 1 / n WHEN policy = 'strict' THEN CASE WHEN n = 1 THEN 1 ELSE 0 END ELSE CASE WHEN hit = first THEN 1 ELSE 0 END END), 6) AS value FROM i GROUP BY 1, 2""")
+def scored_by_task_tags(spark, d):
+    """Tasks with five rules of scoring, read from their files, in one pass over all candidates."""
+    base = shared_folder(spark, "scorers")
+    for name, content in _TASK_FILES.items():
+        put(spark, f"{base}/{name}", content)
+    rows = table(spark, d, "lineitem")
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    rows = rows.select(F.concat(F.lit("t_"), F.col("l_orderkey") % 5).alias("task"), F.col("l_orderkey").alias("item_id"), k.alias("cand_idx"), (-F.col("l_quantity")).alias("score"), (1 + F.col("l_suppkey") % 7).alias("n_tokens"), (1 + F.col("l_partkey") % 11).alias("n_chars"), (F.col("l_returnflag") == "R").alias("has_unk"), (F.col("l_orderkey") % 3).cast("int").alias("label"))
+    out = scorers.task_scores(rows, tasks.registry(spark, base))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT p_partkey AS item_id, trim(p_name) || chr(10) || 'A. ' || p_brand || chr(10) || ' B. ' || upper(p_type) || CASE WHEN p_size > 25 THEN ' (large)' WHEN p_size = 1 THEN ' (one)' ELSE '' END || chr(10) || 'Answer:' AS prompt, p_brand || '|' || p_type AS choices, 1 AS gold FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, 'A|B|C|D', CASE WHEN p_size < 4 THEN CAST(p_size AS INT) ELSE -100 END FROM part WHERE p_partkey % 2 = 1""")
+def templated_prompts(spark, d):
+    """Prompts, choices and targets as task files write them: a template, or names of columns."""
+    base = shared_folder(spark, "templates")
+    put(spark, f"{base}/t_0.yaml", 'task: t_0\ndoc_to_text: "{{p_name.strip()}}\\nA. {{p_brand}}\\n\n  B. {{p_type|upper}}{% if p_size > 25 %} (large){% elif p_size == 1 %} (one){% endif %}\\nAnswer:"\ndoc_to_choice: \'{{[p_brand, p_type]}}\'\ndoc_to_target: 1\n')
+    put(spark, f"{base}/t_1.yaml", "task: t_1\ndoc_to_text: p_name\ndoc_to_choice:\n  - A\n  - B\n  - C\n  - D\ndoc_to_target: target\n")
+    specs = {r["name"]: r.asDict() for r in tasks.registry(spark, base).collect()}
+    target = F.when(F.col("p_size") < 4, F.get(F.array(*map(F.lit, "ABCD")), F.col("p_size").cast("int"))).otherwise("none")
+    parts = table(spark, d, "part").withColumn("target", target)
+    out = [templates.prompts(parts.where(F.col("p_partkey") % 2 == k), specs[f"t_{k}"]) for k in (0, 1)]
+    return out[0].union(out[1]).select(F.col("p_partkey").alias("item_id"), "prompt", F.array_join("choices", "|").alias("choices"), "gold")
