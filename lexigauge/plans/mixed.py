@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 #: Predictors of reading times; the baseline has those without surprisal. Fixed values.
 FULL_TERMS = ["Surprisal", "Surprisal1p", "Surprisal2p", "wordnum", "wlen", "wlen1p", "wlen2p", "freq", "freq1p", "freq2p"]
 BASE_TERMS = ["wordnum", "wlen", "wlen1p", "wlen2p", "freq", "freq1p", "freq2p"]
-#: Subjects whose statistics may come to the driver; beyond it each evaluation is an aggregation in Spark.
+#: Subjects whose statistics may come to the driver; beyond it each evaluation, of value and gradient, is one aggregation in Spark.
 DRIVER_SUBJECTS = 20_000
+#: Subjects whose blocks are handled at once.
+BLOCK = 2000
 _WORST = 1e18
 
 
@@ -37,7 +39,13 @@ def _unpack(n, xx, xy, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_sums(theta: np.ndarray, zz: np.ndarray, zy: np.ndarray) -> np.ndarray | None:
-    """What the deviance needs of subjects, summed: log-determinant, RZX'RZX, RZX'cu and cu'cu, as one vector; None if a block isn't positive definite."""
+    """What the deviance and its gradient need of subjects, summed, as one vector; None if a block isn't positive definite.
+
+    With A = T ZZ T + I for T = diag(theta): the log-determinant, RZX'RZX, RZX'cu, cu'cu; then
+    the log-determinant's derivatives, and for each component k the matrix M_k by which the
+    penalised sum of squares changes: minus twice (1, b)' M_k (1, b) at coefficients b. So
+    one pass serves both, though b is known only after it.
+    """
     p = len(theta)
     a = theta[None, :, None] * zz * theta[None, None, :] + np.eye(p)
     try:
@@ -47,73 +55,83 @@ def block_sums(theta: np.ndarray, zz: np.ndarray, zy: np.ndarray) -> np.ndarray
     logdet = 2 * np.log(np.diagonal(low, axis1=1, axis2=2)).sum()
     cu = np.linalg.solve(low, (theta * zy)[..., None])[..., 0]
     rzx = np.linalg.solve(low, theta[None, :, None] * zz)
-    return np.concatenate([[logdet], np.einsum("sij,sik->jk", rzx, rzx).ravel(), np.einsum("sij,si->j", rzx, cu), [(cu * cu).sum()]])
-
-
-def deviance(sums: np.ndarray | None, n: int, xx: np.ndarray, xy: np.ndarray, yy: float) -> float:
-    """The profiled deviance: log-determinant + n (1 + ln(2 pi r2 / n))."""
-    if sums is None:
-        return _WORST
+    inverse = np.linalg.inv(a)
+    down = inverse * theta[None, None, :]  # A^-1 T
+    turn = 2 * np.einsum("skj,sjk->k", zz, theta[None, :, None] * inverse)
+    w = np.concatenate([zy[..., None], -zz], 2)  # Z'(y - X b) = w (1, b)
+    u = down @ w
+    g = w - zz @ (theta[None, :, None] * u)
+    m = np.einsum("ski,skj->kij", u, g)
+    return np.concatenate([[logdet], np.einsum("sij,sik->jk", rzx, rzx).ravel(), np.einsum("sij,si->j", rzx, cu), [(cu * cu).sum()], turn, m.ravel()])
+
+
+def deviance(sums: np.ndarray | None, n: int, xx: np.ndarray, xy: np.ndarray, yy: float) -> tuple[float, np.ndarray]:
+    """The profiled deviance, log-determinant + n (1 + ln(2 pi r2 / n)), and its gradient."""
     p = len(xy)
-    rr = xx - sums[1 : 1 + p * p].reshape(p, p)
-    c = xy - sums[1 + p * p : 1 + p * p + p]
+    worst = _WORST, np.zeros(p)
+    if sums is None:
+        return worst
+    at = 1 + p * p
+    rr = xx - sums[1:at].reshape(p, p)
+    c = xy - sums[at : at + p]
     try:
-        cb = np.linalg.solve(np.linalg.cholesky(rr), c)
+        low = np.linalg.cholesky(rr)
     except np.linalg.LinAlgError:
-        return _WORST
-    r2 = yy - sums[-1] - float(cb @ cb)
-    return float(sums[0] + n * (1 + math.log(2 * math.pi * r2 / n))) if r2 > 0 else _WORST
+        return worst
+    cb = np.linalg.solve(low, c)
+    r2 = yy - sums[at + p] - float(cb @ cb)
+    if not r2 > 0:
+        return worst
+    b = np.concatenate([[1.0], np.linalg.solve(low.T, cb)])
+    turn, m = sums[at + p + 1 : at + 2 * p + 1], sums[at + 2 * p + 1 :].reshape(p, p + 1, p + 1)
+    return float(sums[0] + n * (1 + math.log(2 * math.pi * r2 / n))), turn - 2 * n / r2 * np.einsum("kij,i,j->k", m, b, b)
 
 
-def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float]:
-    """A minimum of f over non-negative vectors: quasi-Newton steps on the variables that aren't held at 0."""
-    x, value = start.copy(), f(start)
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float]:
+    """A minimum over non-negative vectors of f, which gives a value and a gradient: quasi-Newton steps on the variables that aren't held at 0.
+
+    f may be even in each variable, so that its gradient vanishes at 0: before the search
+    ends, each variable at 0 is tried a little above it.
+    """
+    x, (value, gradient) = start.copy(), f(start)
     h = np.eye(len(x))
-    gradient = _gradient(f, x)
     for _ in range(steps):
         free = (x > 0) | (gradient < 0)
-        if not free.any():
-            break
         d = np.zeros_like(x)
         d[free] = -h[np.ix_(free, free)] @ gradient[free]
-        if d @ gradient > -1e-16:
+        if free.any() and d @ gradient > -1e-16:
             h = np.eye(len(x))
             d = np.where(free, -gradient, 0)
         size, new = 1.0, None
-        while size > 1e-10:
+        while free.any() and size > 1e-10:
             y = np.maximum(x + size * d, 0)
-            v = f(y)
+            v, g = f(y)
             if v < value - 1e-4 * abs(gradient @ (y - x)):
-                new = y, v
+                new = y, v, g
                 break
             size /= 2
-        if new is None:
-            break
-        y, v = new
-        g = _gradient(f, y)
-        s, t = y - x, g - gradient
-        done = value - v < tol * (abs(value) + 1)
-        if s @ t > 1e-14:
-            rho = 1 / (s @ t)
-            left = np.eye(len(x)) - rho * np.outer(s, t)
-            h = left @ h @ left.T + rho * np.outer(s, s)
-        x, value, gradient = y, v, g
+        done = new is None
+        if new:
+            y, v, g = new
+            s, t = y - x, g - gradient
+            done = value - v < tol * (abs(value) + 1)
+            if s @ t > 1e-14:
+                rho = 1 / (s @ t)
+                left = np.eye(len(x)) - rho * np.outer(s, t)
+                h = left @ h @ left.T + rho * np.outer(s, s)
+            x, value, gradient = y, v, g
         if done:
-            break
+            for k in np.flatnonzero(x == 0):
+                y = x.copy()
+                y[k] = 0.01
+                v, g = f(y)
+                if v < value - tol * (abs(value) + 1):
+                    x, value, gradient, h, done = y, v, g, np.eye(len(x)), False
+            if done:
+                break
     return x, value
 
 
-def _gradient(f: Callable[[np.ndarray], float], x: np.ndarray) -> np.ndarray:
-    out = np.empty_like(x)
-    for k in range(len(x)):
-        e = 1e-5 * max(1.0, x[k])
-        up, down = x.copy(), x.copy()
-        up[k] += e
-        down[k] = max(down[k] - e, 0)
-        out[k] = (f(up) - f(down)) / (up[k] - down[k])
-    return out
-
-
 @dataclass(frozen=True)
 class MixedFit:
     n: int
@@ -135,13 +153,14 @@ def fit_statistics(stats: DataFrame, p: int) -> MixedFit:
         zz, zy = _unpack(rows["n"], np.array(rows["xx"].tolist()), rows["xy"].tolist(), p)
 
         def sums(theta):
-            return block_sums(theta, zz, zy)
+            parts = [block_sums(theta, zz[a : a + BLOCK], zy[a : a + BLOCK]) for a in range(0, len(zz), BLOCK)]
+            return None if any(x is None for x in parts) else sum(parts)
 
     else:
 
         def sums(theta):
             def run(frames):
-                for f in frames:
+                for f in (x.iloc[a : a + BLOCK] for x in frames for a in range(0, len(x), BLOCK)):
                     if len(f):
                         s = block_sums(theta, *_unpack(f["n"], np.array(f["xx"].tolist()), f["xy"].tolist(), p))
                         yield pd.DataFrame({"k": range(len(s)), "v": s}) if s is not None else pd.DataFrame({"k": [-1], "v": [0.0]})

@@ -48,8 +48,8 @@ def test_mixed_model(spark):
     y = rows.y.to_numpy()
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     rss = ((y - x @ beta) ** 2).sum()
-    zero = np.concatenate([[0.0], np.zeros(4), np.zeros(2), [0.0]])
-    assert mixed.deviance(zero, len(y), x.T @ x, x.T @ y, y @ y) == pytest.approx(len(y) * (1 + math.log(2 * math.pi * rss / len(y))))
+    zero = np.concatenate([[0.0], np.zeros(4), np.zeros(2), [0.0], np.zeros(2), np.zeros(2 * 9)])
+    assert mixed.deviance(zero, len(y), x.T @ x, x.T @ y, y @ y)[0] == pytest.approx(len(y) * (1 + math.log(2 * math.pi * rss / len(y))))
     assert fit.loglik > -len(y) / 2 * (1 + math.log(2 * math.pi * rss / len(y)))
     # the dense likelihood at the optimum
     dev = 0
@@ -127,3 +127,96 @@ def test_temperatures_by_group_are_those_of_each_group(spark):
         beta, kl = curves.best_beta(shares[own], scores[own])
         assert r.n == len(own) and r.beta == pytest.approx(beta, rel=1e-6) and r.kl == pytest.approx(kl, rel=1e-9)
     assert curves.beta_by_group(df.where("g = 'none'"), "g", "h", "m").count() == 0
+
+
+def _made(rng, subjects, p):
+    """A table of readings with slopes by subject, and its products by subject."""
+    names = [f"v{k}" for k in range(p - 1)]
+    fixed, spread = rng.normal(size=p), np.concatenate([[0.7], rng.uniform(0, 0.6, p - 1) * (rng.random(p - 1) < 0.6)])
+    rows, zz, zy, total = [], [], [], [np.zeros((p, p)), np.zeros(p), 0.0, 0]
+    for s in range(subjects):
+        n = int(rng.integers(15, 40))
+        z = np.column_stack([np.ones(n), rng.normal(size=(n, p - 1))])
+        y = z @ (fixed + spread * rng.normal(size=p)) + rng.normal(size=n)
+        rows += [(f"s{s}", float(v), *map(float, x[1:])) for v, x in zip(y, z, strict=True)]
+        zz.append(z.T @ z)
+        zy.append(z.T @ y)
+        total = [total[0] + zz[-1], total[1] + zy[-1], total[2] + y @ y, total[3] + n]
+    return rows, names, np.array(zz), np.array(zy), total
+
+
+@pytest.mark.parametrize("p", [2, 8, 11])
+def test_gradient_of_the_deviance(p):
+    rng = np.random.default_rng(p)
+    _, _, zz, zy, (xx, xy, yy, n) = _made(rng, 12, p)
+
+    def f(theta):
+        return mixed.deviance(mixed.block_sums(theta, zz, zy), n, xx, xy, yy)
+
+    for theta in (np.full(p, 1.0), rng.uniform(0.05, 1.5, p), np.where(np.arange(p) % 2, 0.3, 0.0)):
+        value, gradient = f(theta)
+        for k in range(p):
+            e = np.zeros(p)
+            e[k] = 1e-5
+            assert (f(theta + e)[0] - f(theta - e)[0]) / 2e-5 == pytest.approx(gradient[k], rel=1e-4, abs=1e-3)
+        # the plain deviance, with the whole covariance matrix of each subject
+        assert value == pytest.approx(f(np.abs(theta))[0])
+
+
+@pytest.mark.parametrize("p", [11, 8])
+def test_columns_of_the_full_and_the_base_model(spark, p):
+    """The optimum against a plain likelihood over whole covariance matrices, from many random directions; to a hundredth, as results are compared."""
+    rng = np.random.default_rng(40 + p)
+    rows, names, *_ = _made(rng, 20, p)
+    df = spark.createDataFrame(rows, ["subid", "y", *names])
+    fit = mixed.mixed_model(df, "subid", "y", names)
+    data = np.array([r[1:] for r in rows])
+    y, x = data[:, 0], data[:, 1:]
+    x = np.column_stack([np.ones(len(y)), (x - x.mean(0)) / x.std(0, ddof=1)])
+    subject = np.array([r[0] for r in rows])
+
+    def loglik(theta):
+        logdet, a, b, c = 0.0, np.zeros((p, p)), np.zeros(p), 0.0
+        for s in np.unique(subject):
+            z, v = x[subject == s], y[subject == s]
+            cov = np.eye(len(v)) + (z * theta**2) @ z.T
+            logdet += np.linalg.slogdet(cov)[1]
+            w = np.linalg.solve(cov, np.column_stack([z, v]))
+            a, b, c = a + z.T @ w[:, :p], b + z.T @ w[:, p], c + v @ w[:, p]
+        r2 = c - b @ np.linalg.solve(a, b)
+        return -(logdet + len(y) * (1 + math.log(2 * math.pi * r2 / len(y)))) / 2
+
+    theta = np.array(fit.theta)
+    assert fit.loglik == pytest.approx(loglik(theta), abs=1e-6)
+    for _ in range(60):
+        near = np.maximum(theta + rng.normal(size=p) * rng.choice([0.001, 0.01, 0.1]), 0)
+        assert loglik(near) <= fit.loglik + 1e-2
+
+
+def test_one_job_a_step(spark, monkeypatch):
+    """Beyond DRIVER_SUBJECTS each evaluation of value and gradient is one job, and the result is the same."""
+    rng = np.random.default_rng(9)
+    rows, names, *_ = _made(rng, 10, 4)
+    df = spark.createDataFrame(rows, ["subid", "y", *names])
+    stats = mixed.subject_statistics(df, "subid", F.col("y"), [F.lit(1.0), *map(F.col, names)]).cache()
+    here = mixed.fit_statistics(stats, 4)
+    monkeypatch.setattr(mixed, "DRIVER_SUBJECTS", 1)
+    monkeypatch.setattr(mixed, "BLOCK", 3)
+    asked = []
+    plain = mixed.deviance
+    monkeypatch.setattr(mixed, "deviance", lambda *a: asked.append(1) or plain(*a))
+    spark.sparkContext.setJobGroup("mixed", "")
+    try:
+        there = mixed.fit_statistics(stats, 4)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixed"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert there.loglik == pytest.approx(here.loglik, abs=1e-6) and there.theta == pytest.approx(here.theta, abs=1e-3)
+    # an adaptive plan runs an aggregation as one job a stage; the totals are one more
+    assert jobs <= 2 * (len(asked) + 1)
+
+
+def test_minimum_that_starts_at_an_even_saddle():
+    x, v = mixed.minimise(lambda t: (float((t[0] ** 2 - 1) ** 2 + t[1] ** 2), np.array([4 * t[0] * (t[0] ** 2 - 1), 2 * t[1]])), np.array([0.0, 1.0]))
+    assert v == pytest.approx(0, abs=1e-6) and x == pytest.approx([1, 0], abs=1e-3)
