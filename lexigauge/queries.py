@@ -793,15 +793,31 @@ def seeded_sample(spark, d):
 def streaming_resumable_counts(spark, d):
     """Counts through a stream over the table's files, resumed once; the folders are the session's shared one, or a temporary one locally."""
     base = round_trips.shared_folder(spark, "sweep")
-    e = table(spark, d, "events")
-    source = f"{d}/events.parquet"
-    stream = spark.readStream.schema(e.schema).parquet(source if _is_folder(spark, source) else d + "/events.parque*")
-    scores = stream.select(F.col("event_type").alias("task"), (F.col("user_id") % 3).cast("string").alias("revision"), F.col("event_id").alias("item_id"), (F.col("value") > 10).cast("double").alias("correct"))
+    scores = _event_stream(spark, d).select(F.col("event_type").alias("task"), (F.col("user_id") % 3).cast("string").alias("revision"), F.col("event_id").alias("item_id"), (F.col("value") > 10).cast("double").alias("correct"))
     for _ in range(2):  # the second finds nothing new
         sweeps.resumable_counts(scores, f"{base}/out", f"{base}/checkpoint")
     return sweeps.totals(spark, f"{base}/out")
 
 
+def _event_stream(spark, d):
+    source = f"{d}/events.parquet"
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(source if _is_folder(spark, source) else d + "/events.parque*")
+
+
+@query("""WITH e AS (SELECT event_type AS task, CAST(user_id % 3 AS VARCHAR) AS revision, day(ts) AS step, event_id % 40 AS item, CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END AS c FROM events),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY task, revision, step ORDER BY item) AS k, row_number() OVER (PARTITION BY task, revision, step, item ORDER BY c DESC) AS again FROM e),
+f AS (SELECT task, revision, step, max(k) >= 12 AS done FROM r GROUP BY 1, 2, 3)
+SELECT r.task, r.revision, count(*) FILTER (k <= 12 AND again = 1) AS n, CAST(sum(c) FILTER (k <= 12 AND again = 1) AS DOUBLE) AS correct, (SELECT string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) FROM f WHERE f.task = r.task AND f.revision = r.revision AND done) AS finished, count(*) FILTER (k < 12 AND again > 1) AS repeated, count(*) FILTER (k > 12 OR k = 12 AND again > 1) AS late FROM r GROUP BY r.task, r.revision""")
+def streaming_sweep_states(spark, d):
+    """A sweep's progress kept as state by key, through a stream over the table's files, taken up again once."""
+    base = round_trips.shared_folder(spark, "states")
+    scores = _event_stream(spark, d).select(F.col("event_type").alias("task"), (F.col("user_id") % 3).cast("string").alias("revision"), F.dayofmonth("ts").cast("long").alias("step"), (F.col("event_id") % 40).alias("item_id"), (F.col("value") > 10).cast("double").alias("correct"))
+    for _ in range(2):  # the second finds nothing new
+        sweeps.sweep_states(scores, 12, f"{base}/out", f"{base}/checkpoint")
+    out = sweeps.progress(spark, f"{base}/out")
+    return out.withColumn("finished", F.nullif(F.array_join("finished", ","), F.lit("")))
+
+
 def _is_folder(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.sinks import append_step
 
@@ -39,3 +43,93 @@ def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type
 
 def sessions(events: DataFrame, user: str = "user_id", time: str = "ts", gap: str = "1 hour", late: str = "1 day") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+#: Item scores of a sweep over checkpoints: each item once for each step of a model's revision.
+STEP_SCORES = "task string, revision string, step long, item_id long, correct double"
+SWEEP = "task string, revision string, n long, correct double, finished array<long>, repeated long, late long"
+
+
+class SweepState(StatefulProcessor):
+    """The progress of one (task, revision), kept by key: counts, the items of each open step, the finished steps.
+
+    A step is finished once it has `size` items; its items are then forgotten. A row for an
+    item that its step already has is a repeat: the first one counts. A row for a finished
+    step is late and doesn't count. Rows without a step or an item don't count at all. So
+    what a key keeps is bounded by its open steps.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "n long, correct double, repeated long, late long")
+        self.open = handle.getMapState("open", "step long, item_id long", "correct double")
+        self.filled = handle.getMapState("filled", "step long", "n long")
+        self.done = handle.getMapState("done", "step long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        n, correct, repeated, late = self.sums.get() if self.sums.exists() else (0, 0.0, 0, 0)
+        for frame in rows:
+            frame = frame.dropna(subset=["step", "item_id"])
+            # rows of one frame (one batch, but for keys with very many rows in it) go by step, item and score, however they were dealt
+            frame = frame.sort_values(["step", "item_id", "correct"], ascending=[True, True, False], kind="stable")
+            for step, own in frame.groupby("step", sort=True):
+                step = int(step)
+                if self.done.containsKey((step,)):
+                    late += len(own)
+                    continue
+                count = self.filled.getValue((step,))[0] if self.filled.containsKey((step,)) else 0
+                for item, score in zip(own["item_id"].tolist(), own["correct"].fillna(0.0).tolist(), strict=True):
+                    at = (step, int(item))
+                    if count >= self.size:
+                        late += 1
+                    elif self.open.containsKey(at):
+                        repeated += 1
+                    else:
+                        self.open.updateValue(at, (float(score),))
+                        count, n, correct = count + 1, n + 1, correct + float(score)
+                if count >= self.size:
+                    self.done.updateValue((step,), (count,))
+                    if self.filled.containsKey((step,)):
+                        self.filled.removeKey((step,))
+                    for at in [k for k, _ in self.open.iterator() if k[0] == step]:
+                        self.open.removeKey(tuple(at))
+                else:
+                    self.filled.updateValue((step,), (count,))
+        self.sums.update((n, correct, repeated, late))
+        yield pd.DataFrame({"task": [key[0]], "revision": [key[1]], "n": [n], "correct": [correct], "finished": [sorted(int(s[0]) for s in self.done.keys())], "repeated": [repeated], "late": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+def sweep_states(scores: DataFrame, size: int, out: str, checkpoint: str) -> None:
+    """Runs a stream of STEP_SCORES to the end of what has come, with state by (task, revision), and appends each changed key's progress (SWEEP) to parquet under out.
+
+    Stopped and started again with the same checkpoint folder it goes on where it was, in any
+    store that Spark knows; a micro-batch that runs twice replaces its own rows. progress()
+    reads one row a key. The state is kept by RocksDB on the executors, with changes in the
+    checkpoint folder, so a lost executor loses nothing.
+    """
+    spark = scores.sparkSession
+    states = scores.groupBy("task", "revision").transformWithStateInPandas(SweepState(size), outputStructType=SWEEP, outputMode="Update", timeMode="None")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        append_step(batch.withColumn("batch", F.lit(number)), out, "batch")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def progress(spark: SparkSession, out: str) -> DataFrame:
+    """(task, revision, n, correct, finished, repeated, late): the newest row of each key."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in ("task", "revision")]
+    newest = F.max_by(F.struct(*rest), "batch").alias("r")
+    return rows.groupBy("task", "revision").agg(newest).select("task", "revision", *[f"r.{c}" for c in ("n", "correct", "finished", "repeated", "late")])
