@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, text, tokens
-from .operators import checks, collate, decode, frames, frequency, metrics, ngrams, ranking, splits
+from .operators import checks, collate, decode, frames, frequency, inputs, metrics, ngrams, ranking, splits
 from .plans import curves, mixed, regression
 from .session import table
 from .streaming import sweeps
@@ -483,6 +483,56 @@ def context_window_anchor(spark, d):
     return o.select("conv_id", "turn", w["a"].cast("long").alias("a"), w["b"].cast("long").alias("b"))
 
 
+def _conversation_items(spark, d):
+    """Words stand in for tokens, their lengths for ids; the phrase is what follows the tenth character from the end."""
+    o = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    ends = o.select(F.col("conv_id").alias("item_id"), F.col("turn").cast("int").alias("cand_idx"), "w", tokens.word_ends(F.col("w")).alias("ends"))
+    offsets = F.transform("ends", lambda e, i: F.struct((e - F.length(F.get("w", i))).alias("start"), e.alias("end")))
+    return ends.select("item_id", "cand_idx", F.transform("w", F.length).alias("ids"), offsets.alias("offsets"), (F.coalesce(F.element_at("ends", -1), F.lit(0)) - 10).alias("phrase_start"))
+
+
+_PHRASES = r"w AS (SELECT conv_id, turn, coalesce(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), []) AS w FROM conversations), t AS (SELECT conv_id, turn, w, unnest(range(0, len(w))) AS i FROM w), e AS (SELECT conv_id, turn, w, i, length(array_to_string(w[1:i + 1], ' ')) AS upto, length(array_to_string(w, ' ')) - 10 AS lo FROM t), p AS (SELECT * FROM e WHERE upto > lo)"
+
+
+@query(f"""WITH {_PHRASES} SELECT conv_id AS item_id, CAST(turn AS INT) AS cand_idx, 'masked' AS kind, CAST(i AS INT) AS place, array_to_string(list_transform(w, lambda x, k: CASE WHEN k = i + 1 THEN -1 ELSE length(x) END), ' ') AS inputs, CAST(i AS VARCHAR) AS read_at, CAST(length(w[i + 1]) AS VARCHAR) AS targets FROM p
+UNION ALL SELECT conv_id, CAST(turn AS INT), 'next', CAST(i AS INT), array_to_string(list_transform(w, lambda x, k: CASE WHEN k = i + 1 THEN -1 ELSE length(x) END), ' '), CAST(i - 1 AS VARCHAR), CAST(length(w[i + 1]) AS VARCHAR) FROM p WHERE i > 0
+UNION ALL SELECT conv_id, CAST(turn AS INT), 'causal', NULL, any_value(array_to_string(list_transform(w, lambda x: length(x)), ' ')), string_agg(CAST(i - 1 AS VARCHAR), ' ' ORDER BY i), string_agg(CAST(length(w[i + 1]) AS VARCHAR), ' ' ORDER BY i) FROM p WHERE i > 0 GROUP BY 1, 2
+UNION ALL SELECT conv_id, CAST(turn AS INT), 'whole', NULL, any_value(array_to_string(list_transform(w, lambda x, k: CASE WHEN k > len(w) - n THEN -1 ELSE length(x) END), ' ')), string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i), string_agg(CAST(length(w[i + 1]) AS VARCHAR), ' ' ORDER BY i) FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM p) GROUP BY 1, 2""")
+def masked_model_inputs(spark, d):
+    items = _conversation_items(spark, d)
+    out = None
+    for kind in ("masked", "next", "causal", "whole"):
+        rows = inputs.masked_inputs(items, kind, mask=-1).select("item_id", "cand_idx", F.lit(kind).alias("kind"), "place", *[F.array_join(c, " ").alias(c) for c in ("inputs", "read_at", "targets")])
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"""WITH {_PHRASES}, r AS (SELECT conv_id, turn, i, len(w) AS length, row_number() OVER (PARTITION BY len(w) ORDER BY conv_id, turn, i) - 1 AS n FROM p)
+SELECT conv_id AS item_id, CAST(turn AS INT) AS cand_idx, CAST(i AS INT) AS place, CAST(length AS INT) AS length, CAST(n // greatest(256 // length, 1) AS BIGINT) AS batch, CAST(n % greatest(256 // length, 1) AS INT) AS slot FROM r""")
+def masked_input_batches(spark, d):
+    rows = inputs.masked_inputs(_conversation_items(spark, d), "masked", mask=-1)
+    return inputs.token_batches(rows, F.size("inputs"), F.col("item_id") * 1_000_000_000 + F.col("cand_idx") * 1_000_000 + F.col("place"), 256).select("item_id", "cand_idx", "place", "length", "batch", "slot")
+
+
+@query(r"""WITH f AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS full_text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+w AS (SELECT c.conv_id, turn, text, full_text, coalesce(sum(length(text) + 1) OVER (PARTITION BY c.conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE text IS NOT NULL),
+m AS (SELECT *, string_split(substr(full_text, 1, CAST(start AS BIGINT)) || '*' || text || '*', '*') AS parts FROM w), s AS (SELECT conv_id, turn, full_text, length(parts[1]) AS lo, length(parts[1]) + length(parts[2]) AS hi, substr(full_text, length(parts[1]) + 1, length(parts[2])) = parts[2] AS fits FROM m),
+g AS (SELECT conv_id, bool_and(fits) AS all_fit FROM s GROUP BY conv_id), tl AS (SELECT conv_id, list_filter(regexp_split_to_array(full_text, ' '), lambda x: true) AS t FROM f), tk AS (SELECT conv_id, i, len(t) AS n, sum(length(t[i]) + 1) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS e FROM (SELECT conv_id, t, unnest(range(1, len(t) + 1)) AS i FROM tl)),
+h AS (SELECT s.conv_id, turn, min(i) - 1 AS first, max(i) - 1 AS last, max(n) AS n FROM s JOIN tk ON tk.conv_id = s.conv_id AND e > lo AND e <= hi GROUP BY 1, 2),
+x AS (SELECT s.conv_id, s.turn, CASE WHEN NOT all_fit THEN 'alone' WHEN last IS NULL THEN 'none' ELSE 'window' END AS kind, CASE WHEN last < 40 THEN 0 ELSE least(greatest(0, last + 1 - 40), first) END AS a, CASE WHEN last < 40 THEN least(n, 40) ELSE last + 1 END AS b FROM s JOIN g USING (conv_id) LEFT JOIN h ON h.conv_id = s.conv_id AND h.turn = s.turn)
+SELECT conv_id AS passage, kind, CAST(CASE WHEN kind = 'window' THEN a END AS INT) AS a, CAST(CASE WHEN kind = 'window' THEN b END AS INT) AS b, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS words FROM x GROUP BY 1, 2, 3, 4""")
+def passage_window_plan(spark, d):
+    """A conversation is a passage, its turns are the words, and what stands between blanks the tokens."""
+    c = table(spark, d, "conversations").where("text is not null")
+    full = c.groupBy(F.col("conv_id").alias("passage")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("full_text"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = c.select(F.col("conv_id").alias("passage"), F.col("turn").alias("word"), "text", before.cast("int").alias("at")).join(full, "passage")
+    rows = rows.select("passage", "word", "full_text", F.concat(F.substring(F.col("full_text"), F.lit(1), F.col("at")), F.lit("*"), "text", F.lit("*")).alias("marked"))
+    ends = full.select("passage", tokens.word_ends(F.split("full_text", " ")).alias("ends"))
+    out = inputs.passage_windows(rows, ends, 40)
+    return out.select("passage", "kind", "a", "b", F.array_join(F.transform("words", lambda x: x["word"].cast("string")), ",").alias("words"))
+
+
 @query("SELECT l_orderkey AS item, round(exp(sum(ln(1 - l_discount))), 5) AS p, round(0 - sum(ln(1 - l_discount)), 5) AS surprisal, count(*) AS n_tokens FROM lineitem GROUP BY 1")
 def word_probability(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), (1 - F.col("l_discount")).alias("p"))
