@@ -125,7 +125,7 @@ class Slots:
     """
 
     def __init__(self, keys: np.ndarray):
-        self.bits, self.sizes, self.n = [], [], len(keys)
+        self.bits, self.sizes = [], []
         left, level = keys, 0
         while len(left):
             size = max(64, -(-len(left) * 5 // 4 // 64) * 64)
@@ -137,6 +137,17 @@ class Slots:
             if level > 200:
                 raise ValueError("keys must be distinct")
         self.bits = np.concatenate(self.bits) if self.bits else np.zeros(1, np.uint64)
+        self._count()
+
+    @classmethod
+    def of(cls, bits: np.ndarray, sizes: list[int]) -> Slots:
+        """A hash again from its bits and the sizes of its levels."""
+        out = object.__new__(cls)
+        out.bits, out.sizes = bits, sizes
+        out._count()
+        return out
+
+    def _count(self) -> None:
         self.before = np.zeros(len(self.bits) + 1, np.int64)
         np.cumsum(np.bitwise_count(self.bits), out=self.before[1:])
 

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .arrays import Slots
 
-#: A word in fewer than this share of documents weighs as one in so many. Only words in more are broadcast: at most 1 / RARE times the mean number of distinct words of a document.
-RARE = 1e-4
+#: Distinct words whose counts may be broadcast, in about 1.4 bytes each; beyond it each text gets its words' counts by joins.
+WORDS = 32_000_000
+#: Words of one minimal perfect hash.
+BUCKET = 1 << 17
 #: Words whose counts a task holds before it passes them on.
 HELD = 1 << 20
 #: Bytes of texts whose shingles a task holds while it compares what a bucket has left.
@@ -31,22 +34,42 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Weights:
-    """Inverse document frequencies by words' hashes: 1 + ln((1 + documents) / (1 + documents with the word))."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int):
-        order = np.argsort(hashes)
-        self.hashes, self.rest = hashes[order], 1 + np.log((1 + documents) / (1 + documents * RARE))
-        self.values = 1 + np.log((1 + documents) / (1 + counts[order]))
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), self.rest)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], self.rest)
+    """Inverse document frequencies by words' hashes: 1 + ln((1 + documents) / (1 + documents with the word)).
 
+    parts: of each bucket of hashes a minimal perfect hash and the counts by slot. Only words that
+    were counted are looked up, so the hash needs no keys. Without parts, counts come with the texts.
+    """
 
-def word_weights(docs: DataFrame) -> Weights:
-    """The weights of all words of docs (text), each word counted by itself, in one pass; counts are summed in each task first."""
+    def __init__(self, documents: int, parts: list[tuple] | None):
+        self.documents, self.parts = documents, parts
+
+    def __call__(self, h: np.ndarray, row: np.ndarray, own: list[bytes | None] | None = None) -> np.ndarray:
+        n = np.zeros(len(h), np.int64)
+        if self.parts is None:
+            ends = np.searchsorted(row, np.arange(len(own) + 1))
+            for r, packed in enumerate(own):
+                if packed:
+                    known = np.frombuffer(packed, np.uint64).reshape(2, -1)
+                    n[ends[r] : ends[r + 1]] = known[1, np.searchsorted(known[0], h[ends[r] : ends[r + 1]])]
+        elif len(h):
+            bucket = buckets(h, len(self.parts))
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(len(self.parts) + 1))
+            for k, (slots, counts, many, much) in enumerate(self.parts):
+                at = order[ends[k] : ends[k + 1]]
+                found = counts[slots.slot(h[at])].astype(np.int64)
+                big = found == 255
+                found[big] = much[np.searchsorted(many, h[at][big])]
+                n[at] = found
+        return 1 + np.log((1 + self.documents) / (1 + n))
+
+
+def buckets(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): in how many of docs (text) each word is, counted by itself, and the number of documents at a null h, in one pass; counts are summed in each task first."""
     most = HELD
 
     def run(batches):
@@ -72,21 +95,81 @@ def word_weights(docs: DataFrame) -> Weights:
         yield rows()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["h", "n"])
 
-    counted = common.cut(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def with_weights(docs: DataFrame) -> tuple[DataFrame, Weights]:
+    """(docs (id, text) with own, the weights of all their words by exact counts).
+
+    Counts of WORDS words at most are broadcast: tasks build a minimal perfect hash for each
+    bucket of about BUCKET words, with a byte a word by slot (words in 255 documents or more
+    are listed), and only those bytes come together. Of more words nothing is broadcast: own
+    holds the counts of a text's words, joined by word and collected by text, where words and
+    texts that are in very many rows are dealt to several tasks.
+    """
+    counted = common.cut(word_counts(docs.select("text")))
     documents = counted.where("h is null").agg(F.sum("n")).first()[0] or 0
-    common_ = counted.where(F.col("h").isNotNull() & (F.col("n") > documents * RARE)).toPandas()
+    counts = counted.where("h is not null")
+    n = counts.count()
+    if n > WORDS:
+        return _with_own(docs, common.cut(counts)), Weights(documents, None)
+    size = max(1, -(-n // BUCKET))
+
+    def build(key, table):
+        h, own = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        slots = Slots(h)
+        by_slot = np.empty(len(h), np.uint8)
+        by_slot[slots.slot(h)] = np.minimum(own, 255)
+        big = np.flatnonzero(own >= 255)
+        big = big[np.argsort(h[big])]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "sizes": pa.array([slots.sizes], pa.list_(pa.int64())), "bits": pa.array([slots.bits.tobytes()], pa.binary()), "counts": pa.array([by_slot.tobytes()], pa.binary()), "many": pa.array([h[big].tobytes()], pa.binary()), "much": pa.array([own[big].astype(np.int64).tobytes()], pa.binary())})
+
+    # the bucket of a hash, as in buckets()
+    bucket = F.shiftright(F.shiftrightunsigned("h", 32) * size, 32)
+    built = counts.groupBy(bucket.alias("bucket")).applyInArrow(build, "bucket long, sizes array<long>, bits binary, counts binary, many binary, much binary").collect()
+    parts = [(Slots(np.empty(0, np.uint64)), np.zeros(1, np.uint8), np.empty(0, np.uint64), np.empty(0, np.int64))] * size
+    for r in built:
+        parts[r["bucket"]] = (Slots.of(np.frombuffer(r["bits"], np.uint64), r["sizes"]), np.frombuffer(r["counts"], np.uint8), np.frombuffer(r["many"], np.uint64), np.frombuffer(r["much"], np.int64))
     common.forget(counted)
-    return Weights(common_["h"].to_numpy(np.int64).view(np.uint64), common_["n"].to_numpy(np.int64), documents)
+    return docs.withColumn("own", F.lit(None).cast("binary")), Weights(documents, parts)
+
+
+def _with_own(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """docs with own: a text's distinct words' hashes in order, then their counts."""
+
+    def words(batches):
+        common.worker_state("near_duplicates")
+        for batch in common.slices(batches, "text"):
+            data, offsets = common.text_buffers(batch.column("text"))
+            h, row = _word_hashes(data, offsets)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(row[new])), pa.array(h[new].view(np.int64))], names=["text_key", "h"])
+
+    def pack(key, table):
+        h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        return pa.table({"text_key": pa.array([key[0].as_py()], pa.binary()), "own": pa.array([np.concatenate([h[order], n[order]]).tobytes()], pa.binary())})
+
+    docs = docs.withColumn("text_key", F.unhex(F.sha2("text", 256)))
+    copies = common.counted(docs.where("text is not null"), ["text_key"])
+    asked = docs.where("text is not null").dropDuplicates(["text_key"]).select("text_key", "text").mapInArrow(words, "text_key binary, h long")
+    found = common.spread_join(asked, counts, ["h"], "text_key", common.hot_keys(counts, ["h"]))
+    own = found.groupBy("text_key").applyInArrow(pack, "text_key binary, own binary")
+    out = common.spread_join(docs, own, ["text_key"], "id", common.hot_keys(copies, ["text_key"]), "left").select("id", "text", "own")
+    return common.cut(out)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, weights: Weights, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingles(data: np.ndarray, offsets: np.ndarray, weights: Weights, k: int, own: list[bytes | None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its distinct shingles' hashes, sorted, and their weights.
 
     A weight is the count in the row times the mean inverse document frequency of the
     shingle's words. A row of fewer than k words, but not none, has them all as one shingle.
     """
     h, row = _word_hashes(data, offsets)
-    total = np.concatenate([[0.0], np.cumsum(weights(h))])
+    total = np.concatenate([[0.0], np.cumsum(weights(h, row, own))])
     prefix = common.prefix_hash(h)
     ends = np.searchsorted(row, np.arange(len(offsets)), side="left")
     for r in range(len(offsets) - 1):
@@ -143,13 +226,13 @@ def signatures(docs: DataFrame, weights, k: int, bands: int, per_band: int) -> D
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_buffers(batch.column("text"))
             out, raw = [], []
-            for hashes, weight in shingles(data, offsets, w, k):
+            for hashes, weight in shingles(data, offsets, w, k, batch.column("own").to_pylist()):
                 s = weighted_samples(hashes, weight, bands * per_band) if len(hashes) else np.empty(0, np.uint64)
                 raw.append(s.astype(np.uint32).tobytes())
                 out.append(common.mix((s.reshape(-1, per_band) * scale).sum(axis=1, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(raw, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "text_key", "samples", "bands"])
 
-    rows = docs.select("id", "text", F.unhex(F.sha2("text", 256)).alias("text_key"))
+    rows = docs.select("id", "text", "own", F.unhex(F.sha2("text", 256)).alias("text_key"))
     return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text_key binary, samples binary, bands array<long>")
 
 
@@ -182,7 +265,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float, sh
     partners = common.cut(common.counted(pairs, ["y"]))
     dealt = common.spread_join(pairs, partners, ["y"], "x", common.hot_keys(partners, ["y"])).withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / share)).cast("int"))
     asked = common.cut(dealt.select("y", "part", F.col("x").alias("id"), F.lit(1).alias("role")).union(dealt.select("y", "part", F.col("y").alias("id"), F.lit(0)).distinct()))
-    rows = docs.select("id", "text").join(common.broadcast_if_small(asked), "id")
+    rows = docs.select("id", "text", "own").join(common.broadcast_if_small(asked), "id")
     rows = rows.repartition(n, "y", "part").sortWithinPartitions("y", "part", "role")
 
     def run(batches):
@@ -192,10 +275,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, weights, k: int, least: float, sh
             data, offsets = common.text_buffers(batch.column("text"))
             y, part, role, x = (batch.column(c).to_pylist() for c in ("y", "part", "role", "id"))
             found = []
-            for i, own in enumerate(shingles(data, offsets, w, k)):
+            for i, mine in enumerate(shingles(data, offsets, w, k, batch.column("own").to_pylist())):
                 if role[i] == 0:
-                    now, held = (y[i], part[i]), own
-                elif (y[i], part[i]) == now and similar(held, own, least):
+                    now, held = (y[i], part[i]), mine
+                elif (y[i], part[i]) == now and similar(held, mine, least):
                     found.append(i)
             t = batch.column("id").type
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], t), pa.array([y[i] for i in found], t)], names=["a", "b"])
@@ -266,9 +349,9 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
             comp, *rest = table(group)
             found = [np.concatenate(x) for x in zip(*_candidates(comp, *rest), strict=True)]
             order = np.argsort(-found[2].astype(int), kind="stable")
-            texts, sets, size = group.column("text"), {}, 0
+            texts, owns, sets, size = group.column("text"), group.column("own"), {}, 0
 
-            def of(i, texts=texts, sets=sets):
+            def of(i, texts=texts, owns=owns, sets=sets):
                 nonlocal size
                 if i not in sets:
                     data, offsets = common.text_buffers(texts.slice(i, 1))
@@ -276,7 +359,7 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
                     if size > memory:
                         sets.clear()
                         size = len(data)
-                    sets[i] = next(iter(shingles(data, offsets, w, k)))
+                    sets[i] = next(iter(shingles(data, offsets, w, k, [owns[i].as_py()])))
                 return sets[i]
 
             root: dict = {}
@@ -299,7 +382,7 @@ def _join_apart(rows: DataFrame, docs: DataFrame, weights, k: int, least: float,
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], t), pa.array([ids[j] for _, j in links], t)], names=["a", "b"])
 
     ids = common.cut(picked.select("id").distinct())
-    texts = docs.select("id", "text").join(common.broadcast_if_small(ids), "id", "left_semi")
+    texts = docs.select("id", "text", "own").join(common.broadcast_if_small(ids), "id", "left_semi")
     return picked.join(texts, "id").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -324,7 +407,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    weights = spark.sparkContext.broadcast(word_weights(docs.select("text")))
+    docs, weights = with_weights(docs)
+    weights = spark.sparkContext.broadcast(weights)
     signed = common.cut(signatures(docs, weights, k, bands, per_band))
     texts = common.cut(signed.where("text_key is not null").groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     # only copies need a join to learn what stands for them

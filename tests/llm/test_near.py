@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigauge.llm import common, near_duplicates as module
@@ -95,26 +96,58 @@ def test_odd_rows(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
-def test_words_are_counted_one_by_one(spark, monkeypatch):
-    """More words than any table of cells would keep apart, and the weight of rare ones."""
+@pytest.mark.parametrize("most", [32_000_000, 0])
+def test_words_are_counted_one_by_one(spark, monkeypatch, most):
+    """More words than any table of cells would keep apart, words in more documents than a byte counts, and both ways by which counts come."""
     rng = random.Random(2)
-    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(3000)) for _ in range(220)] + [None, "", "W7 w7 x"]
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(3000)) for _ in range(220)] + [None, "", "W7 w7 x"] + ["often said"] * 300
     monkeypatch.setattr(module, "HELD", 5000)
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(module, "BUCKET", 1 << 14)
+    monkeypatch.setattr(module, "WORDS", most)
+    monkeypatch.setattr(common, "HOT_ROWS", 200)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     df = defaultdict(int)
     for t in texts:
         for w in {x.lower() for x in (t or "").split()}:
             df[w] += 1
     assert len(df) > 1 << 18
-    for rare in (1e-5, 2 / len(texts)):
-        monkeypatch.setattr(module, "RARE", rare)
-        w = module.word_weights(frame)
-        some = sorted(df)[::997]
-        import pyarrow as pa
-
-        h, _ = module._word_hashes(*common.text_buffers(pa.array([" ".join(some)])))
-        n = len(texts)
-        assert np.allclose(w(h), [1 + np.log((1 + n) / (1 + max(df[x], rare * n))) for x in some])
+    docs, w = module.with_weights(frame)
+    rows = {r.id: r for r in docs.collect()}
+    assert len(rows) == len(texts) and all(rows[i].text == t for i, t in enumerate(texts))
+    n = len(texts)
+    for i in (0, 7, 219, 220, 221, 222, 400):
+        h, row = module._word_hashes(*common.text_buffers(pa.array([texts[i]], pa.string())))
+        assert np.allclose(w(h, row, [rows[i].own]), [1 + np.log((1 + n) / (1 + df[x.lower()])) for x in (texts[i] or "").split()])
+
+
+def test_classes_by_words_counts_joined(spark, monkeypatch):
+    monkeypatch.setattr(module, "WORDS", 0)
+    test_against_brute_force(spark, monkeypatch, 5, 4, 3000)
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rare_words_weigh_as_rare_as_they_are(spark):
+    """Two texts that differ in one word, among 24,000: with rare words as heavy as they are, they aren't similar; weighed as words in one of 10,000 documents, they would be."""
+    rng = random.Random(8)
+    vocabulary = [f"c{i}" for i in range(178)]
+    base = rng.sample(vocabulary, 89)
+    texts = [" ".join(rng.sample(vocabulary, 89)) for _ in range(24_000)]
+    texts += [" ".join([*base[:44], w, *base[45:]]) for w in ("rarely", "seldom")]
+    df = defaultdict(int)
+    for t in texts:
+        for x in set(t.split()):
+            df[x] += 1
+    n = len(texts)
+
+    def similarity(least):
+        idf = {x: 1 + np.log((1 + n) / (1 + max(c, least))) for x, c in df.items()}
+        a, b = ([sum(idf[x] for x in t.split()[i : i + 5]) / 5 for i in range(85)] for t in texts[-2:])
+        both = sum(x for k, x in enumerate(a) if not 40 <= k <= 44)
+        return both / (sum(a) + sum(b) - both)
+
+    assert similarity(0) < 0.8 < similarity(1e-4 * n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert near_duplicates(docs).where("class_id <> id").count() == 0
 
 
 def test_recall_at_the_limit(spark):
