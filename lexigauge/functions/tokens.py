@@ -28,6 +28,26 @@ def word_ends(words: Column) -> Column:
     return running(F.transform(words, lambda w: F.length(w)))
 
 
+def prefix_hashes(words: Column, base: int = 0x9E3779B97F4A7C15, seed: int = 0) -> Column:
+    """A 64-bit hash of each prefix of an array of strings: of the first, the first two and so on; in time linear in its size. base is odd; two bases and seeds give 128 bits."""
+
+    @F.arrow_udf("array<bigint>")
+    def running(hashes: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(size)])
+        own = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(own), x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: len(own)], dtype=np.uint64)])
+        start = np.repeat(first[:-1], size)
+        out = (total[1:] - total[start]) * down[start]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out.view(np.int64)), mask=hashes.is_null())
+
+    return running(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))
+
+
 def word_positions(ends: Column, start: Column, end: Column) -> Column:
     """Places of the tokens that end in (start, end]: each real token belongs to one word, and lone spaces between words to none. ends doesn't fall."""
     return F.filter(F.transform(ends, lambda e, i: F.when((e > start) & (e <= end), i)), lambda i: i.isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, words
+from ..functions.tokens import prefix_hashes
 
 
 def prefix_contexts(docs: DataFrame, text: str = "text", most: int | None = None, context: int | None = None, by_sentence: bool = False) -> DataFrame:
@@ -27,6 +28,56 @@ def prefix_contexts(docs: DataFrame, text: str = "text", most: int | None = None
     return rows.select(F.array_join(F.slice("t", start, F.col("i") - start + 1), " ").alias("context"), F.get("t", F.col("i")).alias("next_word"))
 
 
+def hashed_contexts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, size, next_word, at): the context before each word of each sentence but its first, however long, as 128 bits and a number of words.
+
+    at: (key, sentence, size) says where it stands; a context's words are written out only for
+    the rows that are put out (see with_context). So a word's row takes the same bytes
+    wherever it stands, where the contexts themselves grow with the square of a sentence.
+    """
+    rows = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sentence", "s")).select(key, "sentence", words(F.col("s")).alias("t"))
+    # as a generated row, so that the words aren't split off again for each use
+    rows = rows.select(key, "sentence", F.explode(F.when(F.size("t") > 1, F.array("t"))).alias("t"))
+    rows = rows.select(key, "sentence", "t", prefix_hashes(F.col("t")).alias("a"), prefix_hashes(F.col("t"), 0xD6E8FEB86659FD93, 1).alias("b"))
+    each = F.arrays_zip(F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("b", 1, F.size("b") - 1).alias("b"), F.slice("t", 2, F.size("t") - 1).alias("w"))
+    rows = rows.select(key, "sentence", F.posexplode(each).alias("i", "c"))
+    size = (F.col("i") + 1).alias("size")
+    return rows.select("c.a", "c.b", size, F.col("c.w").alias("next_word"), F.struct(key, "sentence", size).alias("at"))
+
+
+def hashed_counts(contexts: DataFrame) -> DataFrame:
+    """(a, b, size, next_word, n, at) of each pair of a context and the word after it; at: where it stands first. Combined before the shuffle."""
+    return contexts.groupBy("a", "b", "size", "next_word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+
+
+def hashed_statistics(counts: DataFrame) -> DataFrame:
+    """(a, b, size, n, distinct_next, frequency, log_per_million, at) of each context of hashed_counts; the total is one broadcast row."""
+    per = counts.groupBy("a", "b", "size").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_next"), F.min("at").alias("at"))
+    out = per.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    share = F.col("n") / F.col("total")
+    return out.select("a", "b", "size", "n", "distinct_next", share.alias("frequency"), F.log10(share * 1e6).alias("log_per_million"), "at")
+
+
+def top_hashed(counts: DataFrame, targets: DataFrame | None = None, top: int = 5, least_words: int = 1) -> DataFrame:
+    """(word, n, rank, at): the `top` contexts of each target word that have least_words words, by count, of equals the one that stands first. Groups are limited before they are shuffled and sorted."""
+    rows = counts.where(F.col("size") >= least_words).select(F.col("next_word").alias("word"), "n", "at")
+    if targets is not None:
+        rows = rows.join(targets.select("word").distinct(), "word", "left_semi")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), F.asc("at")))).where(F.col("rank") <= top)
+
+
+def with_context(rows: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """rows (with at, as hashed_contexts gives it) with context, its words joined by blanks. Keys of docs are unique."""
+    rest = [c for c in rows.columns if c != "at"]
+    asked = rows.select(F.col(f"at.{key}").alias(key), F.col("at.sentence").alias("sentence"), F.struct(F.col("at.size").alias("__size"), *rest).alias("r"))
+    # one row a sentence: its words are split off once, whatever is asked of it
+    asked = asked.groupBy(key, "sentence").agg(F.collect_list("r").alias("r"))
+    said = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
+    both = said.join(asked, [key, "sentence"]).select(words(F.col("s")).alias("t"), "r")
+    both = both.select("t", F.explode("r").alias("r"))
+    return both.select(*[f"r.{c}" for c in rest], F.array_join(F.slice("t", F.lit(1), F.col("r.__size")), " ").alias("context"))
+
+
 def context_counts(pairs: DataFrame) -> DataFrame:
     """(context, next_word, n), combined before the shuffle."""
     return pairs.groupBy("context", "next_word").agg(F.count("*").alias("n"))
