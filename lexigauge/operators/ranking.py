@@ -78,6 +78,27 @@ def accuracies(df: DataFrame, keys: list[str], correct: Column) -> DataFrame:
     return out.withColumn("accuracy", 100 * F.col("correct") / F.col("total"))
 
 
+def levels(items: DataFrame, correct: Column, meta: str = "meta", temperature: str | None = None) -> DataFrame:
+    """(level, [temperature,] key, value, total, correct, accuracy): accuracies by grouping value, by grouping key and overall, all of one aggregation.
+
+    items hold a map of grouping keys and values, as decoders give it; an item counts once for
+    each of its keys, and once overall, an item without keys too. level is value, key or all;
+    at the higher levels key and value are null, and a null or empty value is a value of its
+    own. Grouping sets make the levels of each row before the shuffle, which is the only one.
+    """
+    keys = [temperature] if temperature else []
+    each = items.select(*keys, correct.cast("double").alias("__c"), F.posexplode_outer(meta).alias("__at", "key", "value"))
+    once = F.coalesce(F.col("__at"), F.lit(0)) == 0
+    sets = [[*keys, "key", "value"], [*keys, "key"], keys]
+    grouped = each.groupingSets([[F.col(c) for c in s] for s in sets], *[*keys, "key", "value"])
+    out = grouped.agg(F.grouping("key").alias("__k"), F.grouping("value").alias("__v"), F.count("key").alias("__n"), F.sum(F.when(F.col("key").isNotNull(), F.col("__c"))).alias("__s"), F.sum(once.cast("long")).alias("__n1"), F.sum(F.when(once, F.col("__c"))).alias("__s1"))
+    every = F.col("__k") == 1
+    total, right = F.when(every, F.col("__n1")).otherwise(F.col("__n")), F.when(every, F.col("__s1")).otherwise(F.col("__s"))
+    out = out.where(every | (F.col("__n") > 0))  # an item without keys is in no key's group
+    level = F.when(every, "all").when(F.col("__v") == 1, "key").otherwise("value")
+    return out.select(level.alias("level"), *keys, "key", "value", total.alias("total"), right.alias("correct"), (100 * right / total).alias("accuracy"))
+
+
 def macro_micro(df: DataFrame, value: str = "accuracy", size: str = "total") -> DataFrame:
     """One row: the number of groups, the mean of their values, and their mean weighted by size."""
     return df.agg(F.count("*").alias("groups"), F.avg(value).alias("macro"), (F.sum(F.col(value) * F.col(size)) / F.sum(size)).alias("micro"))

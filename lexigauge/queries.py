@@ -881,4 +881,145 @@ def windowed_event_counts(spark, d):
     return out.select(F.unix_timestamp("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# Operators by themselves
+
+
+@query("""WITH x AS (SELECT o_orderkey AS i, o_orderstatus = 'F' AS ok, t.temperature FROM orders, (VALUES (0.5), (1.0)) t(temperature)), e AS (SELECT x.temperature, 'priority' AS key, o_orderpriority AS value, CASE WHEN x.temperature > 0.7 THEN NOT ok ELSE ok END AS ok FROM x JOIN orders ON i = o_orderkey UNION ALL SELECT x.temperature, 'year', CAST(year(o_orderdate) AS VARCHAR), CASE WHEN x.temperature > 0.7 THEN NOT ok ELSE ok END FROM x JOIN orders ON i = o_orderkey WHERE o_orderkey % 3 > 0),
+a AS (SELECT temperature, CASE WHEN temperature > 0.7 THEN NOT ok ELSE ok END AS ok FROM x)
+SELECT 'value' AS level, CAST(temperature AS DOUBLE) AS temperature, key, value, count(*) AS total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS DOUBLE) AS correct, round(100.0 * sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM e GROUP BY temperature, key, value
+UNION ALL SELECT 'key', temperature, key, NULL, count(*), CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS DOUBLE), round(100.0 * sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) FROM e GROUP BY temperature, key
+UNION ALL SELECT 'all', temperature, NULL, NULL, count(*), CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS DOUBLE), round(100.0 * sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) FROM a GROUP BY temperature""")
+def accuracy_levels(spark, d):
+    """Subset, key and overall accuracies at each temperature, from one shuffle."""
+    o = table(spark, d, "orders")
+    year = F.when(F.col("o_orderkey") % 3 > 0, F.create_map(F.lit("year"), F.year("o_orderdate").cast("string")))
+    meta = F.map_concat(F.create_map(F.lit("priority"), "o_orderpriority"), F.coalesce(year, F.create_map().cast("map<string,string>")))
+    rows = o.select(meta.alias("meta"), (F.col("o_orderstatus") == "F").alias("ok"), F.explode(F.array(F.lit(0.5), F.lit(1.0))).alias("temperature"))
+    out = ranking.levels(rows, F.when(F.col("temperature") > 0.7, ~F.col("ok")).otherwise(F.col("ok")), temperature="temperature")
+    return out.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_READS}, m AS (SELECT itemid, sentnum, max(rt) AS longest FROM reads GROUP BY itemid, sentnum) SELECT r.itemid, CAST(r.sentnum AS VARCHAR) AS sentnum, r.wordnum, r.rt, m.longest FROM reads r JOIN m ON r.itemid = m.itemid AND r.sentnum IS NOT DISTINCT FROM m.sentnum")
+def null_equal_join(spark, d):
+    reads = _reads(spark, d).drop("word")
+    longest = reads.groupBy("itemid", "sentnum").agg(F.max("rt").alias("longest"))
+    return frames.null_safe_join(reads, longest, ["itemid", "sentnum"]).withColumn("sentnum", F.col("sentnum").cast("string"))
+
+
+@query(f"WITH {_READS}, s AS (SELECT itemid, wordnum, word, rt / 10 AS surprisal FROM reads WHERE wordnum % 3 > 0 UNION ALL SELECT itemid, wordnum, word, rt / 5 FROM reads WHERE wordnum % 3 = 1), w AS (SELECT DISTINCT word, CAST(length(word) AS BIGINT) AS wlen FROM reads) SELECT r.itemid, r.wordnum, r.word, r.rt, w.wlen, s.surprisal FROM reads r LEFT JOIN w ON w.word = r.word LEFT JOIN s ON s.itemid = r.itemid AND s.wordnum = r.wordnum AND s.word = r.word")
+def surprisal_fan_out(spark, d):
+    """A token with two rows of surprisal pairs each reading with both."""
+    reads = _reads(spark, d).drop("sentnum")
+    rows = reads.where("wordnum % 3 > 0").select("itemid", "wordnum", "word", (F.col("rt") / 10).alias("surprisal"))
+    rows = rows.union(reads.where("wordnum % 3 = 1").select("itemid", "wordnum", "word", F.col("rt") / 5))
+    words = frames.word_table(reads, ["word"]).withColumn("wlen", F.col("wlen").cast("long"))
+    return frames.with_words_and_surprisal(reads, words, rows, ["word"], ["itemid", "wordnum", "word"])
+
+
+@query(f"WITH {_READS} SELECT itemid, wordnum, rt, CAST(sentnum AS BIGINT) AS sentnum FROM reads WHERE sentnum IS NOT NULL AND rt IS NOT NULL")
+def complete_rows(spark, d):
+    return frames.complete_cases(_reads(spark, d).drop("word"), ["sentnum", "rt"]).withColumn("sentnum", F.col("sentnum").cast("long"))
+
+
+_LADDER = list(enumerate(numeric.revisions(small=False)))
+
+
+@query(f"WITH l(k, step) AS (VALUES {_values(_LADDER)}), done AS (SELECT DISTINCT step FROM events JOIN l ON k = user_id * 3 % 97 WHERE user_id % 4 > 0) SELECT step FROM l WHERE step NOT IN (SELECT step FROM done)")
+def steps_remaining(spark, d):
+    steps = spark.createDataFrame(_LADDER, "k long, step string")
+    done = table(spark, d, "events").where("user_id % 4 > 0").select((F.col("user_id") * 3 % 97).alias("k")).distinct().join(F.broadcast(steps), "k")
+    return checks.remaining(steps, done, "step").select("step")
+
+
+@query(f"WITH l(k, step) AS (VALUES {_values(_LADDER)}), c AS (SELECT DISTINCT role || conv_id % 7 AS word, turn, text FROM conversations WHERE turn < 3) SELECT word, step, count(*) AS contexts, CAST(sum(length(text)) AS BIGINT) AS chars FROM c, l GROUP BY 1, 2")
+def words_at_every_step(spark, d):
+    """Every context of every word at every checkpoint."""
+    c = table(spark, d, "conversations").where("turn < 3").select(F.concat("role", (F.col("conv_id") % 7).cast("string")).alias("word"), F.struct("turn", "text").alias("c")).distinct()
+    contexts = c.groupBy("word").agg(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["text"]).alias("contexts"))
+    rows = decode.step_rows(spark.createDataFrame(_LADDER, "k long, step string").select("step"), contexts)
+    return rows.groupBy("word", "step").agg(F.count("*").alias("contexts"), F.sum(F.length("context")).alias("chars"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def finite_totals(spark, d):
+    e = table(spark, d, "events").withColumn("value", checks.finite_or_fail(F.col("value"), "a value isn't finite"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1")
+def labels_of_both_splits(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 2).alias("split"), F.col("o_orderstatus").alias("label"))
+    checks.same_labels(o, "split", "label")
+    return o.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CAND}, x AS (SELECT item_id, cand_idx, score / 10 * 1.5 AS z FROM cand), m AS (SELECT item_id, max(z) AS top, count(*) AS n FROM x GROUP BY 1), s AS (SELECT x.item_id, sum(exp(z - top)) AS s FROM x JOIN m USING (item_id) GROUP BY 1)
+SELECT n, count(*) AS items, round(avg(exp(z - top) / s), 6) AS mean_share FROM x JOIN m USING (item_id) JOIN s USING (item_id) WHERE cand_idx = 0 GROUP BY n""")
+def softmax_shares(spark, d):
+    items = candidates(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("cand_idx", "score"))).alias("c"))
+    rows = items.select(numeric.softmax(F.transform("c", lambda x: x.score / 10), 1.5).alias("p"))
+    return rows.groupBy(F.size("p").cast("long").alias("n")).agg(F.count("*").alias("items"), r6(F.avg(F.get("p", F.lit(0))), "mean_share"))
+
+
+@query(f"WITH {_CAND}, t AS (SELECT unnest([0.5, 0.75, 1.0, 1.25]) AS temperature), x AS (SELECT temperature, item_id, cand_idx, score / 10 / temperature AS z FROM cand, t), m AS (SELECT temperature, item_id, max(z) AS top FROM x GROUP BY 1, 2), s AS (SELECT x.temperature, x.item_id, max(top) + ln(sum(exp(z - top))) AS lse FROM x JOIN m ON x.temperature = m.temperature AND x.item_id = m.item_id GROUP BY 1, 2) SELECT CAST(x.temperature AS DOUBLE) AS temperature, round(avg(exp(z - lse)), 6) AS mean_share FROM x JOIN s ON x.temperature = s.temperature AND x.item_id = s.item_id WHERE cand_idx = 0 GROUP BY 1")
+def temperature_sequence(spark, d):
+    items = candidates(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("cand_idx", "score"))).alias("c"))
+    steps = F.array(*map(F.lit, numeric.temperatures(0.5, 1.25, 0.25)))
+    rows = items.select(F.transform("c", lambda x: x.score / 10).alias("s"), F.explode(steps).alias("temperature"))
+    return rows.select("temperature", F.exp(F.get(numeric.log_softmax(F.col("s"), F.col("temperature")), F.lit(0))).alias("p")).groupBy("temperature").agg(r6(F.avg("p"), "mean_share"))
+
+
+@query(r"WITH w AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n, len(list_filter(regexp_split_to_array(substr(text, 1, 40), '\s+'), lambda x: x <> '')) AS m FROM conversations WHERE text IS NOT NULL) SELECT greatest(1, n - m) AS subwords, count(*) AS turns FROM w GROUP BY 1")
+def subword_lengths(spark, d):
+    c = table(spark, d, "conversations").where("text is not null")
+    n, m = F.size(text.words(F.col("text"))), F.size(text.words(F.substring("text", 1, 40)))
+    return c.select(tokens.subword_count(n, m).cast("long").alias("subwords")).groupBy("subwords").agg(F.count("*").alias("turns"))
+
+
+@query("WITH e AS (SELECT event_type, event_id % 1000 AS step FROM events) SELECT event_type, round(sum(CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.1, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0))) END), 5) AS factor FROM e GROUP BY 1")
+def schedule_factors(spark, d):
+    e = table(spark, d, "events").select("event_type", tokens.cosine_schedule(F.col("event_id") % 1000, 100, 1000, 0.1).alias("f"))
+    return e.groupBy("event_type").agg(F.round(F.sum("f"), 5).alias("factor"))
+
+
+@query("SELECT CASE WHEN CAST('0x' || substr(md5('42|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < 0.8 THEN 'train' ELSE 'valid' END AS split, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+def share_split_counts(spark, d):
+    rows = splits.share_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", {"train": 0.8, "valid": 0.2})
+    return rows.groupBy("split", "lang").agg(F.count("*").alias("n"))
+
+
+_ORDERED = [(k, ",".join(own)) for k, own in enumerate(collate.LANGUAGE_ORDER)]
+
+
+@query(f"""WITH o(k, langs) AS (VALUES {_values(_ORDERED)}), m AS (SELECT CASE user_id % 6 WHEN 0 THEN 'gpt2-strict' WHEN 1 THEN 'gpt2-babylm-nld' WHEN 2 THEN 'gpt2-babylm-zho' WHEN 3 THEN 'gpt2-en_nld_equal' WHEN 4 THEN 'gpt2-nld_zho_equal' ELSE 'gpt2-other' END AS model FROM events),
+l AS (SELECT model, CASE WHEN model = 'gpt2-strict' THEN 'eng' WHEN model = 'gpt2-babylm-nld' THEN 'nld' WHEN model = 'gpt2-babylm-zho' THEN 'zho' WHEN model = 'gpt2-en_nld_equal' THEN 'eng,nld' WHEN model = 'gpt2-nld_zho_equal' THEN 'nld,zho' ELSE '' END AS langs FROM m)
+SELECT model, coalesce(k, {len(_ORDERED)}) AS place, count(*) AS n FROM l LEFT JOIN o ON o.langs = l.langs GROUP BY 1, 2""")
+def models_by_languages(spark, d):
+    names = F.array(*map(F.lit, ("gpt2-strict", "gpt2-babylm-nld", "gpt2-babylm-zho", "gpt2-en_nld_equal", "gpt2-nld_zho_equal", "gpt2-other")))
+    rows = table(spark, d, "events").select(F.get(names, (F.col("user_id") % 6).cast("int")).alias("model"))
+    place = collate.language_rank(F.sort_array(text.languages_of_model(F.col("model")))).alias("place")
+    return rows.select("model", place).groupBy("model", "place").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(avg((quality - toxic) * (quality - toxic)), 6) AS mse FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def mean_squared_error(spark, d):
+    out = metrics.squared_error(table(spark, d, "labels").where("quality is not null and toxic is not null"), "quality", "toxic")
+    return out.select(r6(F.col(out.columns[-1]), "mse"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS began, CAST(epoch_us(max(ts)) AS BIGINT) + 3600000000 AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, d):
+    out = sweeps.sessions(table(spark, d, "events"))
+    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("began"), F.unix_micros(F.col("end").cast("timestamp")).alias("ended"), "n")
+
+
+@query(rf"WITH {_PAIRS}, w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM benchmark), r AS (SELECT next_word AS word, context, n, row_number() OVER (PARTITION BY next_word ORDER BY n DESC, place) AS rank FROM counts JOIN w ON w.word = next_word) SELECT word, context, n, rank FROM r WHERE rank <= 2")
+def target_word_contexts(spark, d):
+    """The most frequent contexts of the words that the benchmark uses."""
+    targets = table(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word"))
+    best = ngrams.top_hashed(_counts(spark, d), targets, top=2)
+    return ngrams.with_context(best, table(spark, d, "documents")).select("word", "context", "n", F.col("rank").cast("long").alias("rank"))
+
+
 from . import round_trips  # noqa: E402  at the end, as its queries are registered by `query` above

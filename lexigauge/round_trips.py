@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import templates
-from .operators import ranking, scorers
+from .operators import ranking, scorers, splits
 from .queries import query
 from .session import table
 from .sources import binary, files, sinks, tasks
@@ -252,3 +252,14 @@ def templated_prompts(spark, d):
     parts = table(spark, d, "part").withColumn("target", target)
     out = [templates.prompts(parts.where(F.col("p_partkey") % 2 == k), specs[f"t_{k}"]) for k in (0, 1)]
     return out[0].union(out[1]).select(F.col("p_partkey").alias("item_id"), "prompt", F.array_join("choices", "|").alias("choices"), "gold")
+
+
+@query("SELECT CASE WHEN CAST('0x' || substr(md5('7|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < 0.8 THEN 'train' ELSE 'valid' END AS split, doc_id, lang, n_chars FROM documents")
+def written_splits(spark, d):
+    """Training and validation rows as JSON lines, in a folder each."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    path = shared_folder(spark, "splits")
+    sinks.write_json(splits.share_split(docs, "doc_id", {"train": 0.8, "valid": 0.2}, seed=7), path, by="split")
+    schema = "doc_id long, lang string, n_chars long"
+    out = [spark.read.schema(schema).json(f"{path}/split={name}").select(F.lit(name).alias("split"), "doc_id", "lang", "n_chars") for name in ("train", "valid")]
+    return out[0].union(out[1])

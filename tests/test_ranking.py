@@ -79,3 +79,19 @@ def test_numbers(spark):
     assert len(numeric.revisions(True)) == 19 and len(numeric.revisions(False)) == 28 and numeric.revisions(False)[-1] == "chck_1000M"
     assert numeric.t_test(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert numeric.correlation_test(0.9, 5) == pytest.approx(0.0373861, abs=1e-6)
+
+
+def test_levels_from_one_shuffle(spark):
+    rows = [(1, {"a": "x", "b": "p"}, True), (2, {"a": "x"}, False), (3, {"a": "y", "b": None}, True), (4, {}, True), (5, None, False), (6, {"a": ""}, True)]
+    df = spark.createDataFrame([(*r, t) for r in rows for t in (0.5, 1.0)], "i int, meta map<string,string>, ok boolean, t double")
+    got = {(r.level, r.t, r.key, r.value): (r.total, r.correct, r.accuracy) for r in ranking.levels(df, F.col("ok"), temperature="t").collect()}
+    for t in (0.5, 1.0):
+        assert got.pop(("all", t, None, None)) == (6, 4.0, 100 * 4.0 / 6)
+        assert got.pop(("key", t, "a", None)) == (4, 3.0, 75.0) and got.pop(("key", t, "b", None)) == (2, 2.0, 100.0)
+        assert got.pop(("value", t, "a", "x")) == (2, 1.0, 50.0) and got.pop(("value", t, "a", "y")) == (1, 1.0, 100.0) and got.pop(("value", t, "a", "")) == (1, 1.0, 100.0)
+        assert got.pop(("value", t, "b", "p")) == (1, 1.0, 100.0) and got.pop(("value", t, "b", None)) == (1, 1.0, 100.0)
+    assert not got
+    plan = ranking.levels(df, F.col("ok"))
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    assert {r.level: r.total for r in ranking.levels(df.where("false"), F.col("ok")).collect()} in ({}, {"all": None}, {"all": 0})
