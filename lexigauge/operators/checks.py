@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .frames import numbered
@@ -170,3 +170,48 @@ def keyed_join(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """Inner join by key; a gold row without prediction is an error when it is read."""
     out = gold.join(pred.withColumn("__there", F.lit(True)), key, "left")
     return out.where(F.coalesce(F.col("__there"), F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast("boolean"))).drop("__there")
+
+
+#: Places of one bitmap. Fixed value of Spark's bitmap functions.
+BITMAP = 32_768
+
+
+def observed(predictions: DataFrame, expected: list[tuple[str, int]], uid: str = "uid", place: str = "place", value: str = "pred") -> tuple[DataFrame, Observation]:
+    """(predictions, what is observed of them): metrics that ride on whatever job reads the rows next, such as their write, so that checking takes no job of its own.
+
+    For each expected subset (name, number of predictions) they count its rows, its rows without
+    a value (null, or NaN in numbers) and, in bitmaps of BITMAP places each, which places 0 to
+    n - 1 have come; and the rows of no expected subset. Subsets are settings, a few hundred;
+    bitmaps take a bit a prediction. See verdict().
+    """
+    bad = F.col(value).isNull()
+    if predictions.schema[value].dataType.typeName() in ("double", "float"):
+        bad = bad | F.isnan(value)
+    own = [F.coalesce(F.col(uid) == name, F.lit(False)) for name, _ in expected]
+    known = F.col(uid).isin([name for name, _ in expected]) if expected else F.lit(False)
+    metrics = [F.count("*").alias("rows"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown")]
+    for k, (c, (_, n)) in enumerate(zip(own, expected, strict=True)):
+        metrics += [F.count_if(c).alias(f"n{k}"), F.count_if(c & bad).alias(f"bad{k}")]
+        for b in range(-(-n // BITMAP)):
+            here = c & (F.col(place) >= b * BITMAP) & (F.col(place) < min(n, (b + 1) * BITMAP))
+            bit = F.when(here, F.col(place).cast("long") - b * BITMAP)
+            metrics.append(F.bitmap_count(F.bitmap_construct_agg(bit)).alias(f"set{k}_{b}"))
+    found = Observation()
+    return predictions.observe(found, *metrics), found
+
+
+def verdict(spark, found: Observation, expected: list[tuple[str, int]]) -> DataFrame:
+    """(uid, expected_rows, found_rows, different, bad, status) of each expected subset, from what was observed, and a row of null for rows of no subset if there are any.
+
+    different: how many of its places have come. status: ok; missing; wrong size; repeated, if
+    places came twice or out of range; or no value, if a prediction has none.
+    """
+    got, rows = found.get, []
+    for k, (name, n) in enumerate(expected):
+        size, bad = got[f"n{k}"], got[f"bad{k}"]
+        different = sum(got[f"set{k}_{b}"] or 0 for b in range(-(-n // BITMAP)))
+        status = "missing" if not size and n else "wrong size" if size != n else "repeated" if different != n else "no value" if bad else "ok"
+        rows.append((name, n, size, different, bad, status))
+    if got["unknown"]:
+        rows.append((None, 0, got["unknown"], 0, 0, "unknown"))
+    return spark.createDataFrame(rows, "uid string, expected_rows long, found_rows long, different long, bad long, status string")
