@@ -1022,4 +1022,58 @@ def target_word_contexts(spark, d):
     return ngrams.with_context(best, table(spark, d, "documents")).select("word", "context", "n", F.col("rank").cast("long").alias("rank"))
 
 
+# Curves and temperatures that are known, so that SQL can state what a fit must find
+
+
+_STEPS = (0, 1, 10, 100, 1000, 10_000, 100_000)
+_KNOWN = "k AS (SELECT CAST(s_suppkey AS VARCHAR) AS word, s_suppkey % 10 = 0 AS never, 18 + s_suppkey % 6 AS c, CASE s_nationkey % 3 WHEN 0 THEN 0.4 WHEN 1 THEN 0.5 ELSE 0.8 END AS b, 2 + s_suppkey % 6 / 3.0 AS m FROM supplier), child AS (SELECT word, CASE WHEN NOT never THEN c - ln(0.95 / 0.5 - 1) / b END AS aoa, CASE WHEN never THEN 'never reached' ELSE 'ok' END AS category FROM k), model AS (SELECT word, m - ln(6 / (6 / (1 + exp(-3 * (log10(100001) - m))) / 2) - 1) / 3 AS aoa FROM k)"
+
+
+def _known_children(spark, d):
+    """A word for each supplier: the share of children who know it follows a sigmoid with parameters from its keys; every tenth stays under half."""
+    s = table(spark, d, "supplier")
+    rows = s.select(F.col("s_suppkey").cast("string").alias("word"), F.when(F.col("s_suppkey") % 10 == 0, 0.4).otherwise(0.95).alias("a"), (18 + F.col("s_suppkey") % 6).alias("c"), F.when(F.col("s_nationkey") % 3 == 0, 0.4).when(F.col("s_nationkey") % 3 == 1, 0.5).otherwise(0.8).alias("b"), F.explode(F.sequence(F.lit(16), F.lit(30))).alias("age"))
+    return curves.child_curves(rows.select("word", "age", (F.col("a") / (1 + F.exp(-F.col("b") * (F.col("age") - F.col("c"))))).alias("proportion")))
+
+
+def _known_models(spark, d):
+    """The same words' surprisal over checkpoints: chance less a sigmoid of the step's logarithm; two contexts lie evenly around it."""
+    s = table(spark, d, "supplier")
+    rows = s.select(F.col("s_suppkey").cast("string").alias("word"), (2 + F.col("s_suppkey") % 6 / 3).alias("c"), F.explode(F.array(*map(F.lit, _STEPS))).alias("step"), F.lit(2).alias("n_subword"), F.lit(5000).alias("vocab_size"))
+    rows = rows.withColumn("context_id", F.explode(F.array(F.lit(-1), F.lit(1))))
+    fall = 6 / (1 + F.exp(-3 * (F.log10(F.col("step") + 1) - F.col("c"))))
+    return curves.model_curves(rows.select("word", F.col("step").cast("double").alias("step"), "context_id", (2 * F.ln(F.col("vocab_size")) - fall + 0.1 * F.col("context_id")).alias("surprisal"), "n_subword", "vocab_size"))
+
+
+@query(f"WITH {_KNOWN} SELECT word, round(aoa, 2) AS aoa, category FROM child")
+def known_child_curves(spark, d):
+    return _known_children(spark, d).select("word", F.round("aoa", 2).alias("aoa"), "category")
+
+
+@query(f"WITH {_KNOWN} SELECT word, round(aoa, 2) AS aoa, 'ok' AS category FROM model")
+def known_model_curves(spark, d):
+    return _known_models(spark, d).select("word", F.round("aoa", 2).alias("aoa"), "category")
+
+
+@query(f"WITH {_KNOWN} SELECT category, count(*) AS n FROM child GROUP BY 1")
+def known_outcomes(spark, d):
+    return metrics.categories(_known_children(spark, d), "category")
+
+
+@query(f"WITH {_KNOWN} SELECT count(*) AS n, round(corr(model.aoa, child.aoa), 3) AS r, round(corr(model.aoa, child.aoa), 3) AS fitness FROM model JOIN child USING (word) WHERE child.aoa IS NOT NULL")
+def known_curve_fitness(spark, d):
+    out = curves.curve_fitness(_known_models(spark, d), _known_children(spark, d))
+    return spark.createDataFrame([(out["n"], round(out["r"], 3), round(out["fitness"], 3))], "n long, r double, fitness double")
+
+
+@query("SELECT l_orderkey % 4 AS bin, count(*) AS n, 0.5 + 0.75 * (l_orderkey % 4) AS beta, 0.0 AS kl FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY l_orderkey % 4")
+def known_temperatures(spark, d):
+    """Human shares that are the softmax of the model's scores at a known inverse temperature for each group."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") % 4 == k, F.col("l_quantity") / 50)), F.lit(0.0)) for k in range(4)]).alias("m"))
+    rows = items.select((F.col("l_orderkey") % 4).alias("bin"), "m")
+    rows = rows.withColumn("h", numeric.softmax(F.col("m"), 0.5 + 0.75 * F.col("bin")))
+    out = curves.beta_by_group(rows, "bin", "h", "m")
+    return out.select("bin", "n", F.round("beta", 3).alias("beta"), F.abs(F.round("kl", 6)).alias("kl"))
+
+
 from . import round_trips  # noqa: E402  at the end, as its queries are registered by `query` above
