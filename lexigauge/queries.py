@@ -1066,7 +1066,7 @@ def known_curve_fitness(spark, d):
     return spark.createDataFrame([(out["n"], round(out["r"], 3), round(out["fitness"], 3))], "n long, r double, fitness double")
 
 
-@query("SELECT l_orderkey % 4 AS bin, count(*) AS n, 0.5 + 0.75 * (l_orderkey % 4) AS beta, 0.0 AS kl FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY l_orderkey % 4")
+@query("SELECT l_orderkey % 4 AS bin, count(*) AS n, CAST(0.5 + 0.75 * (l_orderkey % 4) AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS kl FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY l_orderkey % 4")
 def known_temperatures(spark, d):
     """Human shares that are the softmax of the model's scores at a known inverse temperature for each group."""
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("l_linenumber") % 4 == k, F.col("l_quantity") / 50)), F.lit(0.0)) for k in range(4)]).alias("m"))

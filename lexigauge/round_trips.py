@@ -270,7 +270,7 @@ _SUBSETS = [("click", 400), ("view", 40_000), ("purchase", 700), ("nothing", 5)]
 
 @query(f"""WITH e(uid, n) AS (VALUES {", ".join(f"('{u}', {n})" for u, n in _SUBSETS)}), r AS (SELECT event_type AS uid, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, CASE WHEN value > 5 THEN value END AS pred FROM events), p AS (SELECT uid, CASE WHEN k = 7 THEN 6 ELSE k END AS place, pred FROM r),
 f AS (SELECT uid, count(*) AS found, count(DISTINCT CASE WHEN place < n THEN place END) AS different, count(*) FILTER (pred IS NULL) AS bad FROM p JOIN e USING (uid) GROUP BY uid)
-SELECT e.uid, n AS expected_rows, coalesce(found, 0) AS found_rows, coalesce(different, 0) AS different, coalesce(bad, 0) AS bad, CASE WHEN found IS NULL THEN 'missing' WHEN found <> n THEN 'wrong size' WHEN different <> n THEN 'repeated' WHEN bad > 0 THEN 'no value' ELSE 'ok' END AS status FROM e LEFT JOIN f ON e.uid = f.uid
+SELECT e.uid, CAST(n AS BIGINT) AS expected_rows, coalesce(found, 0) AS found_rows, coalesce(different, 0) AS different, coalesce(bad, 0) AS bad, CASE WHEN found IS NULL THEN 'missing' WHEN found <> n THEN 'wrong size' WHEN different <> n THEN 'repeated' WHEN bad > 0 THEN 'no value' ELSE 'ok' END AS status FROM e LEFT JOIN f ON e.uid = f.uid
 UNION ALL SELECT NULL, 0, count(*), 0, 0, 'unknown' FROM p WHERE uid NOT IN (SELECT uid FROM e) HAVING count(*) > 0""")
 def checked_while_written(spark, d):
     """Predictions are written and checked by one job; each subset's eighth prediction has the seventh's place."""
