@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +53,18 @@ class Weights:
                     known = np.frombuffer(packed, np.uint64).reshape(2, -1)
                     n[ends[r] : ends[r + 1]] = known[1, np.searchsorted(known[0], h[ends[r] : ends[r + 1]])]
         elif len(h):
-            bucket = buckets(h, len(self.parts))
+            word, own_words = pd.factorize(h)  # each word is looked up once
+            bucket = buckets(own_words, len(self.parts))
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(len(self.parts) + 1))
+            of = np.zeros(len(own_words), np.int64)
             for k, (slots, counts, many, much) in enumerate(self.parts):
                 at = order[ends[k] : ends[k + 1]]
-                found = counts[slots.slot(h[at])].astype(np.int64)
+                found = counts[slots.slot(own_words[at])].astype(np.int64)
                 big = found == 255
-                found[big] = much[np.searchsorted(many, h[at][big])]
-                n[at] = found
+                found[big] = much[np.searchsorted(many, own_words[at][big])]
+                of[at] = found
+            n = of[word]
         return 1 + np.log((1 + self.documents) / (1 + n))
 
 
