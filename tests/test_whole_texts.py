@@ -26,12 +26,16 @@ def folder(spark, tmp_path_factory):
 
 
 def pairs(docs):
-    out = Counter()
-    for x in docs:
-        for s in re.split(r"(?:(?<=[!?)])|(?<=[^.]\.))\s+", x or ""):
+    """How often each context, all of a sentence before a word, stands before the word, and where it stands first."""
+    out, first = Counter(), {}
+    for d, x in enumerate(docs):
+        for k, s in enumerate(re.split(r"(?:(?<=[!?)])|(?<=[^.]\.))\s+", x or "")):
             w = s.split()
-            out.update((" ".join(w[max(0, i - 20) : i]), w[i]) for i in range(1, len(w)))
-    return out
+            for i in range(1, len(w)):
+                key = (" ".join(w[:i]), w[i])
+                out[key] += 1
+                first.setdefault(key, (d, k, i))
+    return out, first
 
 
 def test_sentences(spark):
@@ -41,29 +45,33 @@ def test_sentences(spark):
 
 def test_contexts(spark, folder):
     d, docs = folder
-    want = pairs(docs)
-    assert max(len(c.split()) for c, _ in want) == 20 and sum(want.values()) > 500
-    got = {(r.context, r.next_word): r.n for r in QUERIES["ngram_bos_contexts"](spark, d).collect()}
-    assert got == want
+    want, _ = pairs(docs)
+    assert max(len(c.split()) for c, _ in want) > 50 and sum(want.values()) > 500
+    got = {(r.n_words, r.next_word, r.n): r.contexts for r in QUERIES["ngram_bos_contexts"](spark, d).collect()}
+    assert got == Counter((len(c.split()), w, n) for (c, w), n in want.items())
 
 
 def test_frequencies(spark, folder):
     d, docs = folder
-    want, total = Counter(), sum(pairs(docs).values())
-    for (c, _), n in pairs(docs).items():
-        want[c] += n
+    counts, _ = pairs(docs)
+    n, words = Counter(), Counter()
+    for (c, _), k in counts.items():
+        n[c] += k
+        words[c] += 1
+    total = sum(counts.values())
     rows = QUERIES["ngram_freq_per_million"](spark, d).collect()
-    assert {r.context: r.n for r in rows} == want
+    assert {(r.n_words, r.n, r.distinct_next): r.contexts for r in rows} == Counter((len(c.split()), n[c], words[c]) for c in n)
     assert all(r.log_per_million == pytest.approx(math.log10(r.n / total * 1e6), abs=1e-6) for r in rows)
 
 
 def test_top_contexts(spark, folder):
     d, docs = folder
+    counts, first = pairs(docs)
     want = {}
-    for (c, w), n in pairs(docs).items():
+    for (c, w), n in counts.items():
         if " " in c:
-            want.setdefault(w, []).append((-n, c))
-    want = {(w, c, -n, k + 1) for w, x in want.items() for k, (n, c) in enumerate(sorted(x)[:3])}
+            want.setdefault(w, []).append((-n, first[c, w], c))
+    want = {(w, c, -n, k + 1) for w, x in want.items() for k, (n, _, c) in enumerate(sorted(x)[:3])}
     assert {(r.word, r.context, r.n, r["rank"]) for r in QUERIES["topk_contexts_per_word"](spark, d).collect()} == want
 
 
