@@ -173,7 +173,7 @@ class Slots:
 
 
 #: Cells of a count array that travel as one row, and arrays that one task sums.
-CHUNK, FAN = 1 << 16, 16
+CHUNK, FAN = 1 << 16, 64
 PART = "chunk int, part int, at binary, n binary"
 
 

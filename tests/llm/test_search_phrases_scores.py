@@ -62,7 +62,10 @@ def test_minimal_perfect_hash():
         arrays.Slots(np.array([5, 5], np.uint64))
 
 
-def test_tree_sum(spark):
+@pytest.mark.parametrize("fan", [3, 64])
+def test_tree_sum(spark, monkeypatch, fan):
+    monkeypatch.setattr(arrays, "FAN", fan)
+
     def make(batches):
         for _ in batches:
             pass
