@@ -159,6 +159,11 @@ TREEBANK = (
 )
 
 
+#: What a text has if rules other than those of commas and a final stop can apply to it.
+_MARKED = r"""(?i)['"`«»“”‘’„;:@#$%&*?!\[\](){}<>]|--|\.\.|cannot|gimme|gonna|gotta|lemme|wanna"""
+_PLAIN_RULES = (5, 6, 7)
+
+
 def treebank_words(x: Column, by_sentence: bool = True) -> Column:
     """The words of x by the Treebank rules: quotes, marks, brackets and a final stop stand alone, contractions are cut (do n't, it 's, can not).
 
@@ -167,9 +172,11 @@ def treebank_words(x: Column, by_sentence: bool = True) -> Column:
     """
 
     def cut(s: Column) -> Column:
-        for pattern, instead in TREEBANK:
-            s = F.regexp_replace(s, "(?U)" + pattern, instead)
-        return words(s)
+        every = plain = s
+        for k, (pattern, instead) in enumerate(TREEBANK):
+            every = F.regexp_replace(every, "(?U)" + pattern, instead)
+            plain = F.regexp_replace(plain, "(?U)" + pattern, instead) if k in _PLAIN_RULES else plain
+        return words(F.when(s.rlike(_MARKED), every).otherwise(plain))
 
     out = F.flatten(F.transform(sentences(x), cut)) if by_sentence else cut(x)
     return F.coalesce(out, F.array().cast("array<string>"))
