@@ -68,35 +68,61 @@ class SweepState(StatefulProcessor):
         self.filled = handle.getMapState("filled", "step long", "n long")
         self.done = handle.getMapState("done", "step long", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, correct, repeated, late = self.sums.get() if self.sums.exists() else (0, 0.0, 0, 0)
+    def _gathered(self, rows: Iterator[pd.DataFrame]) -> tuple[dict[int, pd.DataFrame], dict[int, int]]:
+        """(by step: number of rows and best score of each item, in order of items; by step: all rows) of the rows of a batch, whatever Arrow batches they come in.
+
+        Of a step's items that aren't open yet the first `size` are kept at most, as later ones
+        can't count: what is held is bounded by the steps that aren't finished.
+        """
+        items: dict[int, pd.DataFrame] = {}
+        every: dict[int, int] = {}
         for frame in rows:
             frame = frame.dropna(subset=["step", "item_id"])
-            # rows of one frame (one batch, but for keys with very many rows in it) go by step, item and score, however they were dealt
-            frame = frame.sort_values(["step", "item_id", "correct"], ascending=[True, True, False], kind="stable")
-            for step, own in frame.groupby("step", sort=True):
+            found = frame.groupby(["step", "item_id"], sort=True).agg(rows=("item_id", "size"), best=("correct", "max")).reset_index()
+            for step, own in found.groupby("step", sort=True):
                 step = int(step)
+                every[step] = every.get(step, 0) + int(own["rows"].sum())
                 if self.done.containsKey((step,)):
-                    late += len(own)
                     continue
-                count = self.filled.getValue((step,))[0] if self.filled.containsKey((step,)) else 0
-                for item, score in zip(own["item_id"].tolist(), own["correct"].fillna(0.0).tolist(), strict=True):
-                    at = (step, int(item))
-                    if count >= self.size:
-                        late += 1
-                    elif self.open.containsKey(at):
-                        repeated += 1
-                    else:
-                        self.open.updateValue(at, (float(score),))
-                        count, n, correct = count + 1, n + 1, correct + float(score)
+                own = own[["item_id", "rows", "best"]]
+                if step in items:
+                    own = pd.concat([items[step], own]).groupby("item_id", sort=True).agg(rows=("rows", "sum"), best=("best", "max")).reset_index()
+                # a step has under `size` open items, so it is finished within so many
+                items[step] = own.head(2 * self.size)
+        return items, every
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        n, correct, repeated, late = self.sums.get() if self.sums.exists() else (0, 0.0, 0, 0)
+        # rows of a batch go by step, item and score, however they were dealt
+        items, every = self._gathered(rows)
+        for step, total in sorted(every.items()):
+            if step not in items:
+                late += total
+                continue
+            own = items[step]
+            count = self.filled.getValue((step,))[0] if self.filled.containsKey((step,)) else 0
+            used = 0
+            for item, times, score in zip(own["item_id"].tolist(), own["rows"].tolist(), own["best"].fillna(0.0).tolist(), strict=True):
                 if count >= self.size:
-                    self.done.updateValue((step,), (count,))
-                    if self.filled.containsKey((step,)):
-                        self.filled.removeKey((step,))
-                    for at in [k for k, _ in self.open.iterator() if k[0] == step]:
-                        self.open.removeKey(tuple(at))
-                else:
-                    self.filled.updateValue((step,), (count,))
+                    break
+                at = (step, int(item))
+                new = not self.open.containsKey(at)
+                if new:
+                    self.open.updateValue(at, (float(score),))
+                    count, n, correct = count + 1, n + 1, correct + float(score)
+                # the item that finishes a step leaves its own repeats late
+                took = 1 if count >= self.size else int(times)
+                repeated += took - new
+                used += took
+            late += total - used
+            if count >= self.size:
+                self.done.updateValue((step,), (count,))
+                if self.filled.containsKey((step,)):
+                    self.filled.removeKey((step,))
+                for at in [k for k, _ in self.open.iterator() if k[0] == step]:
+                    self.open.removeKey(tuple(at))
+            else:
+                self.filled.updateValue((step,), (count,))
         self.sums.update((n, correct, repeated, late))
         yield pd.DataFrame({"task": [key[0]], "revision": [key[1]], "n": [n], "correct": [correct], "finished": [sorted(int(s[0]) for s in self.done.keys())], "repeated": [repeated], "late": [late]})
 

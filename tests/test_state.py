@@ -1,6 +1,7 @@
 """A sweep's state by key: three batches, stopped and resumed, against the batch answer."""
 
 import json
+import random
 
 from lexigauge.streaming import sweeps
 
@@ -49,3 +50,20 @@ def test_three_batches_stopped_and_resumed(spark, tmp_path):
     assert sweeps.progress(spark, out).count() == 3
     last = {(r.task, r.revision): r for r in sweeps.progress(spark, out).collect()}
     assert last["a", "r1"].finished == [1, 2] and last["a", "r1"].late == 2 and last["b", "r1"].finished == [1]
+
+
+def test_a_batch_is_one_whatever_arrow_batches_it_comes_in(spark, tmp_path):
+    rng = random.Random(3)
+    batches = [[("a", rng.choice(["r1", "r2"]), rng.randint(1, 4), rng.randint(1, 40), rng.choice([None, 0.0, 1.0])) for _ in range(n)] for n in (60, 300)]
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        for k, batch in enumerate(batches):
+            write(folder, f"b{k}", batch)
+            sweeps.sweep_states(sweeps.score_stream(spark, str(folder), sweeps.STEP_SCORES), 12, out, checkpoint)
+            got = {(r.task, r.revision): (r.n, r.correct, r.finished, r.repeated, r.late) for r in sweeps.progress(spark, out).collect()}
+            assert got == plain(batches[: k + 1], 12)
+    finally:
+        spark.conf.set(name, before)
