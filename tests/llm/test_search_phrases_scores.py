@@ -190,6 +190,29 @@ def test_collocations_equal_plain_counts(phrases, monkeypatch, block, size, sket
     assert len(want) > 5 and sorted(map(tuple, got.collect())) == want
 
 
+def test_few_copies_of_texts_stay_on_disk(phrases, monkeypatch):
+    live, most, cut, forget = set(), [], collocations.common.cut, collocations.common.forget
+
+    def cut_(df):
+        out = cut(df)
+        if "ids" in out.columns:
+            live.add(id(out))
+            kept.append(out)
+            most.append(len(live))
+        return out
+
+    def forget_(df):
+        live.discard(id(df))
+        forget(df)
+
+    kept = []
+    monkeypatch.setattr(collocations.common, "cut", cut_)
+    monkeypatch.setattr(collocations.common, "forget", forget_)
+    monkeypatch.setattr(collocations, "BLOCK", 8)
+    assert collocations.mine_collocations(phrases, least=6, longest=3, top=30, share=50).count() > 0
+    assert len(most) > 6 and max(most) <= 3
+
+
 def test_collocations_of_nothing(spark, no_docs):
     assert collocations.mine_collocations(no_docs).count() == 0
     assert collocations.mine_collocations(spark.createDataFrame([row(1, None), row(2, "one two")], SCHEMA)).count() == 0
