@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lexigauge import queries
 from lexigauge.functions import tokens
 from lexigauge.operators import ngrams
 
@@ -61,3 +62,50 @@ def test_no_contexts(spark):
     counts = ngrams.hashed_counts(ngrams.hashed_contexts(none))
     assert counts.count() == 0 and ngrams.hashed_statistics(counts).count() == 0
     assert ngrams.with_context(ngrams.top_hashed(counts), none).count() == 0
+
+
+@pytest.fixture(params=[1 << 23, 300])
+def sentences_at_once(request, monkeypatch):
+    monkeypatch.setattr(ngrams, "TRIE_BYTES", request.param)
+
+
+@pytest.fixture(scope="module")
+def odd(docs):
+    said = ["a\x01 b. a\x00 b. a b", "a\x01\x02 b c. a\x01\x01 b c. a\x00\x01 b c.", "a b. a b", "a bc. a b c. a b\x01 c", "é é é. éé é. é", "a b c d e. a b c d", None]
+    return docs.union(docs.sparkSession.createDataFrame([(1000 + k, x) for k, x in enumerate(said * 2)], "doc_id long, text string")).cache()
+
+
+def test_written_contexts_are_whole(odd, sentences_at_once):
+    plain = ngrams.context_counts(ngrams.prefix_contexts(odd, by_sentence=True))
+    want = {(r.context, r.next_word): r.n for r in plain.collect()}
+    got = [(r.context, r.next_word, r.n) for r in ngrams.written_counts(odd).collect()]
+    assert len(got) == len(want) and {x[:2]: x[2] for x in got} == want
+    stats = {r.context: r for r in ngrams.context_statistics(plain).collect()}
+    own = ngrams.written_statistics(odd).collect()
+    assert len(own) == len(stats)
+    for r in own:
+        s = stats[r.context]
+        assert (r.n, r.distinct_next) == (s.n, s.distinct_next) and r.frequency == pytest.approx(s.frequency) and r.log_per_million == pytest.approx(s.log_per_million)
+
+
+def test_best_contexts_are_those_of_all_counts(odd, sentences_at_once):
+    counts = ngrams.hashed_counts(ngrams.hashed_contexts(odd))
+    for least, targets in ((1, None), (2, None), (1, odd.sparkSession.createDataFrame([("a",), ("é",)], "word string"))):
+        want = sorted(map(str, ngrams.top_hashed(counts, targets, top=3, least_words=least).select("word", "n", "rank", "at").collect()))
+        assert sorted(map(str, ngrams.best_contexts(odd, targets, top=3, least_words=least).select("word", "n", "rank", "at").collect())) == want
+
+
+def test_queries_put_out_each_context(spark):
+    d = "/root/testdata/sf0.001"
+    for name, words_ in (("ngram_bos_contexts", {"context", "next_word", "n"}), ("ngram_freq_per_million", {"context", "n", "distinct_next", "frequency", "log_per_million"})):
+        assert set(queries.QUERIES[name](spark, d).columns) == words_
+
+
+def test_sentences_are_shuffled_not_contexts(docs):
+    plan = ngrams.written_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan
+
+
+def test_no_sentences(spark):
+    none = spark.createDataFrame([(1, None), (2, "one. two.")], "doc_id long, text string")
+    assert ngrams.written_counts(none).count() == 0 and ngrams.written_statistics(none).count() == 0 and ngrams.best_contexts(none).count() == 0
