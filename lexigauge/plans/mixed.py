@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,19 @@ class MixedFit:
     loglik: float
 
 
+def packed_statistics(stats: DataFrame, p: int) -> DataFrame:
+    """(zz, zy): subjects' matrices and vectors as the bytes of arrays, a row for BLOCK of them at most, so that each evaluation reads them as they are."""
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(a, BLOCK) for a in range(0, batch.num_rows, BLOCK)):
+                xx = part.column("xx").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                zz, zy = _unpack(xx, xx, part.column("xy").flatten().to_numpy(zero_copy_only=False), p)
+                yield pa.RecordBatch.from_arrays([pa.array([zz.tobytes()], pa.binary()), pa.array([zy.tobytes()], pa.binary())], names=["zz", "zy"])
+
+    return stats.select("xx", "xy").mapInArrow(run, "zz binary, zy binary")
+
+
 def fit_statistics(stats: DataFrame, p: int) -> MixedFit:
     """The maximum likelihood over theta >= 0, from three starts, of statistics by subject."""
     i, j = np.triu_indices(p)
@@ -148,6 +162,7 @@ def fit_statistics(stats: DataFrame, p: int) -> MixedFit:
     xx = np.zeros((p, p))
     xx[i, j] = xx[j, i] = total["xx"]
     xy, n, yy = np.array(total["xy"]), total["n"], total["yy"]
+    packed = None
     if total["subjects"] <= DRIVER_SUBJECTS:
         rows = stats.select("n", "xx", "xy").toPandas()
         zz, zy = _unpack(rows["n"], np.array(rows["xx"].tolist()), rows["xy"].tolist(), p)
@@ -158,20 +173,28 @@ def fit_statistics(stats: DataFrame, p: int) -> MixedFit:
 
     else:
 
+        packed = packed_statistics(stats, p).persist()
+
         def sums(theta):
-            def run(frames):
-                for f in (x.iloc[a : a + BLOCK] for x in frames for a in range(0, len(x), BLOCK)):
-                    if len(f):
-                        s = block_sums(theta, *_unpack(f["n"], np.array(f["xx"].tolist()), f["xy"].tolist(), p))
-                        yield pd.DataFrame({"k": range(len(s)), "v": s}) if s is not None else pd.DataFrame({"k": [-1], "v": [0.0]})
+            def run(batches):
+                # a task's blocks come back as one vector, null if one isn't positive definite
+                parts = [block_sums(theta, np.frombuffer(zz).reshape(-1, p, p), np.frombuffer(zy).reshape(-1, p)) for b in batches for zz, zy in zip(b.column("zz").to_pylist(), b.column("zy").to_pylist(), strict=True)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([None if any(x is None for x in parts) else sum(parts)], pa.list_(pa.float64()))], names=["v"])
 
-            got = stats.select("n", "xx", "xy").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")
-            return None if (got["k"] < 0).any() else got["v"].to_numpy()
+            got = [r["v"] for r in packed.mapInArrow(run, "v array<double>").collect()]
+            return None if any(v is None for v in got) else np.sum(np.array(got), 0)
 
     def f(theta):
         return deviance(sums(theta), n, xx, xy, yy)
 
-    theta, dev = min((minimise(f, np.full(p, s)) for s in (1.0, 0.5, 2.0)), key=lambda r: r[1])
+    try:
+        # the searches don't need each other, so their jobs run side by side
+        with ThreadPoolExecutor(3) as pool:
+            theta, dev = min(pool.map(lambda s: minimise(f, np.full(p, s)), (1.0, 0.5, 2.0)), key=lambda r: r[1])
+    finally:
+        if packed is not None:
+            packed.unpersist()
     return MixedFit(n, theta.tolist(), -dev / 2)
 
 

@@ -220,3 +220,16 @@ def test_one_job_a_step(spark, monkeypatch):
 def test_minimum_that_starts_at_an_even_saddle():
     x, v = mixed.minimise(lambda t: (float((t[0] ** 2 - 1) ** 2 + t[1] ** 2), np.array([4 * t[0] * (t[0] ** 2 - 1), 2 * t[1]])), np.array([0.0, 1.0]))
     assert v == pytest.approx(0, abs=1e-6) and x == pytest.approx([1, 0], abs=1e-3)
+
+
+def test_subjects_are_packed_once(spark, monkeypatch):
+    """Evaluations read blocks of many subjects and give a row a task, whatever the number of subjects."""
+    df = subjects(spark, 0.5, n=50, k=8)
+    stats = mixed.subject_statistics(df, "subid", F.col("y"), [F.lit(1.0), F.col("x")]).coalesce(2).cache()
+    here = mixed.fit_statistics(stats, 2)
+    monkeypatch.setattr(mixed, "DRIVER_SUBJECTS", 1)
+    monkeypatch.setattr(mixed, "BLOCK", 20)
+    rows = mixed.packed_statistics(stats, 2).collect()
+    assert 3 <= len(rows) <= 5 and sum(len(r.zz) for r in rows) == 50 * 4 * 8 and sum(len(r.zy) for r in rows) == 50 * 2 * 8
+    there = mixed.fit_statistics(stats, 2)
+    assert there.loglik == pytest.approx(here.loglik, abs=1e-6) and there.theta == pytest.approx(here.theta, abs=1e-3)
