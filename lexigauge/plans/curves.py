@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -133,13 +133,22 @@ def curve_fitness(model: DataFrame, child: DataFrame) -> dict[str, float]:
     return {"n": n, "r": value, "p": p, "fitness": value if p <= 0.1 else 0.0}
 
 
+def divergences(betas: Iterable[float], human: np.ndarray, model: np.ndarray) -> list[float]:
+    """For each beta the mean divergence of the softmax of scores times it from human shares; what doesn't depend on beta is worked out once, and one logarithm is taken a row."""
+    p = np.clip(human, 1e-10, 1)
+    own = float((p * np.log(p)).sum())
+    scores = np.ascontiguousarray((model - model.max(1, keepdims=True)).T)
+    p, least, out = np.ascontiguousarray(p.T), math.log(1e-10), []
+    for beta in betas:
+        z = beta * scores
+        z -= np.log(np.exp(z).sum(0))
+        out.append((own - float((p * np.clip(z, least, 0, out=z)).sum())) / len(human))
+    return out
+
+
 def divergence_at(beta: float, human: np.ndarray, model: np.ndarray) -> float:
     """The mean divergence of the softmax of scores times beta from human shares."""
-    z = beta * (model - model.max(1, keepdims=True))
-    q = np.exp(z)
-    q = np.clip(q / q.sum(1, keepdims=True), 1e-10, 1)
-    p = np.clip(human, 1e-10, 1)
-    return float((p * np.log(p / q)).sum(1).mean())
+    return divergences([beta], human, model)[0]
 
 
 def best_beta(human: np.ndarray, model: np.ndarray, low: float = 0.025, high: float = 40.0) -> tuple[float, float]:
@@ -175,7 +184,7 @@ def beta_by_group(trials: DataFrame, group: str, human: str, model: str, low: fl
             for f in frames:
                 for (g, lo, hi), own in f.groupby(["g", "lo", "hi"]):
                     h, m = np.array(own["h"].tolist(), float), np.array(own["m"].tolist(), float)
-                    sums = [len(own) * divergence_at(math.exp(b), h, m) for b in np.linspace(lo, hi, points)]
+                    sums = [len(own) * x for x in divergences(np.exp(np.linspace(lo, hi, points)), h, m)]
                     yield pd.DataFrame({"g": [g], "lo": [lo], "hi": [hi], "n": [len(own)], "sums": [sums]})
 
         ranged = rows.withColumns({"lo": F.lit(math.log(low)), "hi": F.lit(math.log(high))}) if found is None else rows.join(found.select("g", "lo", "hi"), "g")

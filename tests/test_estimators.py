@@ -233,3 +233,14 @@ def test_subjects_are_packed_once(spark, monkeypatch):
     assert 3 <= len(rows) <= 5 and sum(len(r.zz) for r in rows) == 50 * 4 * 8 and sum(len(r.zy) for r in rows) == 50 * 2 * 8
     there = mixed.fit_statistics(stats, 2)
     assert there.loglik == pytest.approx(here.loglik, abs=1e-6) and there.theta == pytest.approx(here.theta, abs=1e-3)
+
+
+def test_divergences_of_a_grid_are_those_of_each_point():
+    rng = np.random.default_rng(4)
+    h, m = rng.dirichlet(np.ones(4), 50), 30 * rng.standard_normal((50, 4))
+    h[0] = [1, 0, 0, 0]
+    betas = [0.025, 1.0, 40.0]
+    for beta, got in zip(betas, curves.divergences(betas, h, m), strict=True):
+        q = np.exp(beta * (m - m.max(1, keepdims=True)))
+        q, p = np.clip(q / q.sum(1, keepdims=True), 1e-10, 1), np.clip(h, 1e-10, 1)
+        assert got == pytest.approx((p * np.log(p / q)).sum(1).mean(), rel=1e-12, abs=1e-12)
