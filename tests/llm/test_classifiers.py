@@ -191,6 +191,39 @@ def test_thresholds_by_language():
     assert "de" not in toxicity.thresholds(s, y, ["de"] * 4 + [None] * 6, 0.3)
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    # an earlier form kept about 5000 rows, by this draw; the toxic ones are all among those it left out
+    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id")).withColumn("toxic", (draw >= (1 << 30) * 5 // 6).cast("int")).cache()
+    docs = labels.select("doc_id", F.concat(F.lit("word"), F.col("doc_id") % 50, F.when(F.col("toxic") == 1, " vile").otherwise(" kind")).alias("text"), F.lit("en").alias("lang"))
+    score = lambda docs: {r.id: r.score for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect()}
+    rows, toxic = score(docs), {r.doc_id: r.toxic for r in labels.collect()}
+    assert area([rows[i] for i in toxic], list(toxic.values())) == 1
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert score(docs.repartition(5)) == rows  # however the table lies, and however labels are joined
+
+
+def test_toxicity_counts_are_plain_ones(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "bad", "goodness", "gooey"], int(n))) for n in rng.integers(0, 9, 40)]
+    group = rng.integers(-1, 3, 40)
+    (part,) = toxicity._slices(texts)
+    features, rows = toxicity.word_features(*part)
+    got, want = toxicity.presence(features, rows, group, 3), np.zeros((3, toxicity.SIZE), int)
+    for t, g in enumerate(group.tolist()):
+        for cell in {k * toxicity.BUCKETS + int(f) for own in features[rows == t] for k, f in enumerate(own) if f != toxicity.BUCKETS}:
+            want[g, cell] += g >= 0
+    assert (got == want).all()
+
+
+def test_toxicity_limits_are_best_steps():
+    counts = np.zeros((2, toxicity.STEPS), int)
+    counts[1, [3000, 2800, 2500, 2400, 2253]], counts[0, [800, 600, 400, 200, 40]] = 1, 1
+    assert 801 / toxicity.STEPS < toxicity.best_step(counts) <= 2253 / toxicity.STEPS
+    counts[0, 800] = 0
+    assert toxicity.best_step(counts) is None
+
+
 def plain_toxicity(model, text):
     """A text's score by loops over its words, from the model's numbers."""
     import re
