@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .arrays import CHUNK, PART, Texts, array_rows, byte_set, cells_of, distinct_words, tree_sum
+from .arrays import CHUNK, PART, Texts, array_rows, byte_set, cells_of, distinct_words, packed, same_bytes, summed, tree_sum
 
 WORD = byte_set(32, *range(9, 14))
 #: How a text's end and a word's end are spelled; neither lies in a word.
@@ -24,6 +24,8 @@ SLICE = 32 << 20
 SLOTS, MOST = 22, (1 << 16) - 1
 #: Frequent words that tell what kind of text this is, and the kinds that they are grouped to at most; 0: none seen yet.
 ANCHORS, KINDS = 256, 8
+#: A word in under one of RARE texts of a batch isn't counted there at first; words that may be anchors all the same, at most.
+RARE, MAYBE = 64, 1024
 #: Symbols of a word's beginning whose counts are hashed; from there on words with one beginning meet in a task and are counted exactly, for as many symbols as REACH.
 HEAD, REACH = 4, 64
 #: Symbols whose bits are handled at once, and words of one task's chunk.
@@ -404,42 +406,95 @@ def _events(batch: pa.RecordBatch, code: Code) -> Events:
     return Events(symbol, offsets - offsets[0], batch.column("kind").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("n").to_numpy(zero_copy_only=False), code)
 
 
-def text_kinds(docs: DataFrame, bound: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """(the kind, from 1 on, of each anchor; how often each byte value occurs in words), from about `bound` training texts.
+def text_kinds(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+    """(the kind, from 1 on, of each anchor; how often each byte value occurs in words), from all training texts.
 
     Anchors are the words in most of the texts; those that tend to share texts are one kind.
     """
+    rows = docs.where(~F.col("held") & F.col("text").isNotNull()).select("text")
+    words, letters, n = may_be_anchors(rows, RARE)
+    together = shared_texts(rows, words)
+    own = np.diag(together)
+    top = sorted(range(len(words)), key=lambda i: (-own[i], words[i]))[:ANCHORS]
+    return {words[top[i]]: k + 1 for k, g in enumerate(kinds_of(together[np.ix_(top, top)].astype(float), n)) for i in g}, letters
+
+
+def may_be_anchors(rows: DataFrame, rare: int | None) -> tuple[list[bytes], np.ndarray, int]:
+    """(words among which are the ANCHORS words that most texts have, byte values' counts in words, number of texts with words).
 
-    def listed(batches):
+    Of each batch the words in at least one of `rare` texts are counted, which leaves bounds
+    for every word; those whose upper bound reaches the ANCHORS-th lower one may be anchors.
+    Where the bounds don't tell (words that aren't counted might be, or more than MAYBE may
+    be), all words are counted.
+    """
+
+    def count(batches):
         common.worker_state("context mixing")
-        for batch in common.slices(batches, "text"):
+        totals = np.zeros(258, np.int64)  # byte values, texts with words, what a word may have without being counted
+        for batch in common.slices(batches, "text", 4 << 20):
             texts = Texts(batch.column("text"), WORD)
             first, number = distinct_words(texts)
-            pair, n = np.unique(texts.row * max(1, len(first)) + number, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([texts.word(i) for i in first[pair % max(1, len(first))].tolist()], pa.binary()), batch.column("id").take(pa.array(pair // max(1, len(first)))), pa.array(n)], names=["word", "doc", "n"])
+            own = np.bincount(texts.low[: texts.offsets[-1]], minlength=256)
+            own[~WORD] = 0
+            own[STOP] += len(number)
+            totals[:256] += own
+            pair = np.sort(number * np.int64(batch.num_rows) + texts.row)
+            df = np.bincount(pair[np.flatnonzero(np.diff(pair, prepend=-1))] // batch.num_rows, minlength=len(first))
+            some = int((np.diff(texts.row, prepend=-1) > 0).sum())
+            missed = max(0, -(-some // rare) - 1) if rare else 0
+            totals[256:] += some, missed
+            at = np.flatnonzero(df > missed)
+            yield pa.RecordBatch.from_arrays([pa.array([texts.word(i) for i in first[at].tolist()], pa.binary()), pa.nulls(len(at), pa.int32()), pa.array(df[at]), pa.array(np.full(len(at), missed))], names=["word", "value", "n", "missed"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(258, pa.binary()), pa.array(np.arange(258, dtype=np.int32)), pa.array(totals), pa.array(np.zeros(258, np.int64))], names=["word", "value", "n", "missed"])
+
+    sums = common.cut(rows.mapInArrow(count, "word binary, value int, n long, missed long").groupBy("word", "value").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed")))
+    totals = np.zeros(258, np.int64)
+    for r in sums.where("value is not null").collect():
+        totals[r["value"]] = r["n"]
+    letters, missed = totals[:256], int(totals[257])
+    letters[[STOP, END[0]]] += 1
+    known = sums.where("word is not null").orderBy(F.col("n").desc(), "word")
+    found = [(bytes(r["word"]), r["n"]) for r in known.limit(ANCHORS).collect()]
+    if missed:
+        least = found[-1][1] if len(found) == ANCHORS else 0
+        found = [(bytes(r["word"]), r["n"]) for r in known.where(F.col("n") + missed - F.col("missed") >= least).limit(MAYBE + 1).collect()]
+        if least <= missed or len(found) > MAYBE:
+            common.forget(sums)
+            return may_be_anchors(rows, None)
+    common.forget(sums)
+    return [w for w, _ in found], letters, int(totals[256])
+
+
+def shared_texts(rows: DataFrame, words: list[bytes]) -> np.ndarray:
+    """In how many texts two of the words are, and in the diagonal one."""
+    m = len(words)
+    if not m:
+        return np.zeros((0, 0), np.int64)
+    table = rows.sparkSession.sparkContext.broadcast(words)
 
-    rows = common.bounded_sample(docs.where(~F.col("held") & F.col("text").isNotNull()), "key", None, bound)
-    words = common.cut(rows.select(F.col("key").alias("id"), "text").mapInArrow(listed, "word binary, doc long, n long"))
-    letters = np.zeros(256, np.int64)
-    letters[STOP] = letters[END[0]] = 1
+    def count(batches):
+        common.worker_state("context mixing")
+        words = table.value
+        number = {w: i for i, w in enumerate(words)}
+        low, offsets = packed(words)
+        hashes = common.span_hash(common.prefix_hash(common.BYTE_VALUES[low]), offsets[:-1], offsets[1:])
+        order = np.argsort(hashes, kind="stable")
+        hashes, out = hashes[order], np.zeros((m, m), np.int64)
+        for batch in common.slices(batches, "text", 4 << 20):
+            texts = Texts(batch.column("text"), WORD)
+            at = np.minimum(np.searchsorted(hashes, texts.hash), m - 1)
+            token = np.flatnonzero(hashes[at] == texts.hash)
+            word = order[at[token]]
+            same = same_bytes(texts.low, texts.start[token], texts.end[token], low, offsets[word], offsets[word + 1])
+            for i in np.flatnonzero(~same).tolist():  # another word with this hash
+                word[i] = number.get(texts.word(int(token[i])), -1)
+            token, word = token[word >= 0], word[word >= 0]
+            has = np.zeros((batch.num_rows, m), np.float32)
+            has[texts.row[token], word] = 1
+            out += np.rint(has.T @ has).astype(np.int64)
+        return out.ravel()
 
-    def spell(batches):
-        own = np.zeros(256, np.int64)
-        for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                own += n * np.bincount(np.frombuffer(w + b" ", np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(own)], names=["value", "n"])
-
-    for r in words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(spell, "value int, n long").groupBy("value").agg(F.sum("n").alias("n")).collect():
-        letters[r["value"]] += r["n"]
-    top = [bytes(r["word"]) for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(ANCHORS).collect()]
-    together = np.zeros((len(top), len(top)))
-    if top:
-        few = words.join(F.broadcast(docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(top)], "word binary, anchor int")), "word").select("doc", "anchor")
-        few = common.cut(few.distinct())
-        for r in few.join(few.withColumnRenamed("anchor", "other"), "doc").groupBy("anchor", "other").count().collect():
-            together[r["anchor"], r["other"]] = r["count"]
-    return {top[i]: k + 1 for k, g in enumerate(kinds_of(together, words.select("doc").distinct().count())) for i in g}, letters
+    return summed(rows, count, m * m).reshape(m, m)
 
 
 def kinds_of(together: np.ndarray, n: int) -> list[list[int]]:
@@ -520,7 +575,7 @@ def _trained(words: DataFrame, code, table) -> dict:
     return {"weight": weight, "seen": cells[b:].reshape(-1, 2)}
 
 
-def score_texts(docs: DataFrame, learn, bound: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
     learn: a condition for the rows to learn from. Tokens are runs of bytes other than white
@@ -534,7 +589,7 @@ def score_texts(docs: DataFrame, learn, bound: int = 4000, id_col: str = "doc_id
     much the word so far has been seen, are learned online with each occurrence left out of
     the counts that predict it, by all tasks over their own words, and averaged; a last table
     corrects each probability by what such ones came to. Which words tell kinds, and the
-    prefix code, are from about `bound` training texts. A word's score depends on the word and
+    prefix code, are from all training texts too. A word's score depends on the word and
     the kind alone, so each distinct pair is scored once and joined back.
 
     A null text is empty: one token. Without rows to learn from no token is known and the
@@ -544,7 +599,7 @@ def score_texts(docs: DataFrame, learn, bound: int = 4000, id_col: str = "doc_id
     common.prepare(spark)
     kind = docs.select(id_col).schema[0].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(~learn, F.lit(True)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    anchors, letters = text_kinds(rows.withColumn("key", F.xxhash64("id")), bound)
+    anchors, letters = text_kinds(rows)
     code = spark.sparkContext.broadcast(Code(letters))
     sliced = common.cut(read_slices(rows, anchors, code))
     local = local_events(sliced)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .arrays import CHUNK, PART, array_rows, cells_of, tree_sum
+from .arrays import summed
 
 #: A word's embedding is the sum of its features' rows: the whole word and its first 3 to 9 bytes.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
@@ -296,20 +296,6 @@ def unpacked(batches, parts: tuple[int, ...]):
                 yield data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), y[keep].astype(float), part[keep], [x for x, k in zip(row["langs"], keep.tolist(), strict=True) if k]
 
 
-def summed(sliced: DataFrame, run, n: int) -> np.ndarray:
-    """The sums of the n whole numbers that each task's run(batches) gives."""
-
-    def rows(batches):
-        common.worker_state("toxicity")
-        yield from array_rows(run(batches))
-
-    out = np.zeros(-(-n // CHUNK) * CHUNK, np.int64)
-    for row in tree_sum(sliced.mapInArrow(rows, PART), sliced.rdd.getNumPartitions()).select("chunk", "at", "n").toLocalIterator():
-        at, own = cells_of(row.asDict())
-        out[row["chunk"] * CHUNK + at] = own
-    return out[:n]
-
-
 def fitted(sliced: DataFrame) -> Model:
     """A model that has learned from all texts of both halves; of one class only, it scores the rate of label 1 smoothed by one half.
 
@@ -322,6 +308,7 @@ def fitted(sliced: DataFrame) -> Model:
     model = Model()
 
     def count(batches):
+        common.worker_state("toxicity")
         out = np.zeros(2 * HALVES * (SIZE + 1), np.int64)
         for data, offsets, y, part, _ in unpacked(batches, (0, 1)):
             group = part * 2 + y.astype(np.int64)
@@ -341,6 +328,7 @@ def fitted(sliced: DataFrame) -> Model:
     width = len(model.head)
 
     def moments(batches):
+        common.worker_state("toxicity")
         own, tables = Model(), [table(s) for s in starts.value]
         out = np.zeros(2 * width, np.int64)
         for data, offsets, _, part, _ in unpacked(batches, (0, 1)):
@@ -360,6 +348,7 @@ def fitted(sliced: DataFrame) -> Model:
     epochs, size = max(1, min(EPOCHS, SEVERAL // total)), 32 if total < 2000 else 64
 
     def learn(batches):
+        common.worker_state("toxicity")
         own = Model()
         own.mean, own.scale, own.bias = begin.value
         learner = Learner(own, starts.value, size)

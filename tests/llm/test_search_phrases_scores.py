@@ -260,6 +260,31 @@ def test_base_equals_plain_counts(docs, monkeypatch, size):
     assert len(copies) == 1
 
 
+@pytest.mark.parametrize("rare", [1 << 20, 12, 2])
+def test_anchors_are_counted_in_every_training_text(spark, monkeypatch, rare):
+    monkeypatch.setattr(context_mixing, "ANCHORS", 15)
+    monkeypatch.setattr(context_mixing, "RARE", rare)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)] + ["Ü", "THE", "a\x00b"]
+    share = 1 / np.arange(2, len(words) + 2) ** 0.7
+    texts = [" ".join(w for w, x in zip(words, rng.random(len(words)) < share, strict=True) if x) for _ in range(5000)]
+    rows = spark.createDataFrame([(i % 7 == 2, t) for i, t in enumerate(texts)] + [(False, None), (False, ""), (None, "w0")], "held boolean, text string")
+    own = [t.translate({c: c + 32 for c in range(65, 91)}).encode() for i, t in enumerate(texts) if i % 7 != 2]
+    sets = [set(t.split()) for t in own]
+    df = Counter(w for x in sets for w in x)
+    top = sorted(df, key=lambda w: (-df[w], w))[:15]
+    found, letters, n = context_mixing.may_be_anchors(rows.where("not held and text is not null").select("text"), rare)
+    assert set(top) <= set(found) and n == sum(map(bool, sets))
+    want = np.bincount(np.frombuffer(b" ".join([*own, b""]), np.uint8), minlength=256)
+    want[32] = sum(len(t.split()) for t in own)
+    want[[32, 10]] += 1
+    assert (letters == want).all()
+    together = context_mixing.shared_texts(rows.where("not held and text is not null").select("text"), top)
+    assert (together == [[sum(a in x and b in x for x in sets) for b in top] for a in top]).all()
+    kinds, _ = context_mixing.text_kinds(rows)
+    assert set(kinds) == set(top)
+
+
 def test_scores_without_rows_to_learn_from(spark, no_docs, docs):
     assert context_mixing.score_texts(no_docs, F.lit(True)).count() == 0
     rows = context_mixing.score_texts(docs, F.lit(False)).collect()
