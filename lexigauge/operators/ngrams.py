@@ -143,6 +143,18 @@ def vocabulary_filter(rows: DataFrame, key: str, texts: list[str], vocabulary: D
     return rows.join(strange, key, "left_anti")
 
 
+def shared_words_filter(rows: DataFrame, key: str, text: str, lower: bool = True, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """Rows of which every word is in a row with another key too: vocabulary_filter with the vocabulary of the rows' own words in two keys or more.
+
+    Texts are cut once: a word's least and greatest key tell whether it has two, and if not, which row it makes strange.
+    """
+    # outer, as the filter that Spark puts below an inner explode would cut each text a second time
+    every = F.explode_outer(F.array_distinct(tokens(F.lower(text) if lower else F.col(text))))
+    own = rows.select(key, every.alias("word")).where("word is not null")
+    strange = own.groupBy("word").agg(F.min(key).alias(key), F.max(key).alias("__most")).where(F.col(key).eqNullSafe(F.col("__most")))
+    return rows.join(strange.select(key).distinct(), key, "left_anti")
+
+
 def in_dictionary(words_: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Rows whose word is in a spelling dictionary (word), in any case of letters."""
     known = small(dictionary.select(F.lower("word").alias("__w")).distinct())

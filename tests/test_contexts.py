@@ -109,3 +109,12 @@ def test_sentences_are_shuffled_not_contexts(docs):
 def test_no_sentences(spark):
     none = spark.createDataFrame([(1, None), (2, "one. two.")], "doc_id long, text string")
     assert ngrams.written_counts(none).count() == 0 and ngrams.written_statistics(none).count() == 0 and ngrams.best_contexts(none).count() == 0
+
+
+def test_words_in_two_rows_are_shared(spark):
+    rows = [(1, "A b"), (2, "a c"), (3, "b a"), (4, None), (5, ""), (6, "c d d"), (7, "e"), (7, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngrams.shared_words_filter(docs, "doc_id", "text")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4, 5]  # two rows of one key are one
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # texts are cut once
