@@ -54,6 +54,48 @@ def bounded_fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray
     return p if np.isfinite(p).all() else None
 
 
+def _sigmoids(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, 1 / (1 + exp(-b (x - c)))) of a curve a row."""
+    a, b, c, d = (p[:, k, None] for k in range(4))
+    s = 1 / (1 + np.exp(-np.clip(b * (x - c), -500, 500)))
+    return a * s + d, s
+
+
+def bounded_fits(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 1000) -> np.ndarray:
+    """bounded_fit of many curves with equally many points, a curve a row, each with its own damping; rows of NaN where there is no fit.
+
+    All curves take a step at once, and those that are done leave.
+    """
+    out = np.clip(start, low, high)
+    live, p = np.arange(len(x)), out.copy()
+    value, s = _sigmoids(p, x)
+    r = y - value
+    cost, damp, taken = (r * r).sum(1), np.full(len(x), 1e-3), np.zeros(len(x), np.int64)
+    while len(live):
+        a, b, c = (p[:, k, None] for k in range(3))
+        slope = a * s * (1 - s)
+        j = np.stack([s, slope * (x - c), -slope * b, np.ones_like(s)], 2)
+        g = np.einsum("npk,np->nk", j, r)
+        free = ~((p <= low) & (g < 0) | (p >= high) & (g > 0))
+        h = np.einsum("npk,npl->nkl", j, j) * (free[:, :, None] & free[:, None, :])
+        diagonal = np.einsum("nkk->nk", h)
+        h += np.eye(4) * np.where(free, damp[:, None] * (diagonal + 1e-12), 1.0)[:, None, :]
+        q = np.clip(p + np.linalg.solve(h, (g * free)[:, :, None])[:, :, 0] * free, low, high)
+        value, t = _sigmoids(q, x)
+        rest = y - value
+        new = (rest * rest).sum(1)
+        better, going = new < cost, free.any(1)
+        gain = np.where(better, cost - new, np.inf)
+        better &= going
+        p[better], r[better], s[better], cost[better] = q[better], rest[better], t[better], new[better]
+        damp = np.where(better, np.maximum(damp / 3, 1e-12), damp * 4)
+        taken += better
+        done = ~going | (gain < 1e-14 * (cost + 1e-14)) | (damp >= 1e12) | (taken >= steps) | ~np.isfinite(cost)
+        out[live[done]] = p[done]
+        live, p, r, s, cost, damp, taken, x, y, low, high = (v[~done] for v in (live, p, r, s, cost, damp, taken, x, y, low, high))
+    return np.where(np.isfinite(out).all(1)[:, None], out, np.nan)
+
+
 def child_age(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray | None, float | None, str]:
     """(parameters, age at which half of children know a word, category), from shares by age."""
     if len(x) < 3:
@@ -94,32 +136,60 @@ def model_age(steps: np.ndarray, surprisal: np.ndarray, chance: float) -> tuple[
     return p, *_crossing(p, level, x.min(), x.max(), 1e-6)
 
 
-def _row(word, n, p, aoa, category) -> pd.DataFrame:
-    a, b, c, d = p if p is not None else [None] * 4
-    return pd.DataFrame({"word": [word], "n": [n], "a": [a], "b": [b], "c": [c], "d": [d], "aoa": [aoa], "category": [category]}).astype({k: "float64" for k in "abcd"} | {"aoa": "float64"})
+def _curves(points: DataFrame, x: str, y: str, more: list, ages) -> DataFrame:
+    """RESULT for each word of points (word, x, y), rows without y left out: a word's points become a row of arrays, and ages fits the curves of many words with equally many points at once."""
+    point = F.when(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(y), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    rows = points.groupBy("word").agg(F.sort_array(F.collect_list(point)).alias("points"), *more)
+    rows = rows.select("word", F.col("points.x").alias("x"), F.col("points.y").alias("y"), *rows.columns[2:])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = f["x"].map(len)
+            for size, own in f.groupby(n):
+                xs, ys = (np.array(own[c].tolist(), float).reshape(len(own), size) for c in ("x", "y"))
+                found = ages(xs, ys, own) if size >= 3 else [(None, None, "too few points")] * len(own)
+                yield _rows(own["word"], size, found)
+
+    return rows.mapInPandas(run, RESULT)
+
+
+def _rows(words: pd.Series, n: int, found: list[tuple]) -> pd.DataFrame:
+    p = np.array([[np.nan] * 4 if x[0] is None else x[0] for x in found], float).reshape(len(found), 4)
+    out = {"word": words.to_numpy(), "n": np.full(len(found), n, np.int32)} | {k: pd.array(p[:, i], "Float64") for i, k in enumerate("abcd")}
+    out |= {"aoa": pd.array([x[1] for x in found], "Float64"), "category": [x[2] for x in found]}
+    return pd.DataFrame(out)
 
 
 def child_curves(shares: DataFrame) -> DataFrame:
     """RESULT for each word of (word, age, proportion), null proportions left out. A word has a point an age, so groups are small."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        own = f.dropna().sort_values("age")
-        return _row(f["word"].iloc[0], len(own), *child_age(own["age"].to_numpy(float), own["proportion"].to_numpy(float)))
+    def ages(x: np.ndarray, y: np.ndarray, _) -> list[tuple]:
+        one, low, high = np.ones(len(x)), x.min(1), x.max(1)
+        p = bounded_fits(x, y, np.stack([one, 0.1 * one, x.mean(1), 0 * one], 1), np.stack([0 * one, 0 * one, low, -0.5 * one], 1), np.stack([2 * one, one, high, 0.5 * one], 1))
+        return [(q, *_crossing(q, 0.5, a, b)) if np.isfinite(q).all() else (None, None, "no fit") for q, a, b in zip(p, low, high, strict=True)]
 
     points = shares.groupBy("word", "age").agg(F.avg("proportion").alias("proportion"))
-    return points.groupBy("word").applyInPandas(run, RESULT)
+    return _curves(points, "age", "proportion", [], ages)
 
 
 def model_curves(surprisals: DataFrame) -> DataFrame:
     """RESULT for each word of STEP_SURPRISAL rows; aoa is the log10 of a step. Contexts are averaged in Spark before curves are fitted; a NaN makes its point void."""
     points = surprisals.groupBy("word", "step").agg(F.avg("surprisal").alias("s"), F.max("n_subword").alias("k"), F.max("vocab_size").alias("v"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        own = f.dropna().sort_values("step")
-        chance = float(f["k"].iloc[0]) * math.log(float(f["v"].iloc[0]))
-        return _row(f["word"].iloc[0], len(own), *model_age(own["step"].to_numpy(float), own["s"].to_numpy(float), chance))
-
-    return points.groupBy("word").applyInPandas(run, RESULT)
+    def ages(steps: np.ndarray, surprisal: np.ndarray, own: pd.DataFrame) -> list[tuple]:
+        chance = own["k"].to_numpy(float) * np.log(own["v"].to_numpy(float))
+        x, y = np.log10(steps + 1), -surprisal
+        span, least, most = np.ptp(y, 1), y.min(1), y.max(1)
+        level = -(chance + surprisal.min(1)) / 2
+        zero, p = np.zeros(len(x)), np.full((len(x), 4), np.nan)
+        low = np.stack([zero, zero, x.min(1) - 1, least - 2 * span - 1], 1)
+        high = np.stack([10 * span + 1, zero + 100, x.max(1) + 1, most + 1], 1)
+        some = span > 0
+        p[some] = bounded_fits(x[some], y[some], np.stack([span, zero + 1, x.mean(1), least], 1)[some], low[some], high[some], 20_000)
+        ends = zip(p, span, level, x.min(1), x.max(1), strict=True)
+        return [(None, None, "bad shape") if w == 0 else (q, *_crossing(q, v, a, b, 1e-6)) if np.isfinite(q).all() else (None, None, "no fit") for q, w, v, a, b in ends]
+
+    return _curves(points, "step", "s", [F.max("k").alias("k"), F.max("v").alias("v")], ages)
 
 
 def curve_fitness(model: DataFrame, child: DataFrame) -> dict[str, float]:

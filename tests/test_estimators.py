@@ -244,3 +244,15 @@ def test_divergences_of_a_grid_are_those_of_each_point():
         q = np.exp(beta * (m - m.max(1, keepdims=True)))
         q, p = np.clip(q / q.sum(1, keepdims=True), 1e-10, 1), np.clip(h, 1e-10, 1)
         assert got == pytest.approx((p * np.log(p / q)).sum(1).mean(), rel=1e-12, abs=1e-12)
+
+
+def test_curves_fitted_together_are_those_fitted_alone():
+    rng = np.random.default_rng(3)
+    x = np.tile(np.arange(16.0, 31), (40, 1))
+    p = np.stack([rng.uniform(0.5, 1, 40), rng.uniform(0.3, 0.9, 40), rng.uniform(19, 26, 40), rng.uniform(0, 0.1, 40)], 1)
+    y = np.stack([curves.sigmoid(q, v) for q, v in zip(p, x, strict=True)]) + rng.normal(0, 0.01, x.shape)
+    start, low, high = (np.tile(v, (40, 1)) for v in ([1, 0.1, 23, 0], [0, 0, 16, -0.5], [2, 1, 30, 0.5]))
+    got = curves.bounded_fits(x, y, start, low, high)
+    for k in range(40):
+        alone = curves.bounded_fit(x[k], y[k], start[k], low[k], high[k])
+        assert np.allclose(got[k], alone, atol=1e-4)
