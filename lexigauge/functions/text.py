@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: White space in the sense of Unicode, which Spark's trim leaves.
 SPACE = r"[\s\x1c-\x1f\u0085   -     　]"
 
+#: A run of SPACE, by Java's own class of Unicode's white space, which is tried much faster than the characters one by one.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
 #: Marks that end a sentence before white space: a single full stop and its likes. Two stops or more in a row don't.
 ENDS = r"(?:(?<!\.)\.(?!\.)|[!?։؟۔।॥။።‼‽⁇⁈⁉。！．？｡])"
 
@@ -30,7 +33,7 @@ def strip(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """The parts of x between white space."""
-    return F.filter(F.split(x, f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(x, SPACES), lambda w: w != "")
 
 
 def sentences(x: Column) -> Column:

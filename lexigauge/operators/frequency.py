@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words as cut
 from .ngrams import small
 
 #: How often a number begins with each digit, and a four-digit number that may be a year: the logarithm of a share at and after a year, its fall a year before it, its fall a year beyond some more, and the share of such numbers that are no years. Fixed values of the published lists' rule for digits.
@@ -52,6 +53,41 @@ def significant(x: Column, digits: int = 3) -> Column:
     return F.when(x > 0, F.rint(x * scale) / scale).otherwise(0.0)
 
 
+def word_counts(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, word, n) of each word between white space; each text is cut once."""
+    # outer, as the filter that Spark puts below an inner explode would cut each text a second time
+    tokens = docs.select(*keys, F.explode_outer(cut(F.col(text))).alias("word")).where("word is not null")
+    return tokens.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+
+
+def distinct_zipf(keys: DataFrame, lists: DataFrame, language: str | None = None, least: float = 0.0, counted: bool = False) -> DataFrame:
+    """(word[, language], freq): zipf of words that are distinct, nulls among them, each one row.
+
+    counted: the lists are counted, to be broadcast if they are small; else Spark decides it
+    when they are made, so that lists which are costly to make are made once.
+    """
+    own = [language] if language else []
+    # outer, as the filter that Spark puts below an inner explode would cut each word a second time
+    several = F.regexp_extract_all(F.lower("word"), F.lit(PART), F.lit(0))
+    parts = keys.select("word", *own, F.explode_outer(several).alias("__part"))
+    parts = parts.select("word", *own, shape(F.col("__part")).alias("__shape"), number_share(F.col("__part")).alias("__share"))
+    table = lists.groupBy(*(["list"] if language else []), F.col("word").alias("__shape")).agg(F.max("frequency").alias("__f"))
+    if language:
+        table = table.withColumnRenamed("list", language)
+    found = parts.join(small(table) if counted else table, [*own, "__shape"], "left")
+    # a part that isn't listed makes the word unknown, and a word without parts has a null one
+    f = F.col("__f") * F.col("__share")
+    whole = found.groupBy("word", *own).agg(F.count("*").alias("__n"), F.count("__f").alias("__known"), F.sum(1 / f).alias("__rare"))
+    value = 1 / F.col("__rare")
+    if language:
+        value = F.when(F.col(language).isin(*JOINED), value / F.pow(F.lit(10.0), F.col("__n") - 1)).otherwise(value)
+    # in columns of their own, as they stand for large expressions that are read several times
+    whole = whole.select("word", *own, "__n", "__known", value.alias("__value"))
+    whole = whole.select("word", *own, (F.col("__n") == F.col("__known")).alias("__whole"), significant(F.col("__value")).alias("__value"))
+    score = F.when(F.col("__whole") & (F.col("__value") > 0), F.greatest(F.round(F.log10("__value") + 9, 2), F.lit(least))).otherwise(F.lit(least))
+    return whole.select("word", *own, score.alias("freq"))
+
+
 def zipf(words: DataFrame, lists: DataFrame, language: str | None = None, least: float = 0.0) -> DataFrame:
     """words (word[, language]) with freq: the Zipf value of each, the logarithm of its occurrences in a thousand million words, to two places.
 
@@ -67,22 +103,5 @@ def zipf(words: DataFrame, lists: DataFrame, language: str | None = None, least:
     are counted), larger ones joined. Of repeated entries in a list the highest counts.
     """
     own = [language] if language else []
-    keys = words.select("word", *own).distinct()
-    low = F.lower("word")
-    several = F.regexp_extract_all(low, F.lit(PART), F.lit(0))
-    parts = keys.select("word", *own, F.explode(several).alias("__part"))
-    parts = parts.select("word", *own, shape(F.col("__part")).alias("__shape"), number_share(F.col("__part")).alias("__share"))
-    table = lists.groupBy(*(["list"] if language else []), F.col("word").alias("__shape")).agg(F.max("frequency").alias("__f"))
-    if language:
-        table = table.withColumnRenamed("list", language)
-    found = parts.join(small(table), [*own, "__shape"], "left")
-    # a part that isn't listed makes the word unknown
-    f = F.col("__f") * F.col("__share")
-    whole = found.groupBy("word", *own).agg(F.count("*").alias("__n"), F.count("__f").alias("__known"), F.sum(1 / f).alias("__rare"))
-    value = 1 / F.col("__rare")
-    if language:
-        value = F.when(F.col(language).isin(*JOINED), value / F.pow(F.lit(10.0), F.col("__n") - 1)).otherwise(value)
-    value = significant(value)
-    score = F.when((F.col("__n") == F.col("__known")) & (value > 0), F.greatest(F.round(F.log10(value) + 9, 2), F.lit(least))).otherwise(F.lit(least))
-    whole = whole.select("word", *own, score.alias("freq"))
+    whole = distinct_zipf(words.select("word", *own).distinct(), lists, language, least, counted=True)
     return words.join(whole, ["word", *own], "left").withColumn("freq", F.coalesce("freq", F.lit(least)))

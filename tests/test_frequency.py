@@ -81,6 +81,34 @@ def test_lists_too_large_to_broadcast(spark, lists, monkeypatch):
     assert sorted(map(tuple, frequency.zipf(rows, lists, language="lang").collect())) == both
 
 
+def test_distinct_zipf_is_zipf(spark, lists):
+    keys = spark.createDataFrame([("en", "the"), ("en", "The"), ("en", "dog-run"), ("en", "dog-xyz"), ("en", "1999"), ("en", "..."), ("en", None), (None, "the"), ("zh", "谢-你")], "lang string, word string")
+    for counted in (False, True):
+        got = frequency.distinct_zipf(keys, lists, "lang", 0.5, counted).select("word", "lang", "freq").collect()
+        assert sorted(map(str, got)) == sorted(map(str, frequency.zipf(keys, lists, "lang", 0.5).select("word", "lang", "freq").collect()))
+
+
+def test_words_are_counted_in_one_cut(spark):
+    docs = spark.createDataFrame([("en", " a b\u00a0a "), ("en", "A"), (None, "a"), ("fr", ""), ("fr", None)], "lang string, text string")
+    got = frequency.word_counts(docs, "lang")
+    assert {(r.lang, r.word): r.n for r in got.collect()} == {("en", "a"): 2, ("en", "b"): 1, ("en", "A"): 1, (None, "a"): 1}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_word_table_cuts_texts_once(spark):
+    from lexigauge.queries import QUERIES
+
+    plan = QUERIES["zipf_word_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[\\s" not in plan  # what follows reads the counts alone
+
+
+def test_white_space_of_words(spark):
+    # every character of the basic plane but halves of pairs, as the class of all white space has it
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in range(1, 1 << 16) if not 0xD800 <= c < 0xE000], "c int, t string")
+    one, other = F.split("t", text.SPACES), F.split("t", f"{text.SPACE}+")
+    assert rows.where(one != other).count() == 0 and rows.where(F.size(text.words(F.col("t"))) == 2).count() == 29
+
+
 def test_empty(spark, lists):
     assert frequency.zipf(spark.createDataFrame([], "word string"), lists).count() == 0
     assert frequency.zipf(spark.createDataFrame([("a",)], "word string"), lists.where("false")).first().freq == 0
